@@ -1 +1,140 @@
 """Handwritten queries: sources, joins, selection, labels, evaluation, portfolios."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import duck
+from .functions import expr as x
+from .operators import evaluate, joins, scan, select, transform
+from .queries import DENSE_SQL, bars_sql, dense, register
+from .sources import panels
+from .streaming.bars import event_bars
+
+c = x.col("close")
+REV = {"value": -x.returns(c)}
+REV_SQL = f"({duck.sql(DENSE_SQL, REV, ('date', 'code', 'close', 'sector', 'cap'))})"
+BARE = "SELECT date, code, close, sector, cap FROM (" + DENSE_SQL + ")"
+
+
+def reversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = x.with_factors(dense(spark, sf_dir), REV).select("date", "code", "close", "sector", "cap", F.round("value", 6).alias("value"))
+    return df
+
+
+def simple(name: str, sql: str, make) -> None:
+    register(name, sql)(lambda spark, sf_dir: make(spark, sf_dir))
+
+
+BAR_COLUMNS = "date, code, open, high, low, close, volume, money, trades"
+simple("bars_month", f"SELECT {BAR_COLUMNS} FROM ({bars_sql()})", lambda s, d: panels.bars(s, d).drop("vwap"))
+simple("bars_day", f"SELECT {BAR_COLUMNS} FROM ({bars_sql('day')})", lambda s, d: panels.bars(s, d, "day").drop("vwap"))
+simple("bars_day_part", f"SELECT {BAR_COLUMNS} FROM ({bars_sql('day', 'l_partkey')})", lambda s, d: panels.bars(s, d, "day", "l_partkey").drop("vwap"))
+simple("densify", f"SELECT date, code, close FROM ({DENSE_SQL})", lambda s, d: panels.densify(panels.bars(s, d)).select("date", "code", "close"))
+simple(
+    "scan_pushdown",
+    f"SELECT date, code, close FROM ({bars_sql()}) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-06-01' AND code IN (1, 2, 3)",
+    lambda s, d: panels.between(panels.bars(s, d), "1996-01-01", "1997-06-01", [1, 2, 3], ["date", "code", "close"]),
+)
+simple("price_forms", f"SELECT date, code, (open+high+low+close)/4 AS ohlc4, (open+high+low)/3 AS ohl3, (open+high+close)/3 AS ohc3, (high+low)/2 AS hl2, (open+close)/2 AS oc2 FROM ({bars_sql()})", lambda s, d: panels.with_price_forms(panels.bars(s, d)).select("date", "code", "ohlc4", "ohl3", "ohc3", "hl2", "oc2"))
+
+# Joins.
+
+
+def _orders(s, d):
+    return panels.table(s, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderdate").alias("pub_date"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("key"))
+
+
+def _quarter_ends(s, d):
+    return panels.table(s, d, "customer").select(F.col("c_custkey").alias("code"), F.explode(F.sequence(F.lit("1995-01-01").cast("timestamp"), F.lit("1998-01-01").cast("timestamp"), F.expr("interval 3 months"))).alias("date"))
+
+
+simple(
+    "asof_join",
+    """SELECT q.code, CAST(q.date AS DATE) AS date, r.price FROM (SELECT c_custkey AS code, unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01', INTERVAL 3 MONTH)) AS date FROM customer) q
+ ASOF LEFT JOIN (SELECT o_custkey AS code, o_orderdate AS pub, max(o_totalprice) AS price FROM orders GROUP BY 1, 2) r ON q.code = r.code AND q.date >= r.pub""",
+    lambda s, d: joins.asof(_quarter_ends(s, d), _orders(s, d), ["price"], "date", "pub_date").select("code", F.to_date("date").alias("date"), "price"),
+)
+simple(
+    "latest_vintage",
+    "SELECT code, quarter, price FROM (SELECT o_custkey AS code, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey, date_trunc('quarter', o_orderdate) ORDER BY o_orderdate DESC, o_totalprice DESC) AS n FROM orders) WHERE n = 1",
+    lambda s, d: joins.latest_vintage(_orders(s, d).select("code", F.to_date(F.date_trunc("quarter", "pub_date")).alias("quarter"), "pub_date", "price"), ["code", "quarter"], "pub_date").select("code", "quarter", "price"),
+)
+simple("forward_fill", f"SELECT date, code, last_value(close IGNORE NULLS) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS close FROM ({DENSE_SQL})", lambda s, d: joins.forward_fill(dense(s, d), ["close"], 2).select("date", "code", "close"))
+simple(
+    "expand_intervals",
+    "SELECT DISTINCT CAST(unnest(generate_series(CAST(lo AS DATE), CAST(hi AS DATE) - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date, code FROM (SELECT c_custkey AS code, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey <= 40 GROUP BY 1) WHERE CAST(lo AS DATE) < CAST(hi AS DATE)",
+    lambda s, d: joins.expand_intervals(_orders(s, d).filter("code <= 40").join(panels.table(s, d, "customer"), F.col("code") == F.col("c_custkey"), "left_semi").groupBy("code").agg(F.min("pub_date").alias("start_date"), F.max("pub_date").alias("end_date"))),
+)
+simple("resample_year", f"SELECT CAST(date_trunc('year', date) AS DATE) AS period, code, arg_max(close, date) AS close FROM ({bars_sql()}) GROUP BY 1, 2", lambda s, d: joins.resample_last(panels.bars(s, d), "year", ["close"]))
+simple("semi_universe", f"SELECT date, code, close FROM ({BARE}) WHERE code IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)", lambda s, d: select.in_universe(dense(s, d), panels.table(s, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("code")), ("code",)).select("date", "code", "close"))
+simple("anti_universe", f"SELECT date, code, close FROM ({BARE}) WHERE code NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)", lambda s, d: select.out_of_universe(dense(s, d), panels.table(s, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("code")), ("code",)).select("date", "code", "close"))
+simple("benchmark_join", f"SELECT date, code, round(value - avg(value) OVER (PARTITION BY date), 5) AS excess FROM {REV_SQL}", lambda s, d: (lambda r: r.join(r.groupBy("date").agg(F.avg("value").alias("b")), "date").select("date", "code", F.round(F.col("value") - F.col("b"), 5).alias("excess")))(reversal(s, d)))
+simple("set_operations", "SELECT l_suppkey AS code FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09 EXCEPT SELECT s_suppkey FROM supplier WHERE s_nationkey < 5", lambda s, d: (lambda t: t.filter("l_quantity > 49").select(F.col("l_suppkey").alias("code")).intersect(t.filter("l_discount > 0.09").select("l_suppkey")).subtract(panels.table(s, d, "supplier").filter("s_nationkey < 5").select("s_suppkey")))(panels.table(s, d, "lineitem")))
+
+# Selection and weights.
+PICK = "SELECT date, code, value FROM"
+simple("top_n", f"{PICK} (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value DESC, code) AS n FROM {REV_SQL} WHERE value IS NOT NULL) WHERE n <= 5", lambda s, d: select.top_n(reversal(s, d), 5).select("date", "code", "value"))
+simple("bottom_n", f"{PICK} (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value, code) AS n FROM {REV_SQL} WHERE value IS NOT NULL) WHERE n <= 5", lambda s, d: select.bottom_n(reversal(s, d), 5).select("date", "code", "value"))
+simple("sector_top_n", f"{PICK} (SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY value DESC, code) AS n FROM {REV_SQL} WHERE value IS NOT NULL) WHERE n <= 2", lambda s, d: select.top_n(reversal(s, d), 2, by=("sector",)).select("date", "code", "value"))
+simple("top_quantile", f"{PICK} (SELECT *, quantile_cont(value, 0.8) OVER (PARTITION BY date) AS e FROM {REV_SQL}) WHERE value > e", lambda s, d: select.above_quantile(reversal(s, d), 0.8).select("date", "code", "value"))
+simple("bottom_quantile", f"{PICK} (SELECT *, quantile_cont(value, 0.2) OVER (PARTITION BY date) AS e FROM {REV_SQL}) WHERE value < e", lambda s, d: select.below_quantile(reversal(s, d), 0.2).select("date", "code", "value"))
+simple("equal_weight", f"SELECT date, code, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM {REV_SQL} WHERE value > 0", lambda s, d: select.equal_weight(reversal(s, d).filter("value > 0")).select("date", "code", F.round("weight", 6).alias("weight")))
+simple("cap_weight", f"SELECT date, code, round(cap / sum(cap) OVER (PARTITION BY date), 6) AS weight FROM {REV_SQL} WHERE value > 0", lambda s, d: select.proportional_weight(reversal(s, d).filter("value > 0"), "cap").select("date", "code", F.round("weight", 6).alias("weight")))
+simple("long_short_weight", f"SELECT date, code, round(x / nullif(sum(abs(x)) OVER (PARTITION BY date), 0), 5) AS weight FROM (SELECT *, value - avg(value) OVER (PARTITION BY date) AS x FROM {REV_SQL} WHERE value IS NOT NULL)", lambda s, d: select.long_short_weight(reversal(s, d).filter("value is not null")).select("date", "code", F.round("weight", 5).alias("weight")))
+
+# Transforms.
+simple(
+    "winsorize",
+    f"""SELECT date, code, CASE WHEN value IS NOT NULL THEN greatest(least(value, hi), lo) END AS value FROM (SELECT *, max(k) OVER (PARTITION BY date) AS hi, min(k) OVER (PARTITION BY date) AS lo FROM
+ (SELECT *, CASE WHEN value IS NOT NULL AND r > floor(n * 0.05) AND r <= n - floor(n * 0.05) THEN value END AS k FROM (SELECT *, row_number() OVER (PARTITION BY date, value IS NULL ORDER BY value) AS r, count(value) OVER (PARTITION BY date) AS n FROM {REV_SQL})))""",
+    lambda s, d: transform.winsorize(reversal(s, d), 0.05).select("date", "code", "value"),
+)
+simple("quantize_5", f"SELECT date, code, 1 + CAST(value > a AS INT) + CAST(value > b AS INT) + CAST(value > c AS INT) + CAST(value > d AS INT) AS quantile FROM (SELECT *, quantile_cont(value, 0.2) OVER w AS a, quantile_cont(value, 0.4) OVER w AS b, quantile_cont(value, 0.6) OVER w AS c, quantile_cont(value, 0.8) OVER w AS d FROM (SELECT date, code, close AS value FROM ({BARE})) WINDOW w AS (PARTITION BY date))", lambda s, d: transform.quantize(dense(s, d).withColumn("value", F.col("close")), 5).select("date", "code", "quantile"))
+simple(
+    "industry_neutralize",
+    f"""WITH b AS (SELECT * FROM ({BARE})), n AS (SELECT date, count(close) AS n FROM b GROUP BY 1), g AS (SELECT date, list(struct_pack(s := s, k := k) ORDER BY sector) AS g FROM (SELECT date, sector, sum(close) AS s, count(close) AS k FROM b WHERE close IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+ SELECT b.date, b.code, round(close - list_reduce(list_prepend(0.0, list_transform(range(0, len(g)), lambda i: CAST(i AS DOUBLE))), lambda c, i: c + (g[CAST(i AS INT) + 1].s - g[CAST(i AS INT) + 1].k * c) / n), 3) AS value FROM b JOIN n USING (date) JOIN g USING (date)""",
+    lambda s, d: transform.industry_neutralize(dense(s, d).withColumn("value", F.col("close")), "sector").select("date", "code", F.round("value", 3).alias("value")),
+)
+simple(
+    "size_industry_residual",
+    f"""SELECT date, code, round(y - coalesce(sum(x * y) OVER (PARTITION BY date) / nullif(sum(x * x) OVER (PARTITION BY date), 0), 0) * x, 3) AS value FROM
+ (SELECT date, code, close - avg(close) OVER (PARTITION BY date, sector) AS y, CASE WHEN close IS NOT NULL THEN ln(cap) END - avg(CASE WHEN close IS NOT NULL THEN ln(cap) END) OVER (PARTITION BY date, sector) AS x FROM ({BARE}))""",
+    lambda s, d: transform.size_industry_residual(dense(s, d).withColumns({"value": F.col("close"), "size": F.ln("cap")}), "sector", "size").select("date", "code", F.round("value", 3).alias("value")),
+)
+simple("decay_fill", f"SELECT date, code, round(last_value(close IGNORE NULLS) OVER w * pow(0.5, (r - last_value(CASE WHEN close IS NOT NULL THEN r END IGNORE NULLS) OVER w) / 3.0), 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS r FROM ({BARE})) WINDOW w AS (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)", lambda s, d: transform.decay_fill(dense(s, d).withColumn("value", F.col("close")), 3.0).select("date", "code", F.round("value", 4).alias("value")))
+
+# Labels and evaluation.
+FWD_SQL = f"SELECT date, code, round(lead(close, 1) OVER w / close - 1, 4) AS forward_1, round(lead(close, 3) OVER w / close - 1, 4) AS forward_3, CAST(lead(date, 1) OVER w AS DATE) AS end_1, CAST(lead(date, 3) OVER w AS DATE) AS end_3 FROM ({BARE}) WINDOW w AS (PARTITION BY code ORDER BY date)"
+simple("forward_returns", FWD_SQL, lambda s, d: evaluate.forward_returns(dense(s, d), (1, 3)))
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    f = REV | {"label": x.lead(c, 1) / c - 1.0}
+    return x.with_factors(dense(s, d), f).select("date", "code", "close", "cap", F.round("value", 6).alias("value"), F.round("label", 4).alias("label"))
+
+
+LAB_SQL = f"(SELECT date, code, close, cap, round(-1.0 * (close / nullif(p, 0) - 1), 6) AS value, round(n / nullif(close, 0) - 1, 4) AS label FROM (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY date) AS p, lead(close) OVER (PARTITION BY code ORDER BY date) AS n FROM ({BARE})))"
+IC_SQL = f"SELECT date, corr(a, b) AS ic FROM (SELECT date, rank() OVER (PARTITION BY date ORDER BY value) + (count(*) OVER (PARTITION BY date, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY label) + (count(*) OVER (PARTITION BY date, label) - 1) / 2.0 AS b FROM {LAB_SQL} WHERE value IS NOT NULL AND label IS NOT NULL) GROUP BY date"
+simple("rank_ic", f"SELECT date, round(ic, 6) AS ic FROM ({IC_SQL})", lambda s, d: evaluate.information_coefficient(labelled(s, d)).select("date", F.round("ic", 6).alias("ic")))
+simple("ic_summary", f"SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / stddev_samp(ic), 5) AS ir, round(avg(CASE WHEN abs(ic) >= 0.02 THEN 1.0 ELSE 0.0 END), 6) AS ability, count(ic) AS n FROM ({IC_SQL})", lambda s, d: evaluate.ic_summary(evaluate.information_coefficient(labelled(s, d))).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("ir", 5).alias("ir"), F.round("ability", 6).alias("ability"), "n"))
+simple(
+    "quantile_returns",
+    f"SELECT date, 1 + CAST(value > a AS INT) + CAST(value > b AS INT) + CAST(value > c AS INT) + CAST(value > d AS INT) AS quantile, round(avg(label), 6) AS mean_return, count(*) AS n FROM (SELECT *, quantile_cont(value, 0.2) OVER w AS a, quantile_cont(value, 0.4) OVER w AS b, quantile_cont(value, 0.6) OVER w AS c, quantile_cont(value, 0.8) OVER w AS d FROM {LAB_SQL} WHERE value IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY date)) GROUP BY 1, 2",
+    lambda s, d: evaluate.quantile_returns(labelled(s, d), 5).select("date", "quantile", F.round("mean_return", 6).alias("mean_return"), "n"),
+)
+HELD_SQL = f"SELECT date, sum(label / k) AS ret FROM (SELECT *, count(*) OVER (PARTITION BY date) AS k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value DESC, code) AS r FROM {LAB_SQL} WHERE value IS NOT NULL) WHERE r <= 10) WHERE label IS NOT NULL GROUP BY date"
+
+
+def held(s: SparkSession, d: str) -> DataFrame:
+    df = labelled(s, d)
+    picked = select.equal_weight(select.top_n(df, 10)).select("date", "code", "weight")
+    return evaluate.portfolio_value(picked, df.filter("label is not null").select("date", "code", F.col("label").alias("ret")))
+
+
+simple("portfolio_value", f"SELECT date, round(ret, 5) AS ret, round(nav, 3) AS nav, round(nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 4) AS drawdown FROM (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM ({HELD_SQL}))", lambda s, d: held(s, d).select("date", F.round("ret", 5).alias("ret"), F.round("nav", 3).alias("nav"), F.round("drawdown", 4).alias("drawdown")))
+simple("portfolio_metrics", f"SELECT round(avg(ret), 5) AS mean, round(stddev_samp(ret), 5) AS std, round(avg(ret) / stddev_samp(ret) * sqrt(12), 4) AS sharpe, round(max(ret), 5) AS best, round(min(ret), 5) AS worst, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate FROM ({HELD_SQL})", lambda s, d: evaluate.metrics(held(s, d)).select(*[F.round(k, n).alias(k) for k, n in (("mean", 5), ("std", 5), ("sharpe", 4), ("best", 5), ("worst", 5), ("win_rate", 5))]))
+simple("event_bars", "SELECT date_trunc('day', ts) AS ts, event_type AS code, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", lambda s, d: event_bars(panels.table(s, d, "events")))
+register("recursive_indicators")(lambda s, d: scan.indicators(dense(s, d)))
