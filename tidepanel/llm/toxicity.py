@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATOR, Words, blocks, mix, text_buffers, word_codes
+from .common import LOWER, Words, blocks, mix, ranges, word_codes
 
 WINDOW = 4
 SIZES = (3, 4, 5)
@@ -88,17 +88,30 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), -np.inf
-    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    parts = [(subwords(d, o), lo) for lo, _, d, o in blocks(pa.array(texts, pa.large_string()), 1 << 22)]
-    words_before = np.cumsum([0] + [len(p[0][0]) for p in parts])
-    word = np.concatenate([p[0][1] + words_before[i] for i, p in enumerate(parts)])
-    bucket = np.concatenate([p[0][2] for p in parts])
-    first = np.concatenate([p[0][0].first[:-1] + words_before[i] for i, p in enumerate(parts)] + [words_before[-1:]])
-    n_words = int(words_before[-1])
+    # Each different word is cut into subwords once; documents are sequences of words.
+    codes_of, kept, first, seen_words = [], [], [np.zeros(1, np.int64)], 0
+    for _, _, d, o in blocks(pa.array(texts, pa.large_string()), 1 << 18):
+        words, word, bucket = subwords(d, o)
+        codes = word_codes(LOWER[d], words)
+        unique, at, place = np.unique(codes, return_index=True, return_inverse=True)
+        take = np.isin(word, at)
+        kept.append((unique, place[word[take]].astype(np.int32), bucket[take].astype(np.int32)))
+        codes_of.append(codes)
+        first.append(words.first[1:] + seen_words)
+        seen_words += len(words)
+    first, codes = np.concatenate(first), np.concatenate(codes_of)
+    vocabulary, sequence = np.unique(codes, return_inverse=True)
+    have, entries = np.zeros(len(vocabulary), bool), []
+    for unique, place, bucket in kept:
+        number = np.searchsorted(vocabulary, unique)
+        new = ~have[number][place]
+        entries.append((number[place[new]], bucket[new]))
+        have[number] = True
+    word, bucket = (np.concatenate(x) for x in zip(*entries, strict=True))
+    del kept, entries, codes, codes_of
+    n_words = len(sequence)
     doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    order = np.argsort(word, kind="stable")
-    word, bucket = word[order], bucket[order]
-    grams = np.bincount(word, minlength=n_words)
+    grams = np.bincount(word, minlength=len(vocabulary)).astype(np.float64)
     used, bucket = np.unique(bucket, return_inverse=True)  # only the rows that the sample touches
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
@@ -106,32 +119,31 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     b = np.zeros(2, np.float32)
     seen = [np.full_like(x, 1e-6) for x in (e, w, b)]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-    n_grams = _window_sums(grams.astype(np.float64), first, WINDOW)
+    n_grams = _window_sums(grams[sequence], first, WINDOW)
     filled = np.flatnonzero(np.diff(first))
+    per = lambda index, weights, n: np.stack([np.bincount(index, weights=weights(k), minlength=n) for k in range(DIM)], 1)
     for step in range(rounds):
+        vectors = per(word, lambda k: e[bucket, k], len(vocabulary))
         if step < rounds // 3:
-            chosen = np.ones(n_words, bool)
+            chosen = np.arange(n_words)
         else:
-            worth = np.bincount(word, weights=(e @ (w[:, 1] - w[:, 0]))[bucket], minlength=n_words)
-            score = _window_sums(worth, first, WINDOW) / np.maximum(n_grams, 1)
+            score = _window_sums((vectors @ (w[:, 1] - w[:, 0]))[sequence], first, WINDOW) / n_grams
             top = np.maximum.reduceat(score, first[filled])
             best = np.flatnonzero(score == np.repeat(top, np.diff(first)[filled]))
             best = best[np.unique(doc_of[best], return_index=True)[1]]
-            change = np.zeros(n_words + 1, np.int64)
-            change[best] += 1
-            np.add.at(change, np.minimum(best + WINDOW, first[doc_of[best] + 1]), -1)
-            chosen = np.cumsum(change[:-1]) > 0
-        take = chosen[word]
-        rows, cols = doc_of[word[take]], bucket[take]
-        count = np.maximum(np.bincount(rows, minlength=len(texts)), 1).astype(np.float32)
-        mean = np.stack([np.bincount(rows, weights=e[cols, k], minlength=len(texts)) for k in range(DIM)], 1).astype(np.float32) / count[:, None]
+            stop = np.minimum(best + WINDOW, first[doc_of[best] + 1])
+            chosen = ranges(best, stop - best)
+        rows, ids = doc_of[chosen], sequence[chosen]
+        count = np.maximum(np.bincount(rows, weights=grams[ids], minlength=len(texts)), 1)
+        mean = per(rows, lambda k: vectors[ids, k], len(texts)) / count[:, None]
         z = mean @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= weight[:, None]
         back = (p @ w.T) / count[:, None]
-        g_e = np.stack([np.bincount(cols, weights=back[rows, k], minlength=len(used)) for k in range(DIM)], 1).astype(np.float32)
+        g_words = per(ids, lambda k: back[rows, k], len(vocabulary))
+        g_e = per(bucket, lambda k: g_words[word, k], len(used)).astype(np.float32)
         for x, g, s, rate in ((e, g_e, seen[0], 0.5), (w, mean.T @ p, seen[1], 0.2), (b, p.sum(0), seen[2], 0.2)):
             s += g * g
             x -= rate * g / np.sqrt(s)
