@@ -157,7 +157,7 @@ def _score(model, with_text: bool):
         logit, bias = model.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for lo, hi, data, offsets in blocks(batch.column("text")):
+            for lo, hi, data, offsets in blocks(batch.column("text"), 1 << 17):  # a byte has three subwords of many numbers each
                 words, word, bucket = subwords(data, offsets)
                 z = np.zeros(hi - lo)
                 if len(words):
