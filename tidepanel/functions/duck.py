@@ -78,4 +78,5 @@ def sql(panel: str, factors: dict[str, Expr], keep: tuple[str, ...] = ("date", "
     query = panel
     for d in sorted({depth[e] for e in calls}):
         query = f"SELECT *, {', '.join(f'{text(e, e)} AS {names[e]}' for e in calls if depth[e] == d)} FROM ({query})"
-    return f"SELECT {', '.join(keep)}, {', '.join(f'round({text(e)}, {digits}) AS {name}' for name, e in factors.items())} FROM ({query})"
+    # Adding zero turns a negative zero, which Spark's round never gives, into zero.
+    return f"SELECT {', '.join(keep)}, {', '.join(f'round({text(e)}, {digits}) + 0.0 AS {name}' for name, e in factors.items())} FROM ({query})"
