@@ -63,7 +63,7 @@ c, o, h, lo, v, m = (x.col(n) for n in ("close", "open", "high", "low", "volume"
 expressions("ts_lags", {"delay_1": x.delay(c, 1), "lead_2": x.lead(c, 2), "delta_1": x.delta(c, 1), "delta_3": x.delta(c, 3), "paper_delta_3": x.delta(c, 3, order=False), "returns_1": x.returns(c)})
 expressions("ts_moments", {"sum_5": x.ts_sum(c, 5), "mean_5": x.ts_mean(c, 5), "full_mean_5": x.ts_mean(c, 5, 5), "std_6": x.stddev(c, 6), "var_6": x.variance(v, 6), "median_5": x.ts_median(c, 5)}, 4)
 expressions("ts_extremes", {"min_5": x.ts_min(lo, 5), "max_5": x.ts_max(h, 5), "argmax_6": x.ts_argmax(c, 6), "argmin_6": x.ts_argmin(c, 6), "rank_6": x.ts_rank(c, 6)})
-expressions("ts_paired", {"corr_6": x.correlation(c, v, 6), "cov_6": x.covariance(c, v, 6), "slope_6": x.regression_slope(c, v, 6), "alpha_6": x.regression_intercept(c, v, 6)}, 1)
+expressions("ts_paired", {"corr_6": x.correlation(c, v, 6), "cov_6": x.covariance(c, v, 6) / 1000.0, "slope_6": x.regression_slope(c, v, 6), "alpha_6": x.regression_intercept(c, v, 6) / 1000.0}, 2)
 expressions("ts_decay_product", {"decay_5": x.decay_linear(c, 5), "log_product_4": x.ts_sum(x.log(c), 4), "up_count_6": x.ts_count(c > x.delay(c, 1), 6), "adv_6": x.adv(m, 6)}, 4)
 expressions("ts_norms", {"stable_6": x.ts_mean(c, 6, 6) / x.stddev(c, 6, 6), "min_max_6": (c - x.ts_min(c, 6)) / (x.ts_max(c, 6) - x.ts_min(c, 6)), "z_6": (c - x.ts_mean(c, 6, 6)) / x.stddev(c, 6, 6), "max_abs_6": (c - x.ts_min(c, 6)) / (x.ts_max(c, 6) - x.ts_min(c, 6)) * 2.0 - 1.0})
 expressions("ts_cumulative", {"filled": x.forward_fill(c), "cum_volume": x.running_sum(v), "high_water": x.running_max(h), "drawdown": c / x.running_max(h) - 1.0}, 4)
