@@ -6,7 +6,7 @@ expression itself.
 
 from __future__ import annotations
 
-from .expr import Expr
+from .expr import NUDGE, Expr
 
 W = "(PARTITION BY code ORDER BY date ROWS BETWEEN {p} PRECEDING AND CURRENT ROW)"
 _PLAIN = {
@@ -16,7 +16,7 @@ _PLAIN = {
     "pow": "pow({0}, {1})", "spow": "(sign({0}) * pow(abs({0}), {1}))", "max2": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END", "min2": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END",
     "where": "CASE WHEN {0} THEN {1} ELSE {2} END", "coalesce": "coalesce({0}, {1})",
 }
-_ROLLING = {"ts_sum": "sum({0})", "ts_mean": "avg({0})", "ts_min": "min({0})", "ts_max": "max({0})", "stddev": "stddev_pop({0})", "variance": "var_pop({0})", "ts_median": "quantile_cont({0}, 0.5)"}
+_ROLLING = {"ts_sum": "sum({0})", "ts_mean": "avg({0})", "ts_min": "min({0})", "ts_max": "max({0})", "stddev": "stddev_pop({0})", "stddev_s": "stddev_samp({0})", "variance": "var_pop({0})", "ts_median": "quantile_cont({0}, 0.5)"}
 _PAIRED = {"covariance": "covar_pop({a}, {b})", "std_x": "stddev_pop({a})", "slope": "regr_slope({a}, {b})", "intercept": "regr_intercept({a}, {b})"}
 _CROSS = {"cs_mean": "avg({0})", "cs_sum": "sum({0})", "cs_std": "stddev_pop({0})", "cs_std_s": "stddev_samp({0})", "cs_min": "min({0})", "cs_max": "max({0})", "cs_count": "count({0})"}
 
@@ -36,6 +36,33 @@ def _text(e: Expr, a: list[str]) -> str:
         w, both = W.format(p=p[0] - 1), f"{a[0]} IS NOT NULL AND {a[1]} IS NOT NULL"
         x, y = (f"CASE WHEN {both} THEN {v} END" for v in a)
         return f"CASE WHEN count(CASE WHEN {both} THEN 1 END) OVER {w} = {p[0]} THEN {_PAIRED[n].format(a=x, b=y)} OVER {w} END"
+    if n == "nearest":
+        return f"round({a[0]}, {p[0]})"
+    if n == "null":
+        return "CAST(NULL AS DOUBLE)"
+    if n == "row_index":
+        return "CAST(row_number() OVER (PARTITION BY code ORDER BY date) AS DOUBLE)"
+    if n == "groups":
+        return f"list_filter(list_sort(list(DISTINCT CASE WHEN {a[2]} > 0 AND {a[0]} IS NOT NULL THEN struct_pack(g := {a[0]}, s := {a[1]}, n := {a[2]}) END) OVER (PARTITION BY date)), lambda q: q IS NOT NULL)"
+    if n == "neutralize":
+        return f"({a[0]} - list_reduce({a[1]}, lambda c, q: c + (q.s - q.n * c) / nullif({a[2]}, 0), CAST(0 AS DOUBLE)))"
+    if n == "history":
+        return f"list({a[0]}) FILTER ({a[0]} IS NOT NULL) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    if n == "known":
+        return f"count({a[0]}) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    if n == "exponential":
+        return f"CASE WHEN {a[0]} IS NOT NULL AND {a[2]} >= {p[0]} THEN list_reduce({a[1]}[{p[0] + 1}:], lambda y, q: y * {1 - p[1]!r} + q * {p[1]!r}, list_sum({a[1]}[:{p[0]}]) / {p[0]}) END"
+    if n in ("picked_low", "picked_high"):
+        w = W.format(p=p[0] - 1)
+        both = f"{a[0]} IS NOT NULL AND {a[1]} IS NOT NULL"
+        pairs = f"list(struct_pack(b := {'' if n == 'picked_low' else '-'}{a[1]}, t := date, a := {a[0]})) FILTER ({both}) OVER {w}"
+        return f"CASE WHEN len({pairs}) = {p[0]} THEN list_sum(list_transform(list_sort({pairs})[:{p[1]}], lambda q: q.a)) END"
+    if n in ("ts_skew", "ts_kurt"):
+        # Population moments about the window's mean, from the collected window.
+        w = W.format(p=p[0] - 1)
+        every = f"list({a[0]}) FILTER ({a[0]} IS NOT NULL) OVER {w}"
+        mean, var, power, less = f"avg({a[0]}) OVER {w}", f"var_pop({a[0]}) OVER {w}", 3 if n == "ts_skew" else 4, 0 if n == "ts_skew" else 3
+        return f"CASE WHEN count({a[0]}) OVER {w} >= {p[1]} THEN list_sum(list_transform({every}, lambda q: pow(q - {mean}, {power}))) / len({every}) / nullif(pow({var}, {power / 2}), 0) - {less} END"
     if n == "ts_count":
         return f"sum(CASE WHEN {a[0]} THEN 1.0 ELSE 0.0 END) OVER {W.format(p=p[0] - 1)}"
     if n in ("delay", "lead"):
@@ -79,4 +106,4 @@ def sql(panel: str, factors: dict[str, Expr], keep: tuple[str, ...] = ("date", "
     for d in sorted({depth[e] for e in calls}):
         query = f"SELECT *, {', '.join(f'{text(e, e)} AS {names[e]}' for e in calls if depth[e] == d)} FROM ({query})"
     # Adding zero turns a negative zero, which Spark's round never gives, into zero.
-    return f"SELECT {', '.join(keep)}, {', '.join(f'round({text(e)}, {digits}) + 0.0 AS {name}' for name, e in factors.items())} FROM ({query})"
+    return f"SELECT {', '.join(keep)}, {', '.join(f'round({text(e)} + {NUDGE!r}, {digits}) + 0.0 AS {name}' for name, e in factors.items())} FROM ({query})"

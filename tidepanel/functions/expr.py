@@ -59,6 +59,8 @@ def col(name: str) -> Expr:
 
 
 def lit(x) -> Expr:
+    if x is None:
+        return Expr("null", build=lambda: F.lit(None).cast("double"))
     return x if isinstance(x, Expr) else Expr("lit", params=(float(x),), build=lambda: F.lit(float(x)))
 
 
@@ -127,6 +129,7 @@ def ts_mean(x, d, least=None): return _rolling("ts_mean", F.avg, x, d, least)
 def ts_min(x, d, least=None): return _rolling("ts_min", F.min, x, d, least)
 def ts_max(x, d, least=None): return _rolling("ts_max", F.max, x, d, least)
 def stddev(x, d, least=None): return _rolling("stddev", F.stddev_pop, x, d, least)
+def sample_std(x, d, least=None): return _rolling("stddev_s", F.stddev_samp, x, d, d if least is None else least)
 def variance(x, d, least=None): return _rolling("variance", F.var_pop, x, d, d if least is None else least)
 def ts_median(x, d, least=None): return _rolling("ts_median", lambda a: F.percentile(a, F.lit(0.5)), x, d, d if least is None else least)
 def ts_count(c, d): return _call("ts_count", lambda a: F.sum(F.when(a, 1.0).otherwise(0.0)).over(trailing(d)), c, params=(d,), window=True)
@@ -144,8 +147,15 @@ def _paired(name: str, agg, x, y, d: int):
     return _call(name, build, x, y, params=(int(d),), window=True)
 
 
-def correlation(x, y, d): return covariance(x, y, d) / (_paired("std_x", lambda a, _: F.stddev_pop(a), x, y, d) * _paired("std_x", lambda a, _: F.stddev_pop(a), y, x, d))
-def covariance(x, y, d): return _paired("covariance", F.covar_pop, x, y, d)
+def nearest(x, digits: int): return _call("nearest", lambda a: F.round(a, digits), x, params=(digits,))
+
+
+def correlation(x, y, d):
+    """Pearson correlation, to nine digits: windows of ranks often tie, and a sum's last bits shall not part them."""
+    return nearest(_paired("covariance", F.covar_pop, x, y, d) / (_paired("std_x", lambda a, _: F.stddev_pop(a), x, y, d) * _paired("std_x", lambda a, _: F.stddev_pop(a), y, x, d)), 9)
+
+
+def covariance(x, y, d): return nearest(_paired("covariance", F.covar_pop, x, y, d), 9)
 def regression_slope(y, x, d): return _paired("slope", F.regr_slope, y, x, d)
 def regression_intercept(y, x, d): return _paired("intercept", F.regr_intercept, y, x, d)
 
@@ -193,6 +203,47 @@ def ts_argmin(x, d: int):
 def forward_fill(x): return _call("ffill", lambda a: F.last(a, ignorenulls=True).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
 def running_sum(x): return _call("cumsum", lambda a: F.sum(a).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
 def running_max(x): return _call("cummax", lambda a: F.max(a).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
+def row_index(): return _call("row_index", lambda: F.row_number().over(_by_code()).cast("double"), window=True)
+def positive_variance(x, d: int): return ts_count(lit(x) > 0, d) * _rolling("variance", F.var_pop, where(lit(x) > 0, x, None), d, 1) / float(d)
+def ts_skew(x, d: int): return _rolling("ts_skew", F.skewness, x, d, d)
+def ts_kurt(x, d: int): return _rolling("ts_kurt", F.kurtosis, x, d, d)
+
+
+def exponential(x, period: int, alpha: float | None = None):
+    """Exponential mean seeded with the mean of the first ``period`` known values; null before, and where x is.
+
+    Each row folds the values whose weight is above 1e-16, so what a row collects is bounded however long the history.
+    """
+    alpha = alpha or 2.0 / (period + 1)
+    rows = period + (1 if alpha >= 1 else math.ceil(36.8 / -math.log1p(-alpha)))
+    history = _call("history", lambda a: F.collect_list(a).over(_by_code().rowsBetween(-rows, 0)), x, params=(rows,), window=True)
+    known = _call("known", lambda a: F.count(a).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
+
+    def build(a, every, n):
+        size = F.size(every)
+        seeded = size == n
+        first = F.aggregate(F.slice(every, 1, period), F.lit(0.0), lambda t, q: t + q) / float(period)
+        start = F.when(seeded, first).otherwise(every[0])
+        rest = F.when(seeded, F.slice(every, period + 1, F.greatest(size - period, F.lit(0)))).otherwise(F.slice(every, 2, F.greatest(size - 1, F.lit(0))))
+        return F.when(a.isNotNull() & (n >= period), F.aggregate(rest, start, lambda y, q: y + alpha * (q - y)))
+
+    return _call("exponential", build, x, history, known, params=(period, alpha))
+
+
+def sma(x, n: int, m: int = 1):
+    """Exponential mean whose period is that of the weight m / n, cut to whole rows."""
+    return exponential(x, int(2 / (m / n) - 1))
+
+
+def picked_sum(x, by, d: int, k: int, lowest: bool = True):
+    """Sum of x at the k rows of the last d with the lowest (highest) ``by``; ties go to the older row; null where the window is not full."""
+
+    def build(a, b):
+        w = trailing(d)
+        pairs = F.collect_list(F.when(a.isNotNull() & b.isNotNull(), F.struct((b if lowest else -b).alias("b"), F.struct(DATE).alias("t"), a.alias("a")))).over(w)
+        return F.when(F.size(pairs) == int(d), F.aggregate(F.slice(F.array_sort(pairs), 1, int(k)), F.lit(0.0), lambda t, q: t + q["a"]))
+
+    return _call("picked_low" if lowest else "picked_high", build, x, by, params=(int(d), int(k)), window=True)
 
 
 # Cross-section: the rows of a date.
@@ -236,6 +287,17 @@ def zscore(x, by=(), sample: bool = False): return demean(x, by) / cs_std(x, by,
 def min_max(x, by=()): return (lit(x) - cs_min(x, by)) / (cs_max(x, by) - cs_min(x, by))
 
 
+def neutralize(x, group: str):
+    """Subtracts one shift from all of a date: group after group, the mean over all values of what the group's members have left."""
+
+    def build(g, s, n):
+        return F.array_sort(F.collect_set(F.when((n > 0) & g.isNotNull(), F.struct(g.alias("g"), s.alias("s"), n.alias("n")))).over(Window.partitionBy(DATE)))
+
+    groups = _call("groups", build, col(group), cs_sum(x, (group,)), cs_count(x, (group,)), window=True)
+    fold = lambda a, q, total: a - F.aggregate(q, F.lit(0.0), lambda c, e: c + F.try_divide(e["s"] - e["n"] * c, total))
+    return _call("neutralize", fold, x, groups, cs_count(x))
+
+
 def mad_clip(x, k: float = 3.0):
     m = cs_median(x)
     spread = cs_median(absolute(lit(x) - m))
@@ -274,7 +336,15 @@ def with_factors(panel: DataFrame, factors: dict[str, Expr]) -> DataFrame:
     return df.withColumns({name: column(e) for name, e in factors.items()}).drop(*names.values())
 
 
+#: Ratios of ranks are often exact halves of the last digit kept; this decides them before a sum's last bits do.
+NUDGE = 3e-8
+
+
+def rounded(c: str, digits: int) -> Column:
+    return F.round(F.col(c) + NUDGE, digits)
+
+
 def factor(panel: DataFrame, e: Expr, name: str = "value", digits: int | None = None) -> DataFrame:
     """(date, code, value) of one expression, without nulls."""
     df = with_factors(panel, {name: e}).select(DATE, CODE, name).filter(F.col(name).isNotNull())
-    return df.withColumn(name, F.round(name, digits)) if digits is not None else df
+    return df.withColumn(name, rounded(name, digits)) if digits is not None else df

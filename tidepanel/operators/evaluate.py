@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
+from .select import long_short_weight
 from .transform import quantize
 
 
@@ -65,3 +66,81 @@ def ic_weights(df: DataFrame, factors: list[str], label: str) -> DataFrame:
         every = every.unionByName(p)
     total = every.agg(F.sum(F.abs("ic")).alias("t"))
     return every.join(F.broadcast(total), how="inner").select("factor", "ic", F.try_divide("ic", "t").alias("weight"))  # one row
+
+
+def information_analysis(ic: DataFrame) -> DataFrame:
+    """Mean, deviation, ratio, t statistic, skew and excess kurtosis of a series of coefficients."""
+    mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
+    return ic.agg(mean.alias("mean"), std.alias("std"), F.try_divide(mean, std).alias("ir"), (F.try_divide(mean, std) * F.sqrt(n)).alias("t"), F.skewness("ic").alias("skew"), F.kurtosis("ic").alias("kurt"), n.alias("n"))
+
+
+def factor_returns(df: DataFrame, value: str = "value", label: str = "label") -> DataFrame:
+    """(date, ret) of demeaned weights over the label."""
+    weighted = long_short_weight(df.filter(F.col(value).isNotNull()), value)
+    return weighted.groupBy("date").agg(F.sum(F.col("weight") * F.col(label)).alias("ret"))
+
+
+def quantile_spread(by_quantile: DataFrame, bins: int) -> DataFrame:
+    """(date, spread): mean return of the top bucket less that of the bottom one."""
+    of = lambda q: F.max(F.when(F.col("quantile") == q, F.col("mean_return")))
+    return by_quantile.groupBy("date").agg((of(bins) - of(1)).alias("spread"))
+
+
+def factor_correlations(df: DataFrame, factors: list[str]) -> DataFrame:
+    """(a, b, pearson) of every pair of the named columns, pooled over rows, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    one = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("pearson")) for i, (a, b) in enumerate(pairs)])))
+
+
+def drawdown_episodes(value: DataFrame) -> DataFrame:
+    """(start, valley, end, rows, depth) of each stretch below the high water mark of (date, nav); dates are bounded by a calendar."""
+    w = Window.orderBy("date")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    below = value.withColumn("dd", F.col("nav") / F.max("nav").over(upto) - 1)
+    marked = below.withColumn("_e", F.sum(F.when(F.col("dd") < 0, 0).otherwise(1)).over(upto)).filter("dd < 0")
+    return marked.groupBy("_e").agg(F.min("date").alias("start"), F.min_by("date", F.struct("dd", "date")).alias("valley"), F.max("date").alias("end"), F.count("*").alias("rows"), F.min("dd").alias("depth")).drop("_e")
+
+
+def trade_stats(value: DataFrame) -> DataFrame:
+    """Win rate, mean win and loss, payoff ratio, Kelly share and normal value at risk of (date, ret)."""
+    win, loss = F.avg(F.when(F.col("ret") > 0, F.col("ret"))), F.avg(F.when(F.col("ret") < 0, F.col("ret")))
+    rate, payoff = F.avg((F.col("ret") > 0).cast("double")), F.try_divide(win, F.abs(loss))
+    return value.agg(rate.alias("win_rate"), win.alias("avg_win"), loss.alias("avg_loss"), payoff.alias("payoff"), (rate - F.try_divide(1 - rate, payoff)).alias("kelly"), (F.avg("ret") - F.stddev_samp("ret") * 1.6448536269514722).alias("value_at_risk"))
+
+
+def newey_west(series: DataFrame, column: str, lags: int) -> DataFrame:
+    """(mean, se, t) of a dated series, its variance with Bartlett weights on ``lags`` autocovariances."""
+    w = Window.orderBy("date")
+    centred = series.filter(F.col(column).isNotNull()).select("date", F.col(column).alias("x"))
+    centred = centred.withColumn("m", F.avg("x").over(Window.partitionBy(F.lit(1)))).withColumn("e", F.col("x") - F.col("m"))
+    centred = centred.withColumns({f"p{k}": F.col("e") * F.lag("e", k).over(w) for k in range(1, lags + 1)})
+    n = F.count("*")
+    total = F.sum(F.col("e") * F.col("e"))
+    for k in range(1, lags + 1):
+        total = total + F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) * (2 * (1 - k / (lags + 1)))
+    return centred.agg(F.avg("x").alias("mean"), (F.sqrt(F.greatest(total, F.lit(0.0))) / n).alias("se")).withColumn("t", F.try_divide("mean", "se"))
+
+
+def triple_barrier(panel: DataFrame, up: float, down: float, rows: int, price: str = "close") -> DataFrame:
+    """(date, code, label): 2 if the price first rises by ``up`` within so many rows, 0 if it first falls by ``down``, else 1; null where the window is not full."""
+    w = Window.partitionBy("code").orderBy("date").rowsBetween(1, rows)
+    moves = F.transform("_ahead", lambda p: F.try_divide(p, F.col(price)) - 1)
+    df = panel.withColumn("_ahead", F.collect_list(price).over(w)).withColumn("_first", F.get(F.filter(moves, lambda q: (q >= up) | (q <= -down)), F.lit(0)))
+    hit = F.col("_first")
+    label = F.when(F.size("_ahead") < rows, F.lit(None).cast("int")).when(hit >= up, 2).when(hit <= -down, 0).otherwise(1)
+    return df.filter(F.col(price).isNotNull()).select("date", "code", label.alias("label"))
+
+
+def sorted_portfolios(df: DataFrame, first: str, second: str, bins: tuple[int, int], label: str = "label", weight: str | None = None) -> DataFrame:
+    """(date, a, b, ret, n): return of each cell of two independent sorts, weighted by a column or equally."""
+    both = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(label).isNotNull())
+    cells = quantize(quantize(both, bins[0], first, "a"), bins[1], second, "b")
+    w = F.col(weight) if weight else F.lit(1.0)
+    return cells.groupBy("date", "a", "b").agg(F.try_divide(F.sum(F.col(label) * w), F.sum(w)).alias("ret"), F.count("*").alias("n"))
+
+
+def size_value_spreads(cells: DataFrame, bins: tuple[int, int]) -> DataFrame:
+    """(date, smb, hml): small less big and high less low, each over the mean of the other sort's cells."""
+    of = lambda k, q: F.avg(F.when(F.col(k) == q, F.col("ret")))
+    return cells.groupBy("date").agg((of("a", 1) - of("a", bins[0])).alias("smb"), (of("b", bins[1]) - of("b", 1)).alias("hml"))

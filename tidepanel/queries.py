@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import duck
 from .functions import expr as x
+from .plans import alphas_industry, short_horizon
 from .plans.alphas import formulas
 from .sources import panels
 
@@ -49,14 +50,24 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-def expressions(name: str, factors: dict[str, x.Expr], digits: int = 6) -> None:
-    """A query of expressions over the dense panel."""
+DAILY_SQL = f"""SELECT b.*, n_name AS industry, n_regionkey AS sector, s_acctbal + 2000 AS cap
+ FROM ({bars_sql("day")}) b LEFT JOIN supplier ON code = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey"""
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the days on which a supplier traded, with industry, sector and cap: windows count a supplier's own days."""
+    cap = panels.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), (F.col("s_acctbal") + 2000).alias("cap"))
+    return panels.bars(spark, sf_dir, "day").join(panels.industries(spark, sf_dir).join(cap, "code"), "code", "left")
+
+
+def expressions(name: str, factors: dict[str, x.Expr], digits: int = 6, days: bool = False) -> None:
+    """A query of expressions over the dense panel of months, or that of days."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = x.with_factors(dense(spark, sf_dir), factors)
-        return df.select("date", "code", *[F.round(c, digits).alias(c) for c in factors])
+        df = x.with_factors((daily if days else dense)(spark, sf_dir), factors)
+        return df.select("date", "code", *[x.rounded(c, digits).alias(c) for c in factors])
 
-    register(name, duck.sql(DENSE_SQL, factors, digits=digits))(query)
+    register(name, duck.sql(DAILY_SQL if days else DENSE_SQL, factors, digits=digits))(query)
 
 
 c, o, h, lo, v, m = (x.col(n) for n in ("close", "open", "high", "low", "volume", "money"))
@@ -73,6 +84,10 @@ expressions("cs_groups", {"ind_demean": x.demean(c, ("sector",)), "ind_z": x.zsc
 expressions("elementwise", {"log_v": x.log(v), "sqrt_m": x.sqrt(m), "cube": x.cube_root(c - o), "spow": x.signed_power(c - o, 0.5), "sign": x.sign(c - o), "clip": x.clip(c, 20000.0, 60000.0), "where": x.where((c > o) & (v > 50), 1.0, -1.0), "max": x.maximum(c, o), "min": x.minimum(c, o)}, 4)
 for _name, _e in formulas("sector").items():
     expressions(_name, {"value": _e}, 4)
+for _name, _e in alphas_industry.formulas("sector", "sector").items():
+    expressions(_name, {"value": _e}, 4, days=_name in alphas_industry.LONG)
+for _name, _e in short_horizon.formulas().items():
+    expressions(_name, {"value": _e}, 4, days=_name in short_horizon.LONG)
 
 _decay = {"value": x.decay_linear(x.rank(x.returns(c)), 5)}
 

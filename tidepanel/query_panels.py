@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import duck
 from .functions import expr as x
-from .operators import evaluate, joins, scan, select, transform
-from .queries import DENSE_SQL, bars_sql, dense, register
+from .operators import evaluate, joins, scan, select, statements, transform
+from .plans import library
+from .queries import DENSE_SQL, bars_sql, dense, expressions, register
 from .sources import panels
 from .streaming.bars import event_bars
 
@@ -19,7 +20,7 @@ BARE = "SELECT date, code, close, sector, cap FROM (" + DENSE_SQL + ")"
 
 
 def reversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = x.with_factors(dense(spark, sf_dir), REV).select("date", "code", "close", "sector", "cap", F.round("value", 6).alias("value"))
+    df = x.with_factors(dense(spark, sf_dir), REV).select("date", "code", "close", "sector", "cap", x.rounded("value", 6).alias("value"))
     return df
 
 
@@ -138,3 +139,74 @@ simple("portfolio_value", f"SELECT date, round(ret, 5) AS ret, round(nav, 3) AS
 simple("portfolio_metrics", f"SELECT round(avg(ret), 5) AS mean, round(stddev_samp(ret), 5) AS std, round(avg(ret) / stddev_samp(ret) * sqrt(12), 4) AS sharpe, round(max(ret), 5) AS best, round(min(ret), 5) AS worst, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate FROM ({HELD_SQL})", lambda s, d: evaluate.metrics(held(s, d)).select(*[F.round(k, n).alias(k) for k, n in (("mean", 5), ("std", 5), ("sharpe", 4), ("best", 5), ("worst", 5), ("win_rate", 5))]))
 simple("event_bars", "SELECT date_trunc('day', ts) AS ts, event_type AS code, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", lambda s, d: event_bars(panels.table(s, d, "events")))
 register("recursive_indicators")(lambda s, d: scan.indicators(dense(s, d)))
+
+# Families of factors.
+for _family, _factors in library.groups().items():
+    expressions(f"factors_{_family}", _factors, 4)
+
+# Statements: a customer's orders add up within a year, quarter by quarter.
+YTD_SQL = "SELECT code, period, sum(total) OVER (PARTITION BY code, year(period) ORDER BY period) AS ytd, pub FROM (SELECT o_custkey AS code, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS pub FROM orders GROUP BY 1, 2)"
+Q_SQL = f"SELECT a.code, a.period, CASE WHEN quarter(a.period) = 1 THEN a.ytd ELSE a.ytd - b.ytd END AS single, a.ytd, a.pub FROM ({YTD_SQL}) a LEFT JOIN ({YTD_SQL}) b ON a.code = b.code AND b.period = a.period - INTERVAL 3 MONTH"
+
+
+def year_to_date(s: SparkSession, d: str) -> DataFrame:
+    per = _orders(s, d).groupBy("code", F.to_date(F.date_trunc("quarter", "pub_date")).alias("period")).agg(F.round(F.sum("price"), 2).alias("total"), F.max("pub_date").alias("pub"))
+    w = Window.partitionBy("code", F.year("period")).orderBy("period")
+    return per.select("code", "period", F.sum("total").over(w).alias("ytd"), "pub")
+
+
+def quarters(s: SparkSession, d: str) -> DataFrame:
+    return statements.single_quarter(year_to_date(s, d), "ytd", "single")
+
+
+simple("single_quarter", f"SELECT code, period, round(single, 2) AS single FROM ({Q_SQL})", lambda s, d: quarters(s, d).select("code", "period", F.round("single", 2).alias("single")))
+simple(
+    "trailing_year",
+    f"SELECT a.code, a.period, round(CASE WHEN count(b.single) = 4 THEN sum(b.single) END, 1) AS ttm, round(avg(b.single), 1) AS mean_4 FROM ({Q_SQL}) a LEFT JOIN ({Q_SQL}) b ON a.code = b.code AND b.period <= a.period AND b.period >= a.period - INTERVAL 9 MONTH GROUP BY 1, 2",
+    lambda s, d: statements.average_of_last(statements.trailing_year(quarters(s, d), "single", "ttm"), "single", "mean_4").select("code", "period", F.round("ttm", 1).alias("ttm"), F.round("mean_4", 1).alias("mean_4")),
+)
+simple("year_over_year", f"SELECT a.code, a.period, round((a.ytd - b.ytd) / nullif(abs(b.ytd), 0) + 3e-8, 4) + 0.0 AS growth FROM ({YTD_SQL}) a LEFT JOIN ({YTD_SQL}) b ON a.code = b.code AND b.period = a.period - INTERVAL 1 YEAR", lambda s, d: statements.year_over_year(year_to_date(s, d), "ytd", "growth").select("code", "period", x.rounded("growth", 4).alias("growth")))
+simple(
+    "statement_surprise",
+    f"WITH g AS (SELECT a.code, a.period, a.ytd - b.ytd AS g FROM ({YTD_SQL}) a LEFT JOIN ({YTD_SQL}) b ON a.code = b.code AND b.period = a.period - INTERVAL 1 YEAR) SELECT a.code, a.period, round((a.g - avg(b.g)) / nullif(stddev_samp(b.g), 0) + 3e-8, 3) + 0.0 AS surprise FROM g a LEFT JOIN g b ON a.code = b.code AND b.period < a.period AND b.period >= a.period - INTERVAL 24 MONTH GROUP BY a.code, a.period, a.g",
+    lambda s, d: statements.surprise(year_to_date(s, d), "ytd", "surprise").select("code", "period", x.rounded("surprise", 3).alias("surprise")),
+)
+simple(
+    "known_statements",
+    f"SELECT q.code, CAST(q.date AS DATE) AS date, r.ytd FROM (SELECT c_custkey AS code, unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01', INTERVAL 3 MONTH)) AS date FROM customer) q ASOF LEFT JOIN ({YTD_SQL}) r ON q.code = r.code AND q.date >= r.pub",
+    lambda s, d: statements.as_known(_quarter_ends(s, d), year_to_date(s, d), ["ytd"], "pub").select("code", F.to_date("date").alias("date"), "ytd"),
+)
+
+# More of evaluation.
+SPREAD_SQL = f"SELECT date, avg(CASE WHEN quantile = 5 THEN label END) - avg(CASE WHEN quantile = 1 THEN label END) AS spread FROM (SELECT date, label, 1 + CAST(value > a AS INT) + CAST(value > b AS INT) + CAST(value > c AS INT) + CAST(value > d AS INT) AS quantile FROM (SELECT *, quantile_cont(value, 0.2) OVER w AS a, quantile_cont(value, 0.4) OVER w AS b, quantile_cont(value, 0.6) OVER w AS c, quantile_cont(value, 0.8) OVER w AS d FROM {LAB_SQL} WHERE value IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY date))) GROUP BY 1"
+RET_SQL = f"SELECT date, sum(y / nullif(t, 0) * label) AS ret FROM (SELECT *, sum(abs(y)) OVER (PARTITION BY date) AS t FROM (SELECT *, value - avg(value) OVER (PARTITION BY date) AS y FROM {LAB_SQL} WHERE value IS NOT NULL)) GROUP BY 1"
+NAV_SQL = f"SELECT date, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM ({HELD_SQL})"
+simple("information_analysis", f"SELECT round(avg(ic), 5) AS mean, round(stddev_samp(ic), 5) AS std, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 4) AS t, round(avg(pow(ic - m, 3)) / pow(var_pop(ic), 1.5), 4) AS skew, round(avg(pow(ic - m, 4)) / pow(var_pop(ic), 2) - 3, 4) AS kurt FROM (SELECT ic, avg(ic) OVER () AS m FROM ({IC_SQL}))", lambda s, d: evaluate.information_analysis(evaluate.information_coefficient(labelled(s, d))).select(*[F.round(k, n).alias(k) for k, n in (("mean", 5), ("std", 5), ("t", 4), ("skew", 4), ("kurt", 4))]))
+simple("factor_returns", f"SELECT date, round(ret, 5) + 0.0 AS ret FROM ({RET_SQL})", lambda s, d: evaluate.factor_returns(labelled(s, d)).select("date", F.round("ret", 5).alias("ret")))
+simple("quantile_spread", f"SELECT date, round(spread, 5) + 0.0 AS spread FROM ({SPREAD_SQL})", lambda s, d: evaluate.quantile_spread(evaluate.quantile_returns(labelled(s, d), 5), 5).select("date", F.round("spread", 5).alias("spread")))
+simple("factor_correlations", f"SELECT 'close' AS a, 'cap' AS b, round(corr(close, cap), 5) AS pearson FROM {LAB_SQL} UNION ALL SELECT 'close', 'value', round(corr(close, value), 5) FROM {LAB_SQL} UNION ALL SELECT 'cap', 'value', round(corr(cap, value), 5) FROM {LAB_SQL}", lambda s, d: evaluate.factor_correlations(labelled(s, d), ["close", "cap", "value"]).withColumn("pearson", F.round("pearson", 5)))
+simple(
+    "drawdown_episodes",
+    f'SELECT min(date) AS start, arg_min(date, (dd, date)) AS valley, max(date) AS "end", count(*) AS "rows", round(min(dd), 4) AS depth FROM (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT date, nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM ({NAV_SQL}))) WHERE dd < 0 GROUP BY e',
+    lambda s, d: evaluate.drawdown_episodes(held(s, d)).withColumn("depth", F.round("depth", 4)),
+)
+simple("trade_stats", f"SELECT round(w, 5) AS win_rate, round(a, 5) AS avg_win, round(b, 5) AS avg_loss, round(w - (1 - w) / (a / abs(b)), 4) AS kelly, round(v, 5) AS value_at_risk FROM (SELECT avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(CASE WHEN ret > 0 THEN ret END) AS a, avg(CASE WHEN ret < 0 THEN ret END) AS b, avg(ret) - stddev_samp(ret) * 1.6448536269514722 AS v FROM ({RET_SQL}))", lambda s, d: evaluate.trade_stats(evaluate.factor_returns(labelled(s, d))).select(F.round("win_rate", 5).alias("win_rate"), F.round("avg_win", 5).alias("avg_win"), F.round("avg_loss", 5).alias("avg_loss"), F.round("kelly", 4).alias("kelly"), F.round("value_at_risk", 5).alias("value_at_risk")))
+simple(
+    "newey_west",
+    f"WITH e AS (SELECT date, ret, ret - avg(ret) OVER () AS e FROM ({RET_SQL}) WHERE ret IS NOT NULL), p AS (SELECT *, lag(e, 1) OVER (ORDER BY date) AS l1, lag(e, 2) OVER (ORDER BY date) AS l2 FROM e) SELECT round(avg(ret), 5) AS mean, round(avg(ret) / (sqrt(sum(e * e) + 2 * (2.0 / 3) * sum(e * l1) + 2 * (1.0 / 3) * sum(e * l2)) / count(*)), 3) AS t FROM p",
+    lambda s, d: evaluate.newey_west(evaluate.factor_returns(labelled(s, d)), "ret", 2).select(F.round("mean", 5).alias("mean"), F.round("t", 3).alias("t")),
+)
+simple(
+    "triple_barrier",
+    f"SELECT date, code, CASE WHEN n < 3 THEN NULL WHEN hit >= 0.5 THEN 2 WHEN hit <= -0.4 THEN 0 ELSE 1 END AS label FROM (SELECT *, list_filter(list_transform(p, lambda q: q / close - 1), lambda q: q >= 0.5 OR q <= -0.4)[1] AS hit, coalesce(len(p), 0) AS n FROM (SELECT date, code, close, list(close) FILTER (close IS NOT NULL) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS p FROM ({BARE}))) WHERE close IS NOT NULL",
+    lambda s, d: evaluate.triple_barrier(dense(s, d), 0.5, 0.4, 3),
+)
+CELL_SQL = f"SELECT date, 1 + CAST(cap > m AS INT) AS a, 1 + CAST(value > p AS INT) + CAST(value > q AS INT) AS b, sum(label * cap) / sum(cap) AS ret, count(*) AS n FROM (SELECT *, quantile_cont(cap, 0.5) OVER w AS m, quantile_cont(value, 1.0 / 3) OVER w AS p, quantile_cont(value, 2.0 / 3) OVER w AS q FROM {LAB_SQL} WHERE value IS NOT NULL AND cap IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY date)) GROUP BY 1, 2, 3"
+
+
+def cells(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.sorted_portfolios(labelled(s, d), "cap", "value", (2, 3), weight="cap")
+
+
+simple("sorted_portfolios", f"SELECT date, a, b, round(ret + 3e-8, 4) + 0.0 AS ret, n FROM ({CELL_SQL})", lambda s, d: cells(s, d).select("date", "a", "b", x.rounded("ret", 4).alias("ret"), "n"))
+simple("size_value_spreads", f"SELECT date, round(avg(CASE WHEN a = 1 THEN ret END) - avg(CASE WHEN a = 2 THEN ret END) + 3e-8, 4) + 0.0 AS smb, round(avg(CASE WHEN b = 3 THEN ret END) - avg(CASE WHEN b = 1 THEN ret END) + 3e-8, 4) + 0.0 AS hml FROM ({CELL_SQL}) GROUP BY date", lambda s, d: evaluate.size_value_spreads(cells(s, d), (2, 3)).select("date", x.rounded("smb", 4).alias("smb"), x.rounded("hml", 4).alias("hml")))
