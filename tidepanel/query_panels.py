@@ -162,8 +162,8 @@ def quarters(s: SparkSession, d: str) -> DataFrame:
 simple("single_quarter", f"SELECT code, period, round(single, 2) AS single FROM ({Q_SQL})", lambda s, d: quarters(s, d).select("code", "period", F.round("single", 2).alias("single")))
 simple(
     "trailing_year",
-    f"SELECT a.code, a.period, round(CASE WHEN count(b.single) = 4 THEN sum(b.single) END, 1) AS ttm, round(avg(b.single), 1) AS mean_4 FROM ({Q_SQL}) a LEFT JOIN ({Q_SQL}) b ON a.code = b.code AND b.period <= a.period AND b.period >= a.period - INTERVAL 9 MONTH GROUP BY 1, 2",
-    lambda s, d: statements.average_of_last(statements.trailing_year(quarters(s, d), "single", "ttm"), "single", "mean_4").select("code", "period", F.round("ttm", 1).alias("ttm"), F.round("mean_4", 1).alias("mean_4")),
+    f"SELECT a.code, a.period, round(CASE WHEN count(b.single) = 4 THEN sum(b.single) END + 3e-8, 1) AS ttm, round(avg(b.single) + 3e-8, 1) AS mean_4 FROM ({Q_SQL}) a LEFT JOIN ({Q_SQL}) b ON a.code = b.code AND b.period <= a.period AND b.period >= a.period - INTERVAL 9 MONTH GROUP BY 1, 2",
+    lambda s, d: statements.average_of_last(statements.trailing_year(quarters(s, d), "single", "ttm"), "single", "mean_4").select("code", "period", x.rounded("ttm", 1).alias("ttm"), x.rounded("mean_4", 1).alias("mean_4")),
 )
 simple("year_over_year", f"SELECT a.code, a.period, round((a.ytd - b.ytd) / nullif(abs(b.ytd), 0) + 3e-8, 4) + 0.0 AS growth FROM ({YTD_SQL}) a LEFT JOIN ({YTD_SQL}) b ON a.code = b.code AND b.period = a.period - INTERVAL 1 YEAR", lambda s, d: statements.year_over_year(year_to_date(s, d), "ytd", "growth").select("code", "period", x.rounded("growth", 4).alias("growth")))
 simple(
@@ -180,21 +180,29 @@ simple(
 # More of evaluation.
 SPREAD_SQL = f"SELECT date, avg(CASE WHEN quantile = 5 THEN label END) - avg(CASE WHEN quantile = 1 THEN label END) AS spread FROM (SELECT date, label, 1 + CAST(value > a AS INT) + CAST(value > b AS INT) + CAST(value > c AS INT) + CAST(value > d AS INT) AS quantile FROM (SELECT *, quantile_cont(value, 0.2) OVER w AS a, quantile_cont(value, 0.4) OVER w AS b, quantile_cont(value, 0.6) OVER w AS c, quantile_cont(value, 0.8) OVER w AS d FROM {LAB_SQL} WHERE value IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY date))) GROUP BY 1"
 RET_SQL = f"SELECT date, sum(y / nullif(t, 0) * label) AS ret FROM (SELECT *, sum(abs(y)) OVER (PARTITION BY date) AS t FROM (SELECT *, value - avg(value) OVER (PARTITION BY date) AS y FROM {LAB_SQL} WHERE value IS NOT NULL)) GROUP BY 1"
-NAV_SQL = f"SELECT date, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM ({HELD_SQL})"
+MONTH_SQL = f"SELECT date, nav, nav / lag(nav) OVER (ORDER BY date) - 1 AS ret FROM (SELECT date, round(sum(money), 2) AS nav FROM ({bars_sql()}) GROUP BY 1)"
+
+
+def months(s: SparkSession, d: str) -> DataFrame:
+    """(date, nav, ret) of the money traded in each month, as a value that rises and falls."""
+    total = panels.bars(s, d).groupBy("date").agg(F.round(F.sum("money"), 2).alias("nav"))
+    return total.withColumn("ret", F.col("nav") / F.lag("nav").over(Window.orderBy("date")) - 1)
+
+
 simple("information_analysis", f"SELECT round(avg(ic), 5) AS mean, round(stddev_samp(ic), 5) AS std, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 4) AS t, round(avg(pow(ic - m, 3)) / pow(var_pop(ic), 1.5), 4) AS skew, round(avg(pow(ic - m, 4)) / pow(var_pop(ic), 2) - 3, 4) AS kurt FROM (SELECT ic, avg(ic) OVER () AS m FROM ({IC_SQL}))", lambda s, d: evaluate.information_analysis(evaluate.information_coefficient(labelled(s, d))).select(*[F.round(k, n).alias(k) for k, n in (("mean", 5), ("std", 5), ("t", 4), ("skew", 4), ("kurt", 4))]))
 simple("factor_returns", f"SELECT date, round(ret, 5) + 0.0 AS ret FROM ({RET_SQL})", lambda s, d: evaluate.factor_returns(labelled(s, d)).select("date", F.round("ret", 5).alias("ret")))
-simple("quantile_spread", f"SELECT date, round(spread, 5) + 0.0 AS spread FROM ({SPREAD_SQL})", lambda s, d: evaluate.quantile_spread(evaluate.quantile_returns(labelled(s, d), 5), 5).select("date", F.round("spread", 5).alias("spread")))
+simple("quantile_spread", f"SELECT date, round(spread + 3e-8, 5) + 0.0 AS spread FROM ({SPREAD_SQL})", lambda s, d: evaluate.quantile_spread(evaluate.quantile_returns(labelled(s, d), 5), 5).select("date", x.rounded("spread", 5).alias("spread")))
 simple("factor_correlations", f"SELECT 'close' AS a, 'cap' AS b, round(corr(close, cap), 5) AS pearson FROM {LAB_SQL} UNION ALL SELECT 'close', 'value', round(corr(close, value), 5) FROM {LAB_SQL} UNION ALL SELECT 'cap', 'value', round(corr(cap, value), 5) FROM {LAB_SQL}", lambda s, d: evaluate.factor_correlations(labelled(s, d), ["close", "cap", "value"]).withColumn("pearson", F.round("pearson", 5)))
 simple(
     "drawdown_episodes",
-    f'SELECT min(date) AS start, arg_min(date, (dd, date)) AS valley, max(date) AS "end", count(*) AS "rows", round(min(dd), 4) AS depth FROM (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT date, nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM ({NAV_SQL}))) WHERE dd < 0 GROUP BY e',
-    lambda s, d: evaluate.drawdown_episodes(held(s, d)).withColumn("depth", F.round("depth", 4)),
+    f'SELECT min(date) AS start, arg_min(date, (dd, date)) AS valley, max(date) AS "end", count(*) AS "rows", round(min(dd), 4) AS depth FROM (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT date, nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM ({MONTH_SQL}))) WHERE dd < 0 GROUP BY e',
+    lambda s, d: evaluate.drawdown_episodes(months(s, d)).withColumn("depth", F.round("depth", 4)),
 )
-simple("trade_stats", f"SELECT round(w, 5) AS win_rate, round(a, 5) AS avg_win, round(b, 5) AS avg_loss, round(w - (1 - w) / (a / abs(b)), 4) AS kelly, round(v, 5) AS value_at_risk FROM (SELECT avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(CASE WHEN ret > 0 THEN ret END) AS a, avg(CASE WHEN ret < 0 THEN ret END) AS b, avg(ret) - stddev_samp(ret) * 1.6448536269514722 AS v FROM ({RET_SQL}))", lambda s, d: evaluate.trade_stats(evaluate.factor_returns(labelled(s, d))).select(F.round("win_rate", 5).alias("win_rate"), F.round("avg_win", 5).alias("avg_win"), F.round("avg_loss", 5).alias("avg_loss"), F.round("kelly", 4).alias("kelly"), F.round("value_at_risk", 5).alias("value_at_risk")))
+simple("trade_stats", f"SELECT round(w, 5) AS win_rate, round(a, 5) AS avg_win, round(b, 5) AS avg_loss, round(w - (1 - w) / (a / abs(b)), 4) AS kelly, round(v, 5) AS value_at_risk FROM (SELECT avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(CASE WHEN ret > 0 THEN ret END) AS a, avg(CASE WHEN ret < 0 THEN ret END) AS b, avg(ret) - stddev_samp(ret) * 1.6448536269514722 AS v FROM ({MONTH_SQL}) WHERE ret IS NOT NULL)", lambda s, d: evaluate.trade_stats(months(s, d)).select(F.round("win_rate", 5).alias("win_rate"), F.round("avg_win", 5).alias("avg_win"), F.round("avg_loss", 5).alias("avg_loss"), F.round("kelly", 4).alias("kelly"), F.round("value_at_risk", 5).alias("value_at_risk")))
 simple(
     "newey_west",
-    f"WITH e AS (SELECT date, ret, ret - avg(ret) OVER () AS e FROM ({RET_SQL}) WHERE ret IS NOT NULL), p AS (SELECT *, lag(e, 1) OVER (ORDER BY date) AS l1, lag(e, 2) OVER (ORDER BY date) AS l2 FROM e) SELECT round(avg(ret), 5) AS mean, round(avg(ret) / (sqrt(sum(e * e) + 2 * (2.0 / 3) * sum(e * l1) + 2 * (1.0 / 3) * sum(e * l2)) / count(*)), 3) AS t FROM p",
-    lambda s, d: evaluate.newey_west(evaluate.factor_returns(labelled(s, d)), "ret", 2).select(F.round("mean", 5).alias("mean"), F.round("t", 3).alias("t")),
+    f"WITH e AS (SELECT date, ret, ret - avg(ret) OVER () AS e FROM ({MONTH_SQL}) WHERE ret IS NOT NULL), p AS (SELECT *, lag(e, 1) OVER (ORDER BY date) AS l1, lag(e, 2) OVER (ORDER BY date) AS l2 FROM e) SELECT round(avg(ret), 5) AS mean, round(avg(ret) / (sqrt(sum(e * e) + 2 * (2.0 / 3) * sum(e * l1) + 2 * (1.0 / 3) * sum(e * l2)) / count(*)), 3) AS t FROM p",
+    lambda s, d: evaluate.newey_west(months(s, d), "ret", 2).select(F.round("mean", 5).alias("mean"), F.round("t", 3).alias("t")),
 )
 simple(
     "triple_barrier",
