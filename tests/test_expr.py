@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidepanel.functions import expr as x
-from tidepanel.operators import evaluate, joins, scan, transform
+from tidepanel.operators import evaluate, joins, scan, statements, transform
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
 
@@ -90,3 +90,40 @@ def test_portfolio_value(spark):
     r = spark.createDataFrame([(DAYS[i], "a", v) for i, v in enumerate((0.5, -0.5, 1.0))], "date date, code string, ret double")
     rows = evaluate.portfolio_value(w, r).orderBy("date").collect()
     assert [x.nav for x in rows] == pytest.approx([1.5, 0.75, 1.5]) and rows[1].drawdown == pytest.approx(-0.5)
+
+
+def test_exponential_mean_matches_the_recurrence_over_gaps(spark):
+    given = [1.0, None, 2.0, 3.0, None, 7.0, 1.0, 4.0]
+    dense = np.array([np.nan if q is None else q for q in given])
+    expected = [None if math.isnan(q) or g is None else pytest.approx(q) for q, g in zip(scan.ema(dense, 2), given, strict=True)]
+    assert values(one_code(spark, given), x.exponential(c, 2)) == expected
+
+
+def test_picked_sum_takes_rows_by_another_column(spark):
+    df = spark.createDataFrame([(d, "a", v, k) for d, v, k in zip(DAYS, [1.0, 2.0, 4.0, 8.0], [3.0, 1.0, 2.0, 2.0], strict=False)], "date date, code string, close double, k double")
+    assert values(df, x.picked_sum(c, x.col("k"), 3, 2)) == [None, None, 6.0, 6.0]
+    assert values(df, x.picked_sum(c, x.col("k"), 3, 1, lowest=False)) == [None, None, 1.0, 4.0]
+
+
+def test_neutralize_folds_groups_as_the_transform_does(spark):
+    rows = [(DAYS[0], k, g, v) for k, g, v in (("a", "x", 1.0), ("b", "x", 3.0), ("c", "y", 10.0), ("d", "y", 2.0), ("e", None, 4.0), ("f", "y", None))]
+    df = spark.createDataFrame(rows, "date date, code string, g string, close double")
+    folded = transform.industry_neutralize(df, "g", "close").orderBy("code").collect()
+    assert values(df, x.neutralize(c, "g")) == [r.close if r.close is None else pytest.approx(r.close) for r in folded]
+
+
+def test_statements_need_the_quarters_they_name(spark):
+    q = [dt.date(2023, m, 1) for m in (1, 4, 7, 10)] + [dt.date(2024, 1, 1), dt.date(2024, 7, 1)]
+    df = spark.createDataFrame([(d, "a", v) for d, v in zip(q, [1.0, 3.0, 6.0, 10.0, 2.0, 9.0], strict=True)], "period date, code string, ytd double")
+    single = statements.single_quarter(df, "ytd", "s")
+    assert [r.s for r in single.orderBy("period").collect()] == [1.0, 2.0, 3.0, 4.0, 2.0, None]
+    assert [r.t for r in statements.trailing_year(single, "s", "t").orderBy("period").collect()] == [None, None, None, 10.0, 11.0, None]
+    assert [r.g for r in statements.year_over_year(df, "ytd", "g").orderBy("period").collect()] == [None, None, None, None, 1.0, 0.5]
+
+
+def test_barriers_and_episodes(spark):
+    df = one_code(spark, [10.0, 11.0, 16.0, 5.0, 5.0, 5.0])
+    assert [r.label for r in evaluate.triple_barrier(df, 0.5, 0.4, 2).orderBy("date").collect()] == [2, 0, 0, 1, None, None]
+    nav = spark.createDataFrame([(d, v) for d, v in zip(DAYS, [1.0, 2.0, 1.0, 1.5, 2.0, 1.8], strict=False)], "date date, nav double")
+    found = evaluate.drawdown_episodes(nav).orderBy("start").collect()
+    assert [(r.start, r.valley, r.end, r.rows) for r in found] == [(DAYS[2], DAYS[2], DAYS[3], 2), (DAYS[5], DAYS[5], DAYS[5], 1)]
