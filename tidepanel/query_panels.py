@@ -135,7 +135,7 @@ def held(s: SparkSession, d: str) -> DataFrame:
     return evaluate.portfolio_value(picked, df.filter("label is not null").select("date", "code", F.col("label").alias("ret")))
 
 
-simple("portfolio_value", f"SELECT date, round(ret, 5) AS ret, round(nav, 3) AS nav, round(nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 4) AS drawdown FROM (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM ({HELD_SQL}))", lambda s, d: held(s, d).select("date", F.round("ret", 5).alias("ret"), F.round("nav", 3).alias("nav"), F.round("drawdown", 4).alias("drawdown")))
+simple("portfolio_value", f"SELECT date, round(ret, 5) AS ret, round(ln(nav), 6) AS log_nav, round(nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 4) AS drawdown FROM (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM ({HELD_SQL}))", lambda s, d: held(s, d).select("date", F.round("ret", 5).alias("ret"), F.round(F.ln("nav"), 6).alias("log_nav"), F.round("drawdown", 4).alias("drawdown")))
 simple("portfolio_metrics", f"SELECT round(avg(ret), 5) AS mean, round(stddev_samp(ret), 5) AS std, round(avg(ret) / stddev_samp(ret) * sqrt(12), 4) AS sharpe, round(max(ret), 5) AS best, round(min(ret), 5) AS worst, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate FROM ({HELD_SQL})", lambda s, d: evaluate.metrics(held(s, d)).select(*[F.round(k, n).alias(k) for k, n in (("mean", 5), ("std", 5), ("sharpe", 4), ("best", 5), ("worst", 5), ("win_rate", 5))]))
 simple("event_bars", "SELECT date_trunc('day', ts) AS ts, event_type AS code, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", lambda s, d: event_bars(panels.table(s, d, "events")))
 register("recursive_indicators")(lambda s, d: scan.indicators(dense(s, d)))
