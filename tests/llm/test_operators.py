@@ -246,3 +246,11 @@ def test_packing_holds_every_token_once(spark):
     for _, g in got.sort_values("position").groupby("sequence_id"):
         assert (g.position == g.n_tokens.cumsum() - g.n_tokens).all()
     assert packing.pack_documents(spark, spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_language_dictionaries_cut_long_texts_and_count_an_id_once(spark):
+    long = "alpha beta gamma delta " * 20000
+    rows = [(1, long, "en"), (1, "zz", "en"), (2, "uno dos tres cuatro " * 30, "es"), (2, "uno dos tres cuatro " * 30, "es"), (None, "abc", "fr"), (3, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.dictionaries(docs, F.lit(True), size=4096)
+    assert set(found) == {"en", "es"} and len(found["en"]) == 4096 and found["es"].startswith(b"uno dos")

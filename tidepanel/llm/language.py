@@ -6,12 +6,12 @@ the fewest bytes wins.  The share by which the second one is longer is the
 margin; predictions with a margin under ``MARGIN`` are marked as rejected.
 
 The dictionaries are fitted on a bounded sample: of each language the ``SAMPLE``
-admitted texts with the least xxhash64 of their id, cut together to
-``DICTIONARY`` bytes, the most recent last, as zstandard prefers.  Every text is
-encoded whole.
+admitted rows with the least xxhash64 of their id, cut together to
+``DICTIONARY`` bytes, the most recent last, as zstandard prefers.  Ids are chosen
+before any text leaves its task.  Every text is encoded whole.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
-rows with a null lang teach nothing; ties go to the language first in order; with
+rows with a null lang or id teach nothing; of an id that repeats in a language the least text teaches; ties go to the language first in order; with
 no languages learned everything is ``und``; duplicate rows repeat; lang, source
 and ids never enter a prediction.
 """
@@ -19,6 +19,7 @@ and ids never enter a prediction.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +41,40 @@ def _letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
+def _middle(raw: bytes, size: int) -> bytes:
+    at = max(0, (len(raw) - size) // 2)
+    return raw[at : at + size]
+
+
+def _pieces(size: int):
+    """The middle of each text: no more than a whole dictionary of it leaves the task."""
+
+    def run(batches):
+        for batch in batches:
+            piece = [_middle(_letters(t), size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(piece, pa.binary())], names=["lang", "doc_id", "piece"])
+
+    return run
+
+
 def dictionaries(docs: DataFrame, learns, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw dictionary content of each language."""
-    usable = docs.filter(learns).filter("lang is not null and text is not null")
+    usable = docs.filter(learns).filter("lang is not null and text is not null and doc_id is not null")
     langs = sorted(r.lang for r in usable.select("lang").distinct().collect())  # one row a language
+    if not langs:
+        return {}
+    ids = [usable.filter(F.col("lang") == lang).select("lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for lang in langs]
+    chosen = reduce(DataFrame.unionByName, ids).distinct()
+    # Broadcast and collected: at most ``sample`` rows a language.
+    rows = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    pieces = rows.mapInArrow(_pieces(size), rows.select("lang", "doc_id", F.lit(b"").alias("piece")).schema)
+    sampled: dict[str, list[bytes]] = {lang: [] for lang in langs}
+    for r in pieces.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect():
+        sampled[r.lang].append(bytes(r.piece))
     found = {}
-    for lang in langs:
-        rows = usable.filter(F.col("lang") == lang).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-        share = max(256, size // max(1, len(rows)))
-        pieces = []
-        for r in rows:  # the same share of every sampled text, from its middle
-            raw = _letters(r.text)
-            at = max(0, (len(raw) - share) // 2)
-            pieces.append(raw[at : at + share])
-        found[lang] = b"\n".join(pieces)[-size:]
+    for lang in langs:  # the same share of every sampled text
+        share = max(256, size // max(1, len(sampled[lang])))
+        found[lang] = b"\n".join(_middle(raw, share) for raw in sampled[lang])[-size:]
     return {k: v for k, v in found.items() if v}
 
 
