@@ -57,3 +57,18 @@ def decay_fill(df: DataFrame, half_life: float, value: str = "value") -> DataFra
     df = df.withColumn("_row", row).withColumn("_known", F.when(F.col(value).isNotNull(), F.col("_row")))
     age = F.col("_row") - F.last("_known", ignorenulls=True).over(upto)
     return df.withColumn(value, F.last(value, ignorenulls=True).over(upto) * F.pow(F.lit(0.5), age / half_life)).drop("_row", "_known")
+
+
+def mean_shift(panel: DataFrame, rows: int, value: str = "value") -> DataFrame:
+    """(date, code, age, strength) of the likeliest change of mean within the last ``rows`` values of a code.
+
+    The change lies where the running sum strays farthest from that of a constant mean; age counts the rows since,
+    strength is the distance in deviations times the root of the rows.  Null where the window is not full or constant.
+    """
+    w = Window.partitionBy("code").orderBy("date").rowsBetween(-(rows - 1), 0)
+    known = panel.filter(F.col(value).isNotNull())
+    df = known.withColumn("_p", F.collect_list(F.col(value).cast("double")).over(w)).withColumn("_s", F.stddev_pop(value).over(w)).withColumn("_t", F.sum(value).over(w))
+    plus = lambda t, q: t + q
+    stray = F.transform(F.sequence(F.lit(1), F.lit(rows - 1)), lambda k: F.round(F.abs(F.aggregate(F.slice("_p", 1, k), F.lit(0.0), plus) - k * F.col("_t") / rows), 4))
+    df = df.withColumn("_d", F.when(F.size("_p") == rows, stray)).withColumn("_m", F.array_max("_d"))
+    return df.select("date", "code", F.when(F.col("_s") > 0, rows - F.array_position("_d", F.col("_m"))).alias("age"), F.try_divide(F.col("_m"), F.col("_s") * F.sqrt(F.lit(float(rows)))).alias("strength"))
