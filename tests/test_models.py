@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import bounded, forecasts, intraday, models, transform
+from tidepanel.operators import bounded, evaluate, forecasts, intraday, models, scan, transform
 from tidepanel.operators.backtest import backtest
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
@@ -89,3 +89,29 @@ def test_backtest_buys_whole_shares_within_its_cash(spark):
     targets = spark.createDataFrame([("s", DAYS[0], "a", 2.0), ("s", DAYS[0], "z", 1.0)], "strategy string, date date, code string, weight double")
     got = backtest(targets, bars, cash=1000.0, buy_fee=0.0002).first()
     assert got.n_held == 1 and got.cash == pytest.approx(1000 - 900 * 1.0002)
+
+
+def test_adaptive_mean_runs_fast_on_a_straight_path():
+    got = scan.adaptive_mean(np.array([1.0, 2.0, np.nan, 3.0, 4.0]), 3)
+    assert np.isnan(got[:4]).all() and got[4] == pytest.approx(3 + (2 / 3) ** 2)
+    flat = scan.adaptive_mean(np.array([1.0, 2.0, 1.0, 2.0, 1.0]), 2)
+    assert flat[2] == pytest.approx(2 + (2 / 31) ** 2 * -1)
+
+
+def test_parabolic_stop_trails_a_rise_and_flips():
+    high, low = np.array([10.0, 11, 12, 13, 8]), np.array([9.0, 10, 11, 12, 5])
+    got = scan.parabolic_stop(high, low)
+    assert np.isnan(got[0]) and got[1] == 9.0 and got[2] == pytest.approx(9.0)  # 9 + 0.02 * (11 - 9) = 9.04, held to the lows of two rows
+    assert (got[1:4] < low[1:4]).all() and got[4] == 13.0
+
+
+def test_rounds_end_at_no_position(spark):
+    rows = [("c", 1, 0, 2, 10.0), ("c", 2, 0, -2, 12.0), ("c", 3, 0, 1, 5.0)]
+    got = evaluate.trade_rounds(spark.createDataFrame(rows, "code string, ts int, key int, shares int, price double")).orderBy("round").collect()
+    assert [(r["round"], r.trades, r.profit) for r in got] == [(1, 2, 4.0), (2, 1, None)]
+
+
+def test_forward_path(spark):
+    df = spark.createDataFrame([(d, "c", v) for d, v in zip(DAYS, [10.0, 12.0, 6.0, 9.0], strict=False)], "date date, code string, close double")
+    got = evaluate.forward_path(df, 3).orderBy("date").collect()
+    assert (got[0].ret, got[0].drawdown, got[0].calmar) == (pytest.approx(-0.1), -0.5, pytest.approx(-0.2)) and got[1].ret is None

@@ -144,3 +144,40 @@ def size_value_spreads(cells: DataFrame, bins: tuple[int, int]) -> DataFrame:
     """(date, smb, hml): small less big and high less low, each over the mean of the other sort's cells."""
     of = lambda k, q: F.avg(F.when(F.col(k) == q, F.col("ret")))
     return cells.groupBy("date").agg((of("a", 1) - of("a", bins[0])).alias("smb"), (of("b", bins[1]) - of("b", 1)).alias("hml"))
+
+
+def forward_path(panel: DataFrame, rows: int, price: str = "close") -> DataFrame:
+    """(date, code, ret, drawdown, calmar) of the path from this price over the next ``rows`` known ones; null where they are not all there."""
+    w = Window.partitionBy("code").orderBy("date").rowsBetween(0, rows)
+    known = panel.filter(F.col(price).isNotNull()).withColumn("_p", F.collect_list(F.col(price).cast("double")).over(w))
+    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
+
+    def fold(t, p):
+        peak = F.greatest(t["peak"], p)
+        return F.struct(peak.alias("peak"), F.least(t["dd"], F.coalesce(F.try_divide(p, peak) - 1, F.lit(0.0))).alias("dd"))
+
+    full = F.size("_p") == rows + 1
+    df = known.withColumn("ret", F.when(full, F.try_divide(F.element_at("_p", -1), F.element_at("_p", 1)) - 1))
+    df = df.withColumn("drawdown", F.when(full, F.aggregate("_p", start, fold, lambda t: t["dd"])))
+    return df.select("date", "code", "ret", "drawdown", F.try_divide("ret", F.abs("drawdown")).alias("calmar"))
+
+
+def trade_rounds(trades: DataFrame) -> DataFrame:
+    """(code, round, start, end, trades, bought, sold, position, profit) of trades (code, ts, key, shares, price), shares negative for sales.
+
+    A round begins with the first trade from no position and ends when the position is back at zero; only then it has a profit.
+    """
+    order = Window.partitionBy("code").orderBy("ts", "key")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = trades.withColumn("_after", F.sum("shares").over(upto)).withColumn("_before", F.coalesce(F.lag("_after").over(order), F.lit(0)))
+    df = df.withColumn("round", F.sum((F.col("_before") == 0).cast("long")).over(upto))
+    paid = F.col("shares") * F.col("price")
+    rounds = df.groupBy("code", "round").agg(
+        F.min("ts").alias("start"),
+        F.max("ts").alias("end"),
+        F.count("*").alias("trades"),
+        F.sum(F.when(paid > 0, paid).otherwise(0.0)).alias("bought"),
+        F.sum(F.when(paid < 0, -paid).otherwise(0.0)).alias("sold"),
+        F.sum("shares").alias("position"),
+    )
+    return rounds.withColumn("profit", F.when(F.col("position") == 0, F.col("sold") - F.col("bought")))

@@ -40,3 +40,55 @@ def indicators(panel: DataFrame, price: str = "close") -> DataFrame:
 
     kind = panel.schema["date"].dataType.simpleString()
     return panel.select("date", "code", price).groupBy("code").applyInPandas(run, f"date {kind}, code {panel.schema['code'].dataType.simpleString()}, ema_6 double, rsi_6 double, macd double, macd_signal double")
+
+
+def adaptive_mean(v: np.ndarray, n: int, fast: int = 2, slow: int = 30) -> np.ndarray:
+    """Exponential mean whose weight follows how straight the last n steps went; from the n-th known value, which it starts from."""
+    out, known = np.full(len(v), np.nan), np.flatnonzero(~np.isnan(v))
+    p = v[known]
+    if len(p) <= n:
+        return out
+    steps = np.abs(np.diff(p))
+    last = p[n - 1]
+    for i in range(n, len(p)):
+        path = steps[i - n : i].sum()
+        straight = abs(p[i] - p[i - n]) / path if path else 0.0
+        last += (straight * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2 * (p[i] - last)
+        out[known[i]] = last
+    return out
+
+
+def parabolic_stop(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:
+    """Stop-and-reverse level of each row: it closes in on the extreme of a trend, faster with every new one, and flips when passed."""
+    out, known = np.full(len(high), np.nan), np.flatnonzero(~(np.isnan(high) | np.isnan(low)))
+    h, lo = high[known], low[known]
+    if len(h) < 2:
+        return out
+    up = not (lo[0] - lo[1] > max(h[1] - h[0], 0.0))
+    stop, extreme, pace = (lo[0], h[1], step) if up else (h[0], lo[1], step)
+    for i in range(1, len(h)):
+        passed = lo[i] <= stop if up else h[i] >= stop
+        if passed:
+            up, pace = not up, step
+            stop = max(extreme, h[i], h[i - 1]) if not up else min(extreme, lo[i], lo[i - 1])
+            extreme = h[i] if up else lo[i]
+            out[known[i]] = stop
+        else:
+            out[known[i]] = stop
+            if (h[i] > extreme) if up else (lo[i] < extreme):
+                extreme, pace = (h[i] if up else lo[i]), min(most, pace + step)
+        stop += pace * (extreme - stop)
+        stop = min(stop, lo[i], lo[i - 1]) if up else max(stop, h[i], h[i - 1])
+    return out
+
+
+def trailing_levels(panel: DataFrame, n: int = 6) -> DataFrame:
+    """(date, code, adaptive, stop) of close, high and low; a code's history is one group, bounded by the calendar."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        high, low, close = (pdf[k].to_numpy(float) for k in ("high", "low", "close"))
+        return pd.DataFrame({"date": pdf["date"], "code": pdf["code"], "adaptive": adaptive_mean(close, n), "stop": parabolic_stop(high, low)})
+
+    kinds = panel.schema
+    return panel.select("date", "code", "high", "low", "close").groupBy("code").applyInPandas(run, f"date {kinds['date'].dataType.simpleString()}, code {kinds['code'].dataType.simpleString()}, adaptive double, stop double")

@@ -72,3 +72,13 @@ def mean_shift(panel: DataFrame, rows: int, value: str = "value") -> DataFrame:
     stray = F.transform(F.sequence(F.lit(1), F.lit(rows - 1)), lambda k: F.round(F.abs(F.aggregate(F.slice("_p", 1, k), F.lit(0.0), plus) - k * F.col("_t") / rows), 4))
     df = df.withColumn("_d", F.when(F.size("_p") == rows, stray)).withColumn("_m", F.array_max("_d"))
     return df.select("date", "code", F.when(F.col("_s") > 0, rows - F.array_position("_d", F.col("_m"))).alias("age"), F.try_divide(F.col("_m"), F.col("_s") * F.sqrt(F.lit(float(rows)))).alias("strength"))
+
+
+def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Adds session (0, 1 or 2 by thirds of the day), weekday (Monday 0), and how far the month's dates that occur have gone, 0 to 1."""
+    day = F.to_date(ts)
+    dates = df.select(day.alias("_d")).distinct()
+    month = Window.partitionBy(F.trunc("_d", "month"))
+    share = dates.withColumn("month_share", F.row_number().over(month.orderBy("_d")) / F.count("*").over(month))
+    out = df.withColumn("session", F.floor(F.hour(ts) / 8).cast("int")).withColumn("weekday", F.weekday(ts)).withColumn("_d", day)
+    return out.join(share, "_d", "left").drop("_d")

@@ -121,3 +121,27 @@ def averages(d: int = 6) -> dict[str, dict[str, Expr]]:
         },
         "flow": {"chaikin": ts_sum(line, d, d) / ts_sum(v, d, d), "line_oscillator": exponential(line, 3) - exponential(line, d), "volume_rate": returns(v, d)},
     }
+
+
+def channels(d: int = 6, factor: float = 0.7) -> dict[str, dict[str, Expr]]:
+    """Channels, crossings of means, and prices over their means."""
+    c1 = delay(c, 1)
+    step = maximum(maximum(h - lo, absolute(h - c1)), absolute(lo - c1))
+    atr, middle = exponential(step, d, 1.0 / d), exponential(c, d)
+    reach = delay(maximum(ts_max(h, d, d) - ts_min(c, d, d), ts_max(c, d, d) - ts_min(lo, d, d)), 1)
+    e1 = exponential(c, d)
+    e2 = exponential(e1, d)
+    e3 = exponential(e2, d)
+    damped = lambda e: exponential(e, d // 2) * (1.0 + factor) - exponential(exponential(e, d // 2), d // 2) * factor
+    short, mid, far = mean(c, 3), mean(c, d), mean(c, d * 2)
+    macd = exponential(c, 12) - exponential(c, 26)
+    up, down = h - delay(h, 1), delay(lo, 1) - lo
+    plus = exponential(where((up > down) & (up > 0), up, 0.0), d, 1.0 / d)
+    minus = exponential(where((down > up) & (down > 0), down, 0.0), d, 1.0 / d)
+    adx = exponential(absolute(plus - minus) / (plus + minus), d, 1.0 / d)
+    return {
+        "bands": {"keltner_up": middle + atr * 2.0, "keltner_down": middle - atr * 2.0, "bollinger_up": mid + stddev(c, d, d) * 2.0, "bollinger_down": mid - stddev(c, d, d) * 2.0, "thrust_up": o + reach * 0.1, "thrust_down": o - reach * 0.1},
+        "crossings": {"two_means": sign_of(short >= far, short < far), "three_means": number(c >= short) + number(short >= mid) + number(mid >= far), "macd_history": (macd - exponential(macd, 9)) / c, "rating": (adx + delay(adx, d)) / 2, "power": mean((c - o) / (h - lo + 0.01), d), "oscillator_norm": macd / c},
+        "over_means": {"simple": c / mid, "exponential": c / e1, "double": c / (e1 * 2.0 - e2), "triple": c / (e1 * 3.0 - e2 * 3.0 + e3), "weighted": c / decay_linear(c, d), "damped": c / damped(damped(damped(c)))},
+        "bars_by_close": {"open": o / c1 - 1.0, "high": h / c1 - 1.0, "low": lo / c1 - 1.0, "close": c / c1 - 1.0, "volume": v / mean(v, d)},
+    }

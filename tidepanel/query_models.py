@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from .functions import duck
 from .functions import expr as x
-from .operators import bounded, forecasts, intraday, models, select, transform
+from .operators import bounded, evaluate, forecasts, intraday, models, scan, select, transform
 from .operators.backtest import backtest
 from .plans import candles, flows
 from .queries import DENSE_SQL, bars_sql, dense, expressions, register
 from .query_panels import BARE, LAB_SQL, labelled, simple
 from .sources import panels
 
-for _part, _groups in (("candles", candles.patterns()), ("indicators", candles.averages())):
+for _part, _groups in (("candles", candles.patterns()), ("indicators", candles.averages()), ("channels", candles.channels())):
     for _family, _factors in _groups.items():
         expressions(f"{_part}_{_family}", _factors, 4)
 
@@ -179,3 +179,23 @@ def backtest_both_ends(s: SparkSession, d: str) -> DataFrame:
     ends = ((select.top_n, "highest"), (select.bottom_n, "lowest"))
     targets = [select.equal_weight(pick(df, 10)).select(F.lit(name).alias("strategy"), "date", "code", "weight") for pick, name in ends]
     return backtest(targets[0].unionByName(targets[1]), dense(s, d).withColumn("tradable", F.col("trades") >= 3), stop=0.5)
+
+
+register("trailing_levels")(lambda s, d: scan.trailing_levels(dense(s, d)))
+simple(
+    "forward_path",
+    f"""SELECT date, code, round(ret + 3e-8, 5) + 0.0 AS ret, round(dd + 3e-8, 5) + 0.0 AS drawdown, round(ret / nullif(abs(dd), 0) + 3e-8, 3) + 0.0 AS calmar FROM (SELECT date, code, CASE WHEN len(p) = 7 THEN p[7] / nullif(p[1], 0) - 1 END AS ret, CASE WHEN len(p) = 7 THEN list_min(list_transform(range(1, 8), lambda k: p[k] / list_max(p[:k]) - 1)) END AS dd
+ FROM (SELECT date, code, list(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS p FROM ({bars_sql()}) WHERE close IS NOT NULL))""",
+    lambda s, d: evaluate.forward_path(panels.bars(s, d), 6).select("date", "code", x.rounded("ret", 5).alias("ret"), x.rounded("drawdown", 5).alias("drawdown"), x.rounded("calmar", 3).alias("calmar")),
+)
+simple(
+    "trade_rounds",
+    """SELECT code, CAST(r AS BIGINT) AS round, count(*) AS trades, round(sum(CASE WHEN paid > 0 THEN paid ELSE 0.0 END), 2) AS bought, CAST(sum(n) AS BIGINT) AS "position", CASE WHEN sum(n) = 0 THEN round(-sum(paid), 2) + 0.0 END AS profit FROM (SELECT *, sum(CASE WHEN after - n = 0 THEN 1 ELSE 0 END) OVER w AS r FROM
+ (SELECT *, n * price AS paid, sum(n) OVER w AS after FROM (SELECT o_custkey AS code, o_orderdate AS ts, o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS n, o_totalprice AS price FROM orders) WINDOW w AS (PARTITION BY code ORDER BY ts, key)) WINDOW w AS (PARTITION BY code ORDER BY ts, key)) GROUP BY 1, 2""",
+    lambda s, d: evaluate.trade_rounds(panels.table(s, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("shares"), F.col("o_totalprice").alias("price"))).select("code", "round", "trades", F.round("bought", 2).alias("bought"), "position", F.round("profit", 2).alias("profit")),
+)
+simple(
+    "calendar_features",
+    "SELECT event_id, CAST(hour(ts) // 8 AS INT) AS session, CAST(isodow(ts) - 1 AS INT) AS weekday, round(month_share, 6) AS month_share FROM events JOIN (SELECT d, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d) / count(*) OVER (PARTITION BY date_trunc('month', d)) AS month_share FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)) ON CAST(ts AS DATE) = d",
+    lambda s, d: transform.with_calendar(panels.table(s, d, "events")).select("event_id", "session", "weekday", F.round("month_share", 6).alias("month_share")),
+)
