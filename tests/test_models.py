@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import bounded, evaluate, forecasts, intraday, models, scan, transform
+from tidepanel.operators import bounded, evaluate, forecasts, intraday, joins, models, scan, transform
 from tidepanel.operators.backtest import backtest
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
@@ -115,3 +115,9 @@ def test_forward_path(spark):
     df = spark.createDataFrame([(d, "c", v) for d, v in zip(DAYS, [10.0, 12.0, 6.0, 9.0], strict=False)], "date date, code string, close double")
     got = evaluate.forward_path(df, 3).orderBy("date").collect()
     assert (got[0].ret, got[0].drawdown, got[0].calmar) == (pytest.approx(-0.1), -0.5, pytest.approx(-0.2)) and got[1].ret is None
+
+
+def test_rebased_prices_keep_the_last_row(spark):
+    df = spark.createDataFrame([(d, "c", v) for d, v in zip(DAYS, [10.0, 5.0, 6.0], strict=False)], "date date, code string, close double")
+    changes = spark.createDataFrame([("c", DAYS[1], 2.0)], "code string, date date, factor double")
+    assert [r.close for r in joins.rebased(df, changes, ["close"]).orderBy("date").collect()] == [5.0, 5.0, 6.0]

@@ -42,3 +42,13 @@ def resample_last(df: DataFrame, unit: str, values: list[str]) -> DataFrame:
     """The last row of each code in each calendar unit."""
     g = df.groupBy(F.trunc("date", unit).alias("period"), "code")
     return g.agg(*[F.max_by(v, "date").alias(v) for v in values])
+
+
+def rebased(panel: DataFrame, changes: DataFrame, prices: list[str], factor: str = "factor") -> DataFrame:
+    """Prices in terms of each code's last row: times the factor known at the row over that known at the last.
+
+    ``changes`` (code, date, factor) holds a code's cumulative factors; before the first one it is 1.
+    """
+    known = asof(panel, changes.select("code", F.col("date").alias("_at"), F.col(factor).alias("_f")), ["_f"], "date", "_at").withColumn("_f", F.coalesce("_f", F.lit(1.0)))
+    final = F.last("_f").over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return known.withColumn("_f", F.try_divide("_f", final)).withColumns({p: F.col(p) * F.col("_f") for p in prices}).drop("_f")

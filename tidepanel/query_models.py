@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import duck
 from .functions import expr as x
-from .operators import bounded, evaluate, forecasts, intraday, models, scan, select, transform
+from .operators import bounded, evaluate, forecasts, intraday, joins, models, scan, select, transform
 from .operators.backtest import backtest
 from .plans import candles, flows
 from .queries import DENSE_SQL, bars_sql, dense, expressions, register
@@ -199,3 +199,8 @@ simple(
     "SELECT event_id, CAST(hour(ts) // 8 AS INT) AS session, CAST(isodow(ts) - 1 AS INT) AS weekday, round(month_share, 6) AS month_share FROM events JOIN (SELECT d, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d) / count(*) OVER (PARTITION BY date_trunc('month', d)) AS month_share FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)) ON CAST(ts AS DATE) = d",
     lambda s, d: transform.with_calendar(panels.table(s, d, "events")).select("event_id", "session", "weekday", F.round("month_share", 6).alias("month_share")),
 )
+simple(
+    "rebased_prices",
+    f"SELECT date, code, round(close * f / last_value(f) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + 3e-8, 4) AS close FROM (SELECT a.date, a.code, a.close, coalesce(b.f, 1.0) AS f FROM ({BARE}) a ASOF LEFT JOIN (SELECT code, date, 1 + (year(date) - 1990) * 0.1 + code % 5 AS f FROM ({BARE}) WHERE month(date) = 6) b ON a.code = b.code AND a.date >= b.date)",
+    lambda s, d: (lambda df: joins.rebased(df.select("date", "code", "close"), df.filter("month(date) = 6").select("code", "date", (1 + (F.year("date") - 1990) * 0.1 + F.col("code") % 5).alias("factor")), ["close"]).select("date", "code", x.rounded("close", 4).alias("close")))(dense(s, d)),
+)
