@@ -249,6 +249,13 @@ def test_packing_holds_every_token_once(spark):
     assert packing.pack_documents(spark, spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_packing_opens_the_length_of_least_cost_for_what_is_to_come():
+    where, lengths = packing.pack([300] * 39)
+    assert where == [i // 13 for i in range(39)] and lengths == [4096] * 3
+    # The second sequence takes the piece that the first (opened with 15) expects, and the first is cut down to 14.
+    assert packing.pack([8, 8, 5, 4, 2], (11, 14, 15)) == ([0, 1, 1, 0, 0], [14, 14])
+
+
 def test_language_dictionaries_cut_long_texts_and_count_an_id_once(spark):
     long = "alpha beta gamma delta " * 20000
     rows = [(1, long, "en"), (1, "zz", "en"), (2, "uno dos tres cuatro " * 30, "es"), (2, "uno dos tres cuatro " * 30, "es"), (None, "abc", "fr"), (3, None, "de")]

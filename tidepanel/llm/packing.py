@@ -3,9 +3,10 @@
 Documents are cut into pieces of at most the longest permitted length and packed,
 longest piece first, into the open sequence that it leaves fullest.  Where none
 has room, a new sequence is opened with the permitted length of least cost for
-each token it can still expect to hold.  The cost of a length is linear plus a
-quadratic share, as attention has; the expectation counts the pieces of the
-shard that are still to come.  In the end each sequence is cut down to the least
+each token it can expect to hold.  The cost of a length is linear plus a
+quadratic share, as attention has; the expectation fills the length, longest
+first, with the pieces of the shard that are still to come and that no sequence
+opened before expects.  In the end each sequence is cut down to the least
 permitted length that holds its contents, so the capacities that were opened only steer.
 
 Pieces are dealt over shards by a hash of document, piece and length, about
@@ -35,22 +36,62 @@ def cost(length: int) -> float:
     return length * (1 + QUADRATIC * length)
 
 
+class _ToCome:
+    """Pieces still to come, by size, and how many of them no open sequence expects yet."""
+
+    def __init__(self, sizes: list[int], longest: int):
+        self.all = [0] * (longest + 1)
+        for size in sizes:
+            self.all[size] += 1
+        self.free = self.all.copy()
+        self.below = [0] * (longest + 1)  # a smaller size; no piece of a size between the two is free
+        for size in range(2, longest + 1):
+            self.below[size] = size - 1 if self.all[size - 1] else self.below[size - 1]
+
+    def _largest(self, size: int) -> int:
+        """The largest size of a free piece that is at most ``size``; 0 if there is none."""
+        top = size
+        while top and not self.free[top]:
+            top = self.below[top]
+        while size > top:
+            self.below[size], size = top, self.below[size]
+        return top
+
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """(size, number) of the free pieces that fit into ``room``, longest first."""
+        taken, size = [], self._largest(room)
+        while size:
+            n = min(self.free[size], room // size)
+            taken.append((size, n))
+            room -= n * size
+            size = self._largest(min(room, size - 1))
+        return taken
+
+    def expect(self, taken: list[tuple[int, int]]) -> None:
+        for size, n in taken:
+            self.free[size] -= n
+
+    def arrived(self, size: int) -> None:
+        self.all[size] -= 1
+        self.free[size] = min(self.free[size], self.all[size])
+
+
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int]]:
     """(sequence of each piece, length of each sequence) of pieces in falling order of size."""
     lengths = tuple(sorted(lengths))
-    left_over, room, bins, used, where = sum(sizes), [], [], [], []
+    to_come, room, used, where = _ToCome(sizes, lengths[-1]), [], [], []
     for size in sizes:
+        to_come.arrived(size)
         i = bisect.bisect_left(room, (size, -1))
         if i < len(room):
             free, b = room.pop(i)
         else:
-            b = len(bins)
-            best = min((c for c in lengths if c >= size), key=lambda c: (cost(c) / min(c, left_over), c))
-            bins.append(best)
+            b = len(used)
             used.append(0)
-            free = best
+            plans = [(c, to_come.fill(c - size)) for c in lengths if c >= size]
+            free, taken = min(plans, key=lambda p: (cost(p[0]) / (size + sum(s * n for s, n in p[1])), p[0]))
+            to_come.expect(taken)
         used[b] += size
-        left_over -= size
         where.append(b)
         if free > size:
             bisect.insort(room, (free - size, b))
