@@ -199,6 +199,19 @@ def test_preference_pairs(spark):
     assert [(r.pair_id, r.chosen[-1].text, r.rejected[-1].text) for r in made] == [(2, "b", ""), (3, "", "b")]
 
 
+@pytest.mark.parametrize("ids", [[0, 2, 4, 6, 8], [7, -5, 1 << 40, (1 << 63) - 1, 12], list(range(100, 1100, 3))])
+def test_every_answered_conversation_makes_a_pair(spark, ids):
+    rows = [(i, t, r, f"{i} {r}") for i in ids for t, r in enumerate(("user", "assistant"))] + [(3, 0, "user", "no answer")]
+    made = preference.pairs_from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    order = sorted(ids)
+    assert sorted((r.pair_id, r.chosen[-1].text, r.rejected[-1].text) for r in made) == [(i, f"{i} assistant", f"{n} assistant") for i, n in zip(order, order[1:] + order[:1], strict=True)]
+
+
+def test_a_single_answered_conversation_makes_no_pair(spark):
+    for rows in ([(4, 0, "assistant", "a"), (5, 0, "user", "b")], [(5, 0, "user", "b")]):
+        assert preference.pairs_from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def test_context_tree_is_a_distribution_and_base_is_exact(spark):
     rows = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat on 12 mats!", "", None, "é ñ ß " * 5] * 8)]
     counts = ctw.corpus_counts(docs(spark, rows))

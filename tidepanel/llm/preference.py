@@ -9,21 +9,25 @@ of the completion.
 ``pairs_from_conversations`` makes pairs from one table of turns: the chosen
 conversation is a conversation as it is; the rejected one ends, instead of with
 its last assistant turn and what follows, with the last assistant turn of its
-neighbour.  Neighbours are the ids 2n and 2n + 1, so each side of the join is
-unique and no group grows.
+neighbour.  The neighbour is the next id that has an assistant turn, and the
+first one for the last, so each side of the join is unique and no group grows,
+whatever the ids are.  The order is found in ranges of ids; only the first id of
+each range is collected.
 
 Defined cases: null roles are ``user``, null texts empty; turns are ordered by
 (turn, role, text), and equal rows of a conversation count once; rows without a
-conversation id are left out; a conversation without an assistant turn, or whose
-neighbour has none, makes no pair; equal conversations give a prompt and two
+conversation id are left out; a conversation without an assistant turn, or the
+only one with one, makes no pair; equal conversations give a prompt and two
 empty completions, marked ``identical``; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"  # fixed values of the ChatML form
 
 
@@ -68,6 +72,18 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def neighbours(ids: DataFrame) -> DataFrame:
+    """(conv_id, next_id) in a ring over the distinct ``ids`` (conv_id); a single id has no neighbour."""
+    spark = ids.sparkSession
+    ids = written(spark, ids, "conversations")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(spark, ids.repartitionByRange(parts, "conv_id").withColumn("part", F.spark_partition_id()), "ranges")
+    firsts = [tuple(r) for r in ranged.groupBy("part").agg(F.min("conv_id")).orderBy("part").collect()]
+    behind = spark.createDataFrame([(p, firsts[(i + 1) % len(firsts)][1]) for i, (p, _) in enumerate(firsts)], "part int, behind long")
+    following = F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id"))
+    return ranged.withColumn("following", following).join(F.broadcast(behind), "part").select("conv_id", F.coalesce("following", "behind").alias("next_id")).filter("conv_id <> next_id")
+
+
 def pairs_from_conversations(turns: DataFrame) -> DataFrame:
     """Pairs (pair_id, chosen, rejected) of a table (conv_id, turn, role, text)."""
     rows = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
@@ -76,7 +92,8 @@ def pairs_from_conversations(turns: DataFrame) -> DataFrame:
     # The last assistant turn, counted from 1; 0 if there is none.
     last = F.array_max(F.concat(F.array(F.lit(0)), F.transform("all", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0))))
     whole = whole.select("conv_id", turns_of.alias("chosen"), last.alias("last")).filter("last > 0")
-    reply = whole.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("chosen", F.col("last")).alias("reply"))
+    able = turns.filter("conv_id is not null and role = 'assistant'").select(F.col("conv_id").cast("long")).distinct()
+    reply = whole.select(F.col("conv_id").alias("next_id"), F.element_at("chosen", F.col("last")).alias("reply")).join(neighbours(able), "next_id").select("conv_id", "reply")
     paired = whole.join(reply, "conv_id")
     rejected = F.concat(F.slice("chosen", F.lit(1), F.col("last") - 1), F.array("reply"))
     return paired.select(F.col("conv_id").alias("pair_id"), "chosen", rejected.alias("rejected"))
