@@ -120,6 +120,19 @@ def test_field_adds_what_patterns_miss():
     assert len(found) == 3 and pii.find_spans("the plain text of a clean document.", field) == []
 
 
+def test_field_finds_spans_without_digits():
+    field = pii.trained()
+    for text, kind, part in (
+        ("please use password=correcthorsebattery for it", "secret", "password=correcthorsebattery"),
+        ('it has secret = "abcdefghijkl" in it', "secret", 'secret = "abcdefghijkl'),
+        ("write to bob AT host DOT org today", "email", "bob AT host DOT org"),
+        ("write to bob at host.com today", "email", "bob at host.com"),
+    ):
+        assert [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text, field)] == [(kind, part)]
+    for text in ("we look at home. Then we go", "the password is wrong", "a dot product of two", "he sat at u.s. bases then", "the secret: nobody knows"):
+        assert pii.find_spans(text, field) == []
+
+
 def test_segmentation_is_the_best_of_all():
     field = pii.trained()
     text = "id 4111 1111 1111 x"

@@ -88,7 +88,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]|\sdot\s|[\[(]dot[\])]")
+# Where a segment can hold more than plain words: digits, @, spelled-out at and dot, assigned key words, long hex.
+_TRIGGER = re.compile(r"[0-9@]|[\[(<{](?:at|dot)[\])>}]|\sdot\s|\sat\s+[\w-]+\.[\w-]|(?:pass(?:word|wd)?|pwd|secret|token|key|bearer)[\"']?\s*[=:]|[a-f]{16}", re.I)
 _AT_WORD = re.compile(r"^[\[(<{]?(?:at|@)[\])>}]?$", re.I)
 _DOT_WORD = re.compile(r"^[\[(<{]?(?:dot|\.)[\])>}]?$", re.I)
 _KEY_WORD = re.compile(r"pass(?:word|wd)?|secret|token|api[_-]?key|key|pwd|bearer", re.I)
@@ -99,6 +100,8 @@ _GROUPS = re.compile(r"[0-9]+")
 _MONEY = re.compile(r"^[$€£]?[0-9]{1,3}(?:[.,][0-9]{1,3})*[.,]?%?$")
 _DATE = re.compile(r"^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}[.,]?$|^[0-9]{1,2}:[0-9]{2}")
 _SPOKEN_MAIL = re.compile(r"^[\w.+-]+ ?[\[(]?(?:at|@)[\])]? ?[\w-]+(?: ?[\[(]?(?:dot|\.)[\])]? ?\w+)+[.,;]?$", re.I)
+_SPELLED_MAIL = re.compile(r"^[\w.+-]+(?:\s+at\s+|\s?[\[(<{](?:at|@)[\])>}]\s?)[\w-]+(?:(?:\s+dot\s+|\s?[\[(<{](?:dot|\.)[\])>}]\s?|\.)[\w-]+)+(?<=\w\w)[.,;]?$", re.I)
+_ALL_ASSIGNED = re.compile(r"^(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[^\s\"']{8,}\S*$", re.I)
 _NATIONAL = re.compile(r"^\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}[.,;]?$")
 
 
@@ -112,12 +115,18 @@ def features(span: str, n: int, base: str) -> list[str]:
         f.append("luhn" if luhn(digits) else "not luhn")
     if _SPOKEN_MAIL.match(span):
         f.append("spoken mail" if not letters <= 4 else "short spoken mail")
+    if _SPELLED_MAIL.match(span):
+        f.append("spelled mail")
     if _NATIONAL.match(span):
         f.append("national phone")
     if span[:1] == "+":
         f.append("plus")
     if _ASSIGNED.search(span):
         f.append("assigned")
+        if _ALL_ASSIGNED.match(span):
+            f.append("all assigned")
+            if n > 1 and re.search(r"[=:]\s+[\"']", span):
+                f.append("quoted value")
     if n <= 3 and _HEX.search(span) and letters:
         f.append("long hex")
     if n == 1 and _RANDOM.search(span):
@@ -241,10 +250,18 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         n = d(15)
         return n + next(c for c in "0123456789" if not luhn(n + c))
 
+    def letters_of(least: int, most: int) -> str:
+        return "".join(rng.choice(letters) for _ in range(rng.randint(least, most)))
+
+    def spelled(at: str, dot: str) -> str:
+        return f"{letters_of(2, 8)}{at}{letters_of(2, 10)}{dot}{rng.choice(['com', 'org', 'net', 'ORG'])}"
+
     marked = [
         (1, lambda: f"{word()}.{d(2)}@{word()}{d(1)}.example.com"),
         (1, lambda: f"{word()}xy at {word()}xy dot {rng.choice(['com', 'org', 'net'])}"),
         (1, lambda: f"{word()}xy{rng.choice(['[at]', '(at)', ' [at] ', ' (at) '])}{word()}xy{rng.choice(['[dot]', '(dot)', ' [dot] ', '.'])}com"),
+        (1, lambda: spelled(rng.choice([" at ", " AT ", " At ", "[AT]", " [AT] "]), rng.choice([" dot ", " DOT ", " Dot ", "[DOT]", " [DOT] "]))),
+        (1, lambda: spelled(rng.choice([" at ", " AT "]), ".")),
         (2, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))),
         (3, lambda: card(rng.choice(["", " ", "-", "."]))),
         (4, lambda: f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}"),
@@ -253,6 +270,8 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         (4, lambda: f"+{d(2)} {d(3)} {d(3)} {d(3)}"),
         (5, lambda: f"{rng.choice(['password', 'secret', 'token', 'api_key'])}={''.join(rng.choice('0123456789abcdef') for _ in range(18))}"),
         (5, lambda: f"{rng.choice(['token', 'secret', 'api_key'])} = \"{''.join(rng.choice('0123456789abcdef') for _ in range(40))}\""),
+        (5, lambda: f"{rng.choice(['password', 'Secret', 'token', 'api_key', 'pwd'])}{rng.choice('=:')}{letters_of(8, 24)}"),
+        (5, lambda: f"{rng.choice(['password', 'secret', 'Token', 'api_key', 'passwd'])}{rng.choice([' = ', ' = ', ': '])}\"{letters_of(8, 24)}\""),
         (5, lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + "7"),
     ]
     plain = [
@@ -271,6 +290,8 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         lambda: f"{d(4)} {d(4)}",
         lambda: f"{word()}{d(2)}",
         lambda: f"key {word()}",
+        lambda: f"{rng.choice(['password', 'secret', 'token'])} {rng.choice(['is', 'of', 'was'])} {word()}",
+        lambda: f"{rng.choice(['password', 'secret'])}: {letters_of(1, 6)} {word()}",
         lambda: f"{d(1)}, {d(1)}, {d(1)}",
     ]
     text, spans = "", []
