@@ -32,25 +32,79 @@ def corpus(n=60, seed=3):
     return rows + [rows[10], (rows[12][0], rows[15][1]), (n, rows[9][1]), (n + 1, "x " * 3000)]
 
 
-def test_substring_dedup_is_brute_force(spark):
-    rows = corpus()
+def without_repeats(rows, window=50):
+    """Brute force: (doc_id, n_words, n_removed, kept text) of every row."""
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         w = (t or "").split()
-        for s in range(len(w) - 49):
-            first.setdefault(tuple(w[s : s + 50]), i)
+        for s in range(len(w) - window + 1):
+            first.setdefault(tuple(w[s : s + window]), i)
     expected = []
     for i, t in rows:
         w = (t or "").split()
         keep = [True] * len(w)
-        for s in range(len(w) - 49):
-            if i is not None and first[tuple(w[s : s + 50])] < i:
-                keep[s : s + 50] = [False] * 50
+        for s in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[s : s + window])] < i:
+                keep[s : s + window] = [False] * window
         kept = [x for x, k in zip(w, keep, strict=True) if k]
         expected.append((i, len(w), len(w) - len(kept), " ".join(kept)))
-    got = [tuple(r) for r in substring_dedup.remove_repeats(spark, docs(spark, rows)).collect()]
-    key = lambda r: tuple(map(str, r))
-    assert sorted(got, key=key) == sorted(expected, key=key)
+    return sorted(expected, key=lambda r: tuple(map(str, r)))
+
+
+def removed(spark, rows):
+    return sorted((tuple(r) for r in substring_dedup.remove_repeats(spark, docs(spark, rows)).collect()), key=lambda r: tuple(map(str, r)))
+
+
+def test_substring_dedup_is_brute_force(spark):
+    rows = corpus()
+    assert removed(spark, rows) == without_repeats(rows)
+
+
+def test_substring_dedup_of_two_words_and_of_long_words(spark):
+    # Thue-Morse words cancel in every polynomial hash with an odd base modulo a power of two.
+    letters = [("a", "b")[i.bit_count() % 2] for i in range(1024)]
+    tail = [f"t{i}" for i in range(49)]
+    other = [("b", "a")[i.bit_count() % 2] for i in range(1024)]
+    big = ["x" * 5000 + str(i) for i in range(60)]
+    rows = [(1, " ".join(letters + tail)), (2, " ".join(other + tail)), (3, " ".join(big)), (4, "a " + " ".join(big)), (5, "z " * 400), (6, "z " * 60), (6, "z " * 60), (7, " ".join(tail + ["one"])), (8, " ".join(["two"] + tail))]
+    assert removed(spark, rows) == without_repeats(rows)
+
+
+def test_substring_dedup_of_an_empty_table_and_clashing_columns(spark):
+    assert substring_dedup.remove_repeats(spark, docs(spark, [])).count() == 0
+    clash = docs(spark, corpus(30)).withColumns({c: F.lit(1) for c in ("anchor", "words", "start", "spans", "single", "packed", "row_key")})
+    assert sorted(map(str, substring_dedup.remove_repeats(spark, clash).collect())) == sorted(map(str, substring_dedup.remove_repeats(spark, docs(spark, corpus(30))).collect()))
+
+
+def test_unbranched_repeats_become_one_path(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(["x", *words[500:1500], "y"])), (4, " ".join(words[2000:]))]
+    spans = substring_dedup.repeated_spans(spark, docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.start, r.n_windows, r.src_doc, r.src_start) for r in spans if r.doc_id == 2 and r.n_windows > 200)[0][1] == 0
+    assert len(spans) < 20 + 2 * 62  # not one for each of the 5,000 windows
+    assert {r.src_doc for r in spans} == {1}
+
+
+def test_word_codes_tell_words_apart():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab\u00e9") for _ in range(rng.randint(1, 30))) for _ in range(3000)] + ["q" * n for n in (2047, 2048, 2049, 9000)]
+    data = " ".join(texts).encode()
+    raw = np.frombuffer(data, np.uint8)
+    words = common.Words(raw, np.array([0, len(raw)]))
+    codes = common.word_codes(raw, words)
+    assert len(set(codes.tolist())) == len(set(texts)) and len(codes) == len(texts)
+    assert all((t == u) == (a == b) for (t, a), (u, b) in zip(zip(texts, codes.tolist(), strict=True), zip(texts[1:], codes[1:].tolist(), strict=False), strict=False))
+
+
+def test_run_codes_are_those_of_equal_runs():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 3, 500).astype(np.uint64)
+    for width, found in zip((1, 5, 20, 49, 50), common.run_codes(codes, 1, 5, 20, 49, 50), strict=True):
+        of = {}
+        for i, c in enumerate(found.tolist()):
+            assert of.setdefault(tuple(codes[i : i + width].tolist()), c) == c
+        assert len(found) == 500 - width + 1 and len(set(of.values())) == len(of)
+    assert [len(x) for x in common.run_codes(codes[:7], 5, 8)] == [3, 0]
 
 
 def test_fingerprint_is_the_majority_of_shingle_bits():

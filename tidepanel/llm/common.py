@@ -9,6 +9,7 @@ A word is a longest run of bytes other than space and the controls 9 to 13.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -27,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one where the session names none (tests)."""
+    """The folder that driver and executors share; a fresh one of this machine where a local session names none (tests)."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _local_dir[0]
@@ -63,8 +66,8 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -103,21 +106,6 @@ class Words:
         return len(self.start)
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers[which]
-    if len(have) < n:
-        step = np.full(max(n, BLOCK_BYTES + 1), _ODD if which == "up" else _INVERSE, np.uint64)
-        step[0] = 1
-        have = _powers[which] = np.multiply.accumulate(step)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finish for 64-bit hashes, so that every bit depends on every other."""
     x = x ^ (x >> np.uint64(30))
@@ -127,20 +115,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Spans:
-    """64-bit hashes of any span of a sequence of 64-bit codes, from prefix sums of a polynomial modulo 2**64."""
+def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A code of two codes in this order.  Mixing comes between them, so no sum of terms can cancel."""
+    return mix(mix(x + np.uint64(0x9E3779B97F4A7C15)) + y)
 
-    def __init__(self, codes: np.ndarray):
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * _power("up", len(codes)), out=self.sums[1:])
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        down = _power("down", len(self.sums))
-        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+LONG_WORD = 2048
 
 
 def word_codes(data: np.ndarray, words: Words) -> np.ndarray:
-    return Spans(_BYTE_CODE[data]).hash(words.start, words.end)
+    """64-bit codes of words: a word of up to seven bytes is its own code, so no two of them collide; a longer one is hashed eight bytes at a time, below 2**63 + 2**62."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
+    length = words.end - words.start
+    keep = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    first = eight[words.start] & keep[np.minimum(length, 8)]
+    out = first | (length.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(length > 7)
+    if len(long):
+        h = pair(first[long], length[long].astype(np.uint64))
+        rest, at = np.flatnonzero((length[long] > 8) & (length[long] <= LONG_WORD)), 8
+        while len(rest):
+            which = long[rest]
+            left = length[which] - at
+            h[rest] = pair(h[rest], eight[words.start[which] + at] & keep[np.minimum(left, 8)])
+            rest, at = rest[left > 8], at + 8
+        for i in np.flatnonzero(length[long] > LONG_WORD).tolist():
+            whole = data[words.start[long[i]] : words.end[long[i]]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
+        out[long] = (h >> np.uint64(2)) | np.uint64(1 << 63)
+    return out
+
+
+def run_codes(codes: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """For each width the codes of all runs of that many neighbours, joined from runs of powers of two."""
+    out: list = [None] * len(widths)
+    done = [0] * len(widths)
+    power, size = codes, 1
+    while True:
+        for k, width in enumerate(widths):
+            if width & size:
+                n = max(0, len(codes) - width + 1)
+                have = power[done[k] : done[k] + n]
+                out[k] = have if out[k] is None else pair(out[k][:n], have)
+                done[k] += size
+        if 2 * size > max(widths) or len(power) <= size:
+            break
+        power, size = pair(power[:-size], power[size:]), 2 * size
+    return [x[: max(0, len(codes) - w + 1)] if x is not None and d == w else np.zeros(0, np.uint64) for x, w, d in zip(out, widths, done, strict=True)]
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
