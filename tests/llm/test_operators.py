@@ -1,5 +1,7 @@
 """The training-data operators on small fixtures, against brute force and round trips."""
 
+import functools
+import math
 import random
 import re
 
@@ -279,24 +281,84 @@ def test_a_single_answered_conversation_makes_no_pair(spark):
         assert preference.pairs_from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_base_is_exact(spark):
-    rows = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat on 12 mats!", "", None, "é ñ ß " * 5] * 8)]
-    counts = ctw.corpus_counts(docs(spark, rows))
-    model = ctw.train(counts)
-    assert np.allclose((10 ** model.rows.astype(float)).sum(1), 1, atol=1e-4)
-    for k in range(ctw.BLANK, ctw.N):
-        assert np.allclose((10 ** model.inner[:, ctw.CLASS == k].astype(float)).sum(1), 1, atol=1e-4)
-    got = {r.doc_id: r for r in ctw.score_texts(spark, docs(spark, rows), common.crc_mod("doc_id", 7) != 2, top=2).collect()}
-    tokens = {i: [w.lower() for w in (t or "").encode().split()] + [None] for i, t in rows}
+def coded(text):
+    """(bytes before, newest first, as far as a context reaches; byte) of every byte of a text."""
+    words = (text or "").encode().lower().split()
+    for i, w in enumerate([*words, b"\n"]):
+        before = bytes(3) + words[i - 1] if i else bytes(3)
+        yield (32, *before[:-4:-1], 0, 0, 0), w[0]
+        if i < len(words):
+            whole = bytes(6) + b" " + w + b" "
+            for at in range(8, len(whole)):
+                yield tuple(whole[at - 1 : at - 8 : -1]), whole[at]
+
+
+def plain_weighting(train, texts):
+    """Context-tree weighting over dictionaries: log10 of the probability of each text."""
+    count, longer = {}, {}
+    for learn, some in ((1, train), (0, texts)):
+        for text in some:
+            for context, byte in coded(text):
+                for k in range(8):
+                    node, bit = byte >> (8 - k) | 1 << k, byte >> (7 - k) & 1
+                    for d in range(ctw.DEPTH + 1):
+                        count.setdefault((context[:d], node), [0, 0])[bit] += learn
+                        if d:
+                            longer.setdefault((context[: d - 1], node), set()).add((context[:d], node))
+
+    def own(key):
+        n0, n1 = count[key]
+        return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(key):
+        if key not in longer:
+            return own(key)
+        return np.logaddexp(own(key), sum(map(weighted, sorted(longer[key])))) - math.log(2)
+
+    def one(context, node, d=0):
+        n0, n1 = count[context[:d], node]
+        kt = (n1 + 0.5) / (n0 + n1 + 1)
+        if d == ctw.DEPTH or not sum(count[context[: d + 1], node]):
+            return kt
+        below = sum(map(weighted, sorted(longer[context[:d], node])))
+        share = 1 / (1 + math.exp(below - own((context[:d], node))))
+        return share * kt + (1 - share) * one(context, node, d + 1)
+
+    def log(text):
+        total = 0
+        for context, byte in coded(text):
+            for k in range(8):
+                p = one(context, byte >> (8 - k) | 1 << k)
+                total += math.log10(p if byte >> (7 - k) & 1 else 1 - p)
+        return total
+
+    return [log(t) for t in texts]
+
+
+@pytest.mark.parametrize(("top", "frequent"), [(2, 3), (1 << 18, 1 << 19)])
+def test_context_tree_is_plain_weighting_and_base_is_exact(spark, top, frequent):
+    texts = ["the cat sat", "The dog sat on 12 mats!", "", None, "\u00e9 \u00f1 \u00df " * 5, "extraordinarily long wordings of extraordinary kinds", "x" * 40]
+    rows = [(i, t) for i, t in enumerate(texts * 3)] + [(None, "the null"), (0, "another row of id zero")]
+    got = ctw.score_texts(spark, docs(spark, rows), common.crc_mod("doc_id", 7) != 2, top=top, frequent=frequent).collect()
+    train = [(i, t) for i, t in rows if i is not None and common.crc32_text(i) % 7 != 2]
+    tokens = lambda t: [w.lower() for w in (t or "").encode().split()] + [None]
     count = {}
-    for i, ts in tokens.items():
-        if common.crc32_text(i) % 7 != 2:
-            for t in ts:
-                count[t] = count.get(t, 0) + 1
+    for _, t in train:
+        for w in tokens(t):
+            count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()), len(count)
-    for i, ts in tokens.items():
-        assert got[i].base_score == pytest.approx(sum(np.log10((count.get(t, 0) + 1) / (n + v + 1)) for t in ts))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ts), sum(t in count for t in ts), n) and got[i].score < 0
+    expected = []
+    for (i, t), score in zip(rows, plain_weighting([t for _, t in train], [t for _, t in rows]), strict=True):
+        base = sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in tokens(t))
+        expected.append((str(i), len(tokens(t)), sum(w in count for w in tokens(t)), n, round(base, 6), round(score, 6)))
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(expected)
+
+
+def test_context_tree_without_training_or_rows(spark):
+    rows = ctw.score_texts(spark, docs(spark, [(1, "ab c")]), F.lit(False)).collect()
+    assert rows[0].score == pytest.approx(6 * 8 * np.log10(0.5)) and rows[0].n_known == 0 and rows[0].bits_per_byte == pytest.approx(8)
+    assert ctw.score_texts(spark, docs(spark, []), F.lit(True)).count() == 0
 
 
 def test_leaks_are_brute_force(spark):
