@@ -189,11 +189,23 @@ def test_field_finds_spans_without_digits():
         assert pii.find_spans(text, field) == []
 
 
+def test_zones_decode_like_the_whole_text():
+    field, rng = pii.trained(), random.Random(11)
+    for _ in range(40):
+        text = " ".join([*rng.choices(["plain", "a", "key", "monkeys", "that.is", "passing", "+x", "..."], k=rng.randint(0, 12)), pii._sentence(rng)[0], *rng.choices(["words", "at", "home"], k=rng.randint(0, 12)), pii._sentence(rng)[0]])
+        base = pii.base_spans(text)
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        whole = field.decode(field.segments(text, tokens, {(a, b): k for k, a, b in base}))
+        expected = {(pii.TYPES[y - 1], *pii._trim(text, tokens[a][0], tokens[b - 1][1])) for a, b, y, gain in whole if gain >= pii.GAIN}
+        expected = {s for s in expected if all(s[2] <= a or b <= s[1] for _, a, b in base)}
+        assert {s[:3] for s in pii.find_spans(text, field) if not s[3]} == expected
+
+
 def test_segmentation_is_the_best_of_all():
     field = pii.trained()
     text = "id 4111 1111 1111 x"
     tokens = [m.span() for m in re.finditer(r"\S+", text)]
-    segments = field.segments(text, tokens, {})
+    segments = list(field.segments(text, tokens, {}))
     scores = [field.scores(r) for r in segments]
 
     def best(at, before):
@@ -398,9 +410,59 @@ def test_packing_opens_the_length_of_least_cost_for_what_is_to_come():
     assert packing.pack([8, 8, 5, 4, 2], (11, 14, 15)) == ([0, 1, 1, 0, 0], [14, 14])
 
 
-def test_language_dictionaries_cut_long_texts_and_count_an_id_once(spark):
+def test_language_dictionaries_hold_whole_texts(spark):
     long = "alpha beta gamma delta " * 20000
-    rows = [(1, long, "en"), (1, "zz", "en"), (2, "uno dos tres cuatro " * 30, "es"), (2, "uno dos tres cuatro " * 30, "es"), (None, "abc", "fr"), (3, None, "de")]
+    rows = [(1, long, "en"), (1, long + "zz", "en"), (2, "uno dos tres cuatro " * 30, "es"), (2, "uno dos tres cuatro " * 30, "es"), (3, long, "es"), (None, "abc", "fr"), (3, None, "de"), (4, "12 34", "nn")]
+    rows += [(i, f"un deux trois {'x' * (1 + i % 90)} fin", "fr") for i in range(100, 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = language.dictionaries(docs, F.lit(True), size=4096)
-    assert set(found) == {"en", "es"} and len(found["en"]) == 4096 and found["es"].startswith(b"uno dos")
+    assert set(found) == {"en", "es", "fr"} and len(found["en"]) == 4096 and found["es"].strip() == ("uno dos tres cuatro " * 30).strip().encode()
+    texts = found["fr"].split(b"\n")
+    assert 4096 - 110 < len(found["fr"]) <= 4096 and set(texts) <= {t.encode() for _, t, k in rows if k == "fr"} and all(t.startswith(b"un ") and t.endswith(b" fin") for t in texts)
+    assert len(language.dictionaries(docs, F.lit(True), sample=3, size=4096)["fr"].split(b"\n")) == 3
+
+
+def least_cost(sizes, lengths):
+    """Brute force: the least total cost of sequences that hold all pieces."""
+    best = math.inf
+
+    def place(i, used):
+        nonlocal best
+        if i == len(sizes):
+            best = min(best, sum(packing.cost(next(c for c in lengths if c >= u)) for u in used))
+            return
+        for b in range(len(used)):
+            if used[b] + sizes[i] <= lengths[-1]:
+                used[b] += sizes[i]
+                place(i + 1, used)
+                used[b] -= sizes[i]
+        place(i + 1, [*used, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_near_the_least_cost_of_all_and_below_single_lengths():
+    rng, lengths = random.Random(8), (512, 1024, 2048, 4096)
+    total = optimum = single = 0.0
+    for _ in range(60):
+        sizes = sorted((rng.choice([100, 300, 500, 700, 1100, 1500, 2000]) + rng.randint(0, 90) for _ in range(rng.randint(1, 7))), reverse=True)
+        mine = sum(map(packing.cost, packing.pack(sizes, lengths)[1]))
+        best = least_cost(sizes, lengths)
+        assert best <= mine * (1 + 1e-9) and mine <= 1.5 * best
+        total, optimum = total + mine, optimum + best
+        single += min(len(packing.pack(sizes, (c,))[1]) * packing.cost(c) for c in lengths if c >= sizes[0])
+    assert total < 1.06 * optimum and total < 0.9 * single
+
+
+def test_packing_deals_rows_that_repeat_over_shards(spark):
+    rows = spark.createDataFrame([(None, 700)] * 3000, "doc_id long, n_tokens long")
+    got = packing.pack_documents(spark, rows, shard=100_000).toPandas()
+    by_shard = got.groupby(got.sequence_id.map(lambda s: s >> 32)).size()
+    assert len(got) == 3000 and len(by_shard) == 21 and by_shard.max() < 250
+
+
+def test_packing_of_texts(spark):
+    rows = [(1, None), (1, None), (2, ""), (None, "a b"), (3, "w " * 9000)]
+    got = packing.pack_texts(spark, docs(spark, rows).withColumn("n_tokens", F.lit(1)).withColumn("piece", F.lit("x"))).collect()
+    assert sorted((str(r.doc_id), r.piece, r.n_tokens) for r in got) == [("1", 0, 1), ("1", 0, 1), ("2", 0, 1), ("3", 0, 8192), ("3", 1, 809), ("None", 0, 3)]

@@ -23,16 +23,18 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     the large star links every larger neighbour of a node to the node's least
     neighbour, the small star links the smaller ones.  The rows never outnumber
     the edges by more than the nodes, and a hot node is only joined, never
-    gathered.  The end is reached when a round changes nothing.
+    gathered: the least neighbours are written first, so that both sides of their
+    join are plain exchanges, which Spark may split.  The end is reached when a
+    round changes nothing.
     """
     edges = written(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     seen = _mark(edges)
     while True:
         around = _both_ways(edges)
-        least = around.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(spark, around.groupBy("a").agg(F.min("b").alias("m")), "least")
         large = around.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         edges = written(spark, large.distinct(), "edges")
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(spark, edges.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(spark, small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = _mark(edges)

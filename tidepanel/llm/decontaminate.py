@@ -42,9 +42,9 @@ def words_of(column: str = "text") -> Column:
 
 
 def _grams(words: str, width: int) -> Column:
-    """Hashes of all runs of ``width`` words, from an array of word hashes."""
+    """Hashes of the width and all runs of ``width`` words, from an array of word hashes."""
     at = F.sequence(F.lit(0), F.size(words) - width)
-    gram = lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)])
+    gram = lambda i: F.xxhash64(F.lit(width), *[F.get(F.col(words), i + k) for k in range(width)])
     return F.when(F.size(words) >= width, F.transform(at, gram)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -57,13 +57,13 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(width, hash, item_id): the MinHash sketches, sized by partition."""
-    hashed = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(F.transform(F.split(s, " "), lambda w: F.xxhash64(w)))))
+    """(hash, item_id): the MinHash sketches, sized by partition."""
+    hashed = F.array_sort(F.transform("shingles", lambda s: F.xxhash64("width", F.transform(F.split(s, " "), lambda w: F.xxhash64(w)))))
     df = shingles.select("item_id", "width", hashed.alias("h"))
     # Partition p holds the sizes from 2**p on; its sketches are sized for its largest possible member.
     partition = F.floor(F.log2(F.size("h")))
     size = F.floor((1 - threshold) * (F.pow(F.lit(2), partition + 1) - 1) + 1e-9) + 1
-    return df.select("width", "item_id", F.explode(F.slice("h", F.lit(1), F.least(F.size("h"), size.cast("int")))).alias("hash"))
+    return df.select("item_id", F.explode(F.slice("h", F.lit(1), F.least(F.size("h"), size.cast("int")))).alias("hash"))
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,13 +73,11 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold
     widths = sorted(r.width for r in shingles.select("width").distinct().collect())  # at most SHINGLE rows
     source = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row_key"))
     hashes = source.select("doc_id", "row_key", F.transform(words_of(), lambda w: F.xxhash64(w)).alias("w"))
-    grams = [hashes.select("doc_id", "row_key", F.lit(k).alias("width"), F.explode_outer(_grams("w", k)).alias("hash")) for k in widths]
-    if not grams:
+    if not widths:
         return shingles.select(F.lit(None).cast("long").alias("doc_id"), "item_id", F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
-    every = grams[0]
-    for g in grams[1:]:
-        every = every.unionByName(g)
-    candidates = written(spark, every.join(sketch, ["width", "hash"]).select("doc_id", "row_key", "item_id").distinct(), "candidates")
+    # One generator for all widths; the outer form, as Spark would filter by the size of the array first and so make it twice.
+    grams = hashes.select("doc_id", "row_key", F.explode_outer(F.concat(*[_grams("w", k) for k in widths])).alias("hash"))
+    candidates = written(spark, grams.join(sketch, "hash").select("doc_id", "row_key", "item_id").distinct(), "candidates")
     texts = source.join(candidates, ["doc_id", "row_key"]).join(shingles, "item_id")
     flat = texts.select("doc_id", "item_id", "shingles", F.concat(F.lit(" "), F.array_join(words_of(), " "), F.lit(" ")).alias("flat"))
     shared = F.size(F.filter("shingles", lambda s: F.contains(F.col("flat"), F.concat(F.lit(" "), s, F.lit(" ")))))

@@ -5,26 +5,29 @@ text is encoded once with every dictionary; the language whose dictionary gives
 the fewest bytes wins.  The share by which the second one is longer is the
 margin; predictions with a margin under ``MARGIN`` are marked as rejected.
 
-The dictionaries are fitted on a bounded sample: of each language the ``SAMPLE``
-admitted rows with the least xxhash64 of their id, cut together to
-``DICTIONARY`` bytes, the most recent last, as zstandard prefers.  Ids are chosen
-before any text leaves its task.  Every text is encoded whole.
+The dictionaries are fitted on a bounded sample: of each language whole texts, in
+the order of the xxhash64 of their id, as long as they have ``DICTIONARY`` bytes
+together and are at most ``SAMPLE``; the first stands last, as zstandard prefers.
+A text longer than a dictionary teaches, by its middle, only where no other does.
+Rows are thinned by that hash before any text leaves its task, by the number of
+rows of their language, so one scan serves all languages and no task holds one.
+Every text is encoded whole.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
-rows with a null lang or id teach nothing; of an id that repeats in a language the least text teaches; ties go to the language first in order; with
-no languages learned everything is ``und``; duplicate rows repeat; lang, source
-and ids never enter a prediction.
+rows with a null lang or id teach nothing; of an id that repeats in a language the
+least text teaches; ties go to the language first in order; with no languages
+learned everything is ``und``; duplicate rows repeat; an empty table gives no rows;
+lang, source and ids never enter a prediction, and other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DICTIONARY = 96 << 10
@@ -47,35 +50,36 @@ def _middle(raw: bytes, size: int) -> bytes:
 
 
 def _pieces(size: int):
-    """The middle of each text: no more than a whole dictionary of it leaves the task."""
+    """The letters of each text, whole if a dictionary holds them, and whether they are."""
 
     def run(batches):
         for batch in batches:
-            piece = [_middle(_letters(t), size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(piece, pa.binary())], names=["lang", "doc_id", "piece"])
+            letters = [_letters(t) for t in batch.column("text").to_pylist()]
+            piece = [x if len(x) <= size else _middle(x, size) for x in letters]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array([len(x) > size for x in letters], pa.bool_()), pa.array(piece, pa.binary())], names=["lang", "doc_id", "cut", "piece"])
 
     return run
 
 
+THIN = 1 << 30
+
+
 def dictionaries(docs: DataFrame, learns, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw dictionary content of each language."""
-    usable = docs.filter(learns).filter("lang is not null and text is not null and doc_id is not null")
-    langs = sorted(r.lang for r in usable.select("lang").distinct().collect())  # one row a language
-    if not langs:
-        return {}
-    ids = [usable.filter(F.col("lang") == lang).select("lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for lang in langs]
-    chosen = reduce(DataFrame.unionByName, ids).distinct()
-    # Broadcast and collected: at most ``sample`` rows a language.
-    rows = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    pieces = rows.mapInArrow(_pieces(size), rows.select("lang", "doc_id", F.lit(b"").alias("piece")).schema)
-    sampled: dict[str, list[bytes]] = {lang: [] for lang in langs}
-    for r in pieces.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect():
-        sampled[r.lang].append(bytes(r.piece))
-    found = {}
-    for lang in langs:  # the same share of every sampled text
-        share = max(256, size // max(1, len(sampled[lang])))
-        found[lang] = b"\n".join(_middle(raw, share) for raw in sampled[lang])[-size:]
-    return {k: v for k, v in found.items() if v}
+    """Raw dictionary content of each language; no more than that content is collected."""
+    usable = docs.select("doc_id", "lang", "text").filter(learns).filter("lang is not null and text is not null and doc_id is not null")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    # About four times the sample of a large language, all rows of a small one.
+    thinned = usable.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(THIN)) * F.col("n") <= F.lit(4 * sample * THIN))
+    pieces = thinned.select("lang", "doc_id", "text").mapInArrow(_pieces(size), "lang string, doc_id long, cut boolean, piece binary")
+    pieces = pieces.groupBy("lang", "doc_id").agg(F.min(F.struct("cut", "piece")).alias("best")).select("lang", "doc_id", "best.*")
+    # Windows of some hundred rows a language.
+    order = Window.partitionBy("lang").orderBy("cut", F.xxhash64("doc_id"), "doc_id")
+    taken = pieces.withColumns({"place": F.row_number().over(order), "so_far": F.sum(F.length("piece") + 1).over(order)}).filter((F.col("place") <= sample) & (F.col("so_far") <= size + 1))
+    rows = taken.filter(~F.col("cut") | (F.col("place") == 1)).orderBy("lang", F.desc("place")).collect()
+    found: dict[str, list[bytes]] = {}
+    for r in rows:
+        found.setdefault(r.lang, []).append(bytes(r.piece))
+    return {lang: joined for lang, pieces in found.items() if (joined := b"\n".join(pieces)).strip()}
 
 
 def _predict(model, level: int, margin: float):

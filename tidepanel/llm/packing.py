@@ -9,9 +9,10 @@ first, with the pieces of the shard that are still to come and that no sequence
 opened before expects.  In the end each sequence is cut down to the least
 permitted length that holds its contents, so the capacities that were opened only steer.
 
-Pieces are dealt over shards by a hash of document, piece and length, about
-``SHARD`` tokens each, whose number follows from the total; a shard is packed by
-itself and its memory does not depend on the input.
+Pieces are dealt over shards by a hash of document, piece, length and place in the
+table, so that rows that repeat are dealt like others, about ``SHARD`` tokens a
+shard; their number follows from the total.  A shard is packed by itself and its
+memory does not depend on the input.
 
 Defined cases: lengths are words plus one end mark, so null and empty texts have
 one token; equal documents are packed each for itself; null ids are packed like
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD = 4_000_000
 QUADRATIC = 1 / 65536  # share of the quadratic term: it equals the linear one at 65,536 tokens
@@ -109,8 +112,8 @@ def pack_documents(spark: SparkSession, lengths: DataFrame, permitted: tuple[int
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n_tokens") - 1) / longest).cast("int")))).alias("piece")
-    pieces = lengths.select("doc_id", "n_tokens", piece).select("doc_id", "piece", F.least(F.lit(longest), F.col("n_tokens") - F.col("piece") * longest).cast("int").alias("n_tokens"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)))
+    pieces = lengths.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row")).select("doc_id", "n_tokens", "row", piece).select("doc_id", "piece", "row", F.least(F.lit(longest), F.col("n_tokens") - F.col("piece") * longest).cast("int").alias("n_tokens"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "row"), F.lit(shards))).drop("row")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -123,4 +126,5 @@ def pack_documents(spark: SparkSession, lengths: DataFrame, permitted: tuple[int
 
 
 def pack_texts(spark: SparkSession, docs: DataFrame, permitted: tuple[int, ...] = LENGTHS, shard: int = SHARD) -> DataFrame:
-    return pack_documents(spark, docs.select(F.col("doc_id").cast("long"), word_count().alias("n_tokens")), permitted, shard)
+    lengths = written(spark, docs.select(F.col("doc_id").cast("long"), word_count().alias("n_tokens")), "lengths")  # texts are read once
+    return pack_documents(spark, lengths, permitted, shard)

@@ -14,8 +14,12 @@ sentences generated from the templates below, so they depend on no corpus.  A
 span is kept if it gains ``GAIN`` or more over leaving its tokens unmarked and
 does not overlap a span of the patterns, which all stay.
 
-Only zones around triggers are decoded, each whole, in windows that overlap by a
-segment, so memory and time are linear in the text.
+A segment without any trigger (digits, @, key words with a sign of assignment, spelled-out
+signs, long hex) is evidence of no type: the model leaves it unmarked.  So tokens
+further than a segment from every trigger are unmarked in the best segmentation of the
+whole text, and decoding the zones around triggers finds just that one.  A zone is
+decoded in one pass whatever its length, which takes time in proportion to it and
+some hundred bytes a token.
 
 Defined cases: null text is empty; empty text has no spans; rows are handled each
 by itself, so duplicates and null ids need nothing; other columns are ignored.
@@ -27,7 +31,10 @@ from __future__ import annotations
 import functools
 import random
 import re
+from array import array
 from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +44,9 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 TYPES = (*KINDS, "secret")
 LONGEST = 6
-WINDOW = 48  # tokens decoded at once
 GAIN = 2.0
 EPOCHS = 8
-SENTENCES = 180
+SENTENCES = 260
 
 # Fixed patterns, possessive where giving back could not help.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -89,7 +95,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 # Where a segment can hold more than plain words: digits, @, spelled-out at and dot, assigned key words, long hex.
-_TRIGGER = re.compile(r"[0-9@]|[\[(<{](?:at|dot)[\])>}]|\sdot\s|\sat\s+[\w-]+\.[\w-]|(?:pass(?:word|wd)?|pwd|secret|token|key|bearer)[\"']?\s*[=:]|[a-f]{16}", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[\[(<{](?:at|dot|\.)[\])>}]|\sdot\s|\sat\s+[\w-]+\.[\w-]|(?:pass(?:word|wd)?|pwd|secret|token|key|bearer)[\"']?\s*[=:]|[a-f]{16}", re.I)
 _AT_WORD = re.compile(r"^[\[(<{]?(?:at|@)[\])>}]?$", re.I)
 _DOT_WORD = re.compile(r"^[\[(<{]?(?:dot|\.)[\])>}]?$", re.I)
 _KEY_WORD = re.compile(r"pass(?:word|wd)?|secret|token|api[_-]?key|key|pwd|bearer", re.I)
@@ -99,8 +105,8 @@ _RANDOM = re.compile(r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,
 _GROUPS = re.compile(r"[0-9]+")
 _MONEY = re.compile(r"^[$€£]?[0-9]{1,3}(?:[.,][0-9]{1,3})*[.,]?%?$")
 _DATE = re.compile(r"^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}[.,]?$|^[0-9]{1,2}:[0-9]{2}")
-_SPOKEN_MAIL = re.compile(r"^[\w.+-]+ ?[\[(]?(?:at|@)[\])]? ?[\w-]+(?: ?[\[(]?(?:dot|\.)[\])]? ?\w+)+[.,;]?$", re.I)
 _SPELLED_MAIL = re.compile(r"^[\w.+-]+(?:\s+at\s+|\s?[\[(<{](?:at|@)[\])>}]\s?)[\w-]+(?:(?:\s+dot\s+|\s?[\[(<{](?:dot|\.)[\])>}]\s?|\.)[\w-]+)+(?<=\w\w)[.,;]?$", re.I)
+_ENDING = re.compile(r"\b(?:com|org|net|edu|gov|info|io)[.,;]?$", re.I)  # fixed values: frequent top-level domains
 _ALL_ASSIGNED = re.compile(r"^(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[^\s\"']{8,}\S*$", re.I)
 _NATIONAL = re.compile(r"^\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}[.,;]?$")
 
@@ -110,16 +116,16 @@ def features(span: str, n: int, base: str) -> list[str]:
     digits = _NO_DIGIT.sub("", span)
     groups = _GROUPS.findall(span)
     letters = sum(c.isalpha() for c in span)
-    f = ["bias", f"n{n}", f"base={base}", f"digits={'0' if not digits else '1-4' if len(digits) < 5 else '5-8' if len(digits) < 9 else '9-11' if len(digits) < 12 else '12-19' if len(digits) < 20 else '20+'}", f"groups={min(len(groups), 6)}", f"at={span.count('@') if '@' in span else 0}", f"letters={'none' if not letters else 'few' if letters < 4 else 'many'}"]
+    f = [] if _TRIGGER.search(span) else ["plain"]
+    f += ["bias", f"n{n}", f"base={base}", f"digits={'0' if not digits else '1-4' if len(digits) < 5 else '5-8' if len(digits) < 9 else '9-11' if len(digits) < 12 else '12-19' if len(digits) < 20 else '20+'}", f"groups={min(len(groups), 6)}", f"at={span.count('@') if '@' in span else 0}", f"letters={'none' if not letters else 'few' if letters < 4 else 'many'}"]
     if 12 <= len(digits) <= 19 and not letters:
         f.append("luhn" if luhn(digits) else "not luhn")
-    if _SPOKEN_MAIL.match(span):
-        f.append("spoken mail" if not letters <= 4 else "short spoken mail")
     if _SPELLED_MAIL.match(span):
         f.append("spelled mail")
+        f.append("known ending" if _ENDING.search(span) else "unknown ending")
     if _NATIONAL.match(span):
         f.append("national phone")
-    if span[:1] == "+":
+    if span[:1] == "+" and digits:
         f.append("plus")
     if _ASSIGNED.search(span):
         f.append("assigned")
@@ -154,7 +160,7 @@ class Field:
     """Weights of the semi-Markov CRF: a row per type (0: unmarked, one token) for features, and transitions."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {"plain": 0}
         self.weights = np.zeros((len(TYPES) + 1, 256))
         self.moves = np.zeros((len(TYPES) + 1, len(TYPES) + 1))
 
@@ -164,44 +170,49 @@ class Field:
                 self.index.setdefault(f, len(self.index))
         return [self.index[f] for f in found if f in self.index]
 
-    def segments(self, text: str, tokens: list[tuple[int, int]], base: dict[tuple[int, int], str], grow: bool = False) -> list[list[list[int]]]:
+    def segments(self, text: str, tokens: list[tuple[int, int]], base: dict[tuple[int, int], str], grow: bool = False) -> Iterator[list[list[int]]]:
         """Feature ids of the segments that end behind token j, for each length."""
-        out = []
         for j in range(1, len(tokens) + 1):
             row = []
             for n in range(1, min(LONGEST, j) + 1):
                 a, b = _trim(text, tokens[j - n][0], tokens[j - 1][1])
                 row.append(self.ids(features(text[a:b], n, base.get((a, b), "")), grow))
-            out.append(row)
-        return out
+            yield row
 
     def scores(self, row: list[list[int]]) -> np.ndarray:
         s = np.array([self.weights[:, ids].sum(1) for ids in row])
         s[1:, 0] = -np.inf  # unmarked segments are single tokens
+        s[[ids[0] == 0 for ids in row], 1:] = -np.inf  # nothing speaks for any type
         return s
 
-    def decode(self, segments: list[list[list[int]]]) -> list[tuple[int, int, int, float]]:
+    def decode(self, segments: Iterable[list[list[int]]]) -> list[tuple[int, int, int, float]]:
         """(first token, past the last, type, gain over unmarked tokens) of the best segmentation's marked segments."""
-        m, k = len(segments), len(TYPES) + 1
-        best = np.full((m + 1, k), -np.inf)
-        best[0, 0] = 0
-        back: list[list[tuple[int, int]]] = [[(0, 0)] * k for _ in range(m + 1)]
-        scores = [self.scores(row) for row in segments]
-        for j in range(1, m + 1):
-            for n in range(1, len(scores[j - 1]) + 1):
-                through = best[j - n][:, None] + self.moves
-                frm = through.argmax(0)
-                total = through[frm, np.arange(k)] + scores[j - 1][n - 1]
-                for y in np.flatnonzero(total > best[j]):
-                    best[j, y] = total[y]
-                    back[j][y] = (n, int(frm[y]))
-        out, j, y = [], m, int(best[m].argmax())
-        plain = [s[0, 0] for s in scores]
+        k = len(TYPES) + 1
+        start = np.full(k, -np.inf)
+        start[0] = 0
+        best = deque([start], LONGEST)  # the last one is that of the token before
+        plain, length, before, alone = array("d"), array("b"), array("b"), array("d")
+        for row in segments:
+            scores = self.scores(row)
+            top, frm, n_best, own = np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k)
+            for n in range(1, len(scores) + 1):
+                through = best[-n][:, None] + self.moves
+                origin = through.argmax(0)
+                total = through[origin, np.arange(k)] + scores[n - 1]
+                better = total > top
+                top[better], frm[better], n_best[better], own[better] = total[better], origin[better], n, scores[n - 1][better]
+            best.append(top)
+            plain.append(scores[0, 0])
+            length.extend(n_best.tolist())
+            before.extend(frm.tolist())
+            alone.extend(own.tolist())
+        out, j, y = [], len(plain), int(best[-1].argmax())
         while j > 0:
-            n, before = back[j][y]
+            at = (j - 1) * k + y
+            n, origin = length[at], before[at]
             if y:
-                out.append((j - n, j, y, float(scores[j - 1][n - 1, y] + self.moves[before, y] - sum(plain[j - n : j]))))
-            j, y = j - n, before
+                out.append((j - n, j, y, float(alone[at] + self.moves[origin, y] - sum(plain[j - n : j]))))
+            j, y = j - n, origin
         return out[::-1]
 
     def gradient(self, segments: list[list[list[int]]], gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +296,7 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         lambda: f"9{d(2)}.{d(3)}.4{d(2)}.{d(2)}",
         lambda: d(rng.randint(5, 8)),
         lambda: f"at {word()}",
+        lambda: f"at {word()}.{letters_of(1, 8)}",
         lambda: f"{word()} dot {word()}",
         lambda: f"@{word()}",
         lambda: f"{d(4)} {d(4)}",
@@ -317,7 +329,7 @@ def trained(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 5) ->
         begins = [a for a, _ in tokens]
         gold = {(bisect_right(begins, a) - 1, bisect_right(begins, b - 1)): t for a, b, t in spans}
         if all(b - a <= LONGEST for a, b in gold):
-            data.append((field.segments(text, tokens, base, grow=True), gold))
+            data.append((list(field.segments(text, tokens, base, grow=True)), gold))
     seen = [np.full_like(field.weights, 1e-3), np.full_like(field.moves, 1e-3)]
     for _ in range(epochs):
         rng.shuffle(data)
@@ -360,18 +372,10 @@ def find_spans(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     free = lambda a, b: not (i := bisect_right(starts, b - 1)) or reach[i - 1] <= a
     for lo, hi in _zones(text, tokens):
-        at = lo
-        while at < hi:
-            stop = min(hi, at + WINDOW)
-            marked = field.decode(field.segments(text, tokens[at:stop], by_span))
-            settled = stop if stop == hi else stop - LONGEST  # what may run on is decoded again with the next window
-            for a, b, y, gain in marked:
-                if a + at < settled and gain >= GAIN:
-                    s, e = _trim(text, tokens[a + at][0], tokens[b + at - 1][1])
-                    if s < e and free(s, e):
-                        found.append((TYPES[y - 1], s, e, False))
-                    settled = max(settled, b + at)
-            at = settled
+        for a, b, y, gain in field.decode(field.segments(text, tokens[lo:hi], by_span)):
+            s, e = _trim(text, tokens[lo + a][0], tokens[lo + b - 1][1])
+            if gain >= GAIN and s < e and free(s, e):
+                found.append((TYPES[y - 1], s, e, False))
     return sorted(found, key=lambda s: (s[1], TYPES.index(s[0]), s[2]))
 
 

@@ -72,6 +72,12 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(as_long(found))], names=["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches):
+    for batch in batches:
+        found = next(_fingerprints([batch.rename_columns(["doc_id" if c == "id" else c for c in batch.schema.names])]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), found.column("fp")], names=["id", "key", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
@@ -149,17 +155,36 @@ def fingerprint_links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS,
     return pairs.unionByName(members.mapInArrow(_links(radius), "a long, b long"))
 
 
+def fingerprint_roots(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """(fp, root) for each of the distinct fingerprints ``fps`` (fp): the least fingerprint that it reaches by links."""
+    roots = connected_components(spark, fingerprint_links(spark, fps, radius, split)).withColumnRenamed("id", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
     prints = written(spark, fingerprints(docs), "fingerprints")
     fps = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = connected_components(spark, fingerprint_links(spark, fps.select("fp"), radius, split))
-    roots = roots.withColumnRenamed("id", "fp")
-    nodes = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("node").alias("component_id"))
-    placed = nodes.join(least, "root").select("fp", "component_id")
+    nodes = written(spark, fps.join(fingerprint_roots(spark, fps.select("fp"), radius, split), "fp"), "roots")
+    least = written(spark, nodes.groupBy("root").agg(F.min("node").alias("component_id")), "least")
+    # Both sides of each join are tables, so that Spark may split a root or a fingerprint that most rows share.
+    placed = written(spark, nodes.join(least, "root").select("fp", "component_id"), "placed")
     return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...), one of each component: that of the least doc_id (null last), then of the least hash of the text; of rows equal in both, any one."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("key"))
+    source = keyed.select("id", "key", F.col("row.text").alias("text"))
+    prints = written(spark, source.mapInArrow(_keyed_fingerprints, "id long, key long, fp long"), "fingerprints")
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best"))
+    fps = written(spark, best, "nodes")
+    nodes = fps.join(fingerprint_roots(spark, fps.select("fp"), radius, split), "fp")
+    kept = nodes.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.key")
+    same = keyed.id.eqNullSafe(kept.id) & (keyed.key == kept.key)
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
+
+
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))

@@ -12,9 +12,11 @@ window that the present model finds worst.  Misspellings share n-grams with
 their words and so share vectors.
 
 Training uses at most ``SAMPLE`` labelled rows of each class, those with the least
-xxhash64 of their id among the ids that ``learns`` admits; the sample is the only
-thing that reaches the driver, as it is the classifier's bounded fit.  Every row is scored, on
-the executors, with the product of embeddings and weights, one number a bucket.
+xxhash64 of their id among the ids that ``learns`` admits, as long as their texts
+have at most ``SAMPLE_CHARS`` characters together; of an id that repeats the least
+text trains.  The sample is the only thing that reaches the driver, as it is the
+classifier's bounded fit.  Every row is scored, on the executors, with the product
+of embeddings and weights, one number a bucket.
 
 Defined cases: A-Z count as lower case; null or empty text is a window without
 subwords, whose score is that of the bias; documents shorter than a window are
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, blocks, mix, ranges, word_codes
@@ -36,6 +38,7 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
 DIM = 8
 SAMPLE = 500
+SAMPLE_CHARS = 1 << 23
 ROUNDS = 30
 
 
@@ -152,12 +155,12 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     return logit, float(b[1] - b[0])
 
 
-def _score(model, with_text: bool):
+def _score(model):
     def run(batches):
         logit, bias = model.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for lo, hi, data, offsets in blocks(batch.column("text"), 1 << 17):  # a byte has three subwords of many numbers each
+            for lo, hi, data, offsets in blocks(batch.column("row").field("text"), 1 << 17):  # a byte has three subwords of many numbers each
                 words, word, bucket = subwords(data, offsets)
                 z = np.zeros(hi - lo)
                 if len(words):
@@ -167,26 +170,32 @@ def _score(model, with_text: bool):
                     filled = np.flatnonzero(np.diff(words.first))
                     z[filled] = np.maximum.reduceat(score, words.first[filled])
                 out[lo:hi] = 1 / (1 + np.exp(-(z + bias)))
-            kept = [c for c in batch.schema.names if with_text or c != "text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(out)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], names=["row", "score"])
 
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learns, sample: int = SAMPLE) -> list[tuple[str, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, learns, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """At most ``sample`` labelled texts of each class; ids are chosen before any text is read."""
     usable = labels.filter(learns).filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     usable = usable.join(docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null").select("doc_id"), "doc_id", "left_semi")
     chosen = [usable.filter(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
-    return [(r.text, r.toxic) for r in texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()]  # broadcast: at most 2 * sample ids
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # broadcast: at most 2 * sample ids
+    # A window of at most ``sample`` rows.
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return [(r.text, r.toxic) for r in texts.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).orderBy("doc_id", "text").collect()]
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learns, sample: int = SAMPLE, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns ``keep``, and the text if asked for, of every row of ``docs`` (doc_id, text) and its score; ``learns`` tells which label rows may train."""
+def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learns, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, score) for every row of ``docs`` (doc_id, text); ``learns`` tells which label rows may train."""
+    return scored_rows(spark, docs.select("doc_id", "text"), labels, learns, sample).select("row.doc_id", "score")
+
+
+def scored_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame, learns, sample: int = SAMPLE) -> DataFrame:
+    """(row, score): every row of ``docs`` (doc_id, text, ...) as a struct, and its score."""
     rows = training_sample(docs, labels, learns, sample)
     model = spark.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows]))
-    source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if with_text or f.name != "text")
-    return source.mapInArrow(_score(model, with_text), schema + ", score double")
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return source.mapInArrow(_score(model), source.withColumn("score", F.lit(0.0)).schema)
