@@ -21,7 +21,7 @@ its last.  A document is a walk.
    read back, and the words are removed if 128-bit digests of the words agree.
 
 Copies cost one class however many there are; windows are never compared in pairs.
-Both sides of every join on an anchor, class or node are plain exchanges, so Spark
+Both sides of every join on an anchor, class or node are written tables, so Spark
 may split a hot one.  Texts are compressed before they are shuffled.
 
 Hashes: an edge is known by the 64-bit hash of its anchor and another one of all
@@ -195,12 +195,12 @@ def _packed_texts(source: DataFrame) -> DataFrame:
     return source.mapInArrow(_packed, "doc_id long, row_key long, packed binary")
 
 
-def compacted(pieces: DataFrame) -> DataFrame:
+def compacted(spark: SparkSession, pieces: DataFrame) -> DataFrame:
     """Pieces with ``path_start``, the place in their source where their nonbranching path begins."""
     ends = pieces.select("single", F.col("tail").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out"), F.xxhash64("src_doc", "src_key", F.col("src_start") + F.col("n_windows")).alias("place"))
     begins = pieces.select("single", F.col("head").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out"), F.xxhash64("src_doc", "src_key", "src_start").alias("place"))
     degrees = ends.unionByName(begins).groupBy("single", "node").agg(F.sum("into").alias("into"), F.sum("out").alias("out"), F.min("place").alias("lo"), F.max("place").alias("hi"))
-    through = degrees.filter("into = 1 and out = 1 and lo = hi").select("single", F.col("node").alias("head"), F.lit(True).alias("linked"))
+    through = written(spark, degrees.filter("into = 1 and out = 1 and lo = hi").select("single", F.col("node").alias("head"), F.lit(True).alias("linked")), "through")
     walk = Window.partitionBy("single", "src_doc", "src_key").orderBy("src_start").rowsBetween(Window.unboundedPreceding, 0)
     linked = pieces.join(through, ["single", "head"], "left")
     return linked.withColumn("path_start", F.last(F.when(F.col("linked").isNull(), F.col("src_start")), ignorenulls=True).over(walk)).select("single", "anchor", "words", "src_doc", "src_key", "src_start", "path_start")
@@ -210,18 +210,19 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k
     """(doc_id, row_key, start, n_windows, src_doc, src_key, src_start): the longest spans, by word position, of windows that also start in a document with a smaller doc_id, and where."""
     source = _source(docs).filter("doc_id is not null and text is not null")
     runs = written(spark, source.mapInArrow(_runs(window, k), RUNS), "runs")
-    anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    anchors = written(spark, runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"), "anchors")
     hits = written(spark, runs.join(anchors, "anchor", "left_semi"), "hits")
 
     classes = written(spark, hits.groupBy("anchor", "words").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")), "classes")
-    branching = classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("branching"))
-    classes = classes.join(branching, "anchor", "left").select("anchor", "words", F.col("first_doc").alias("doc_id"), (F.col("last_doc") > F.col("first_doc")).alias("whole"), F.coalesce("branching", F.lit(False)).alias("branching"))
-    parts = hits.join(classes, ["anchor", "words", "doc_id"]).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n_windows", "anchor", "words", "whole", "branching")).alias("parts"))
+    branching = written(spark, classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("branching")), "branching")
+    marked = classes.join(branching, "anchor", "left").select("anchor", "words", F.col("first_doc").alias("doc_id"), (F.col("last_doc") > F.col("first_doc")).alias("whole"), F.coalesce("branching", F.lit(False)).alias("branching"))
+    marked = written(spark, marked, "marked")
+    parts = hits.join(marked, ["anchor", "words", "doc_id"]).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n_windows", "anchor", "words", "whole", "branching")).alias("parts"))
     at = written(spark, _packed_texts(source).join(parts, ["doc_id", "row_key"]).mapInArrow(_pieces(window), PIECES), "pieces")
 
     pieces = at.groupBy("single", "anchor", "words").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("src"), F.max("doc_id").alias("last_doc"), F.min("n_windows").alias("n_windows"), F.min("head").alias("head"), F.min("tail").alias("tail"))
     pieces = pieces.filter("not single or last_doc > src.doc_id").select("single", "anchor", "words", "n_windows", "head", "tail", F.col("src.doc_id").alias("src_doc"), F.col("src.row_key").alias("src_key"), F.col("src.start").alias("src_start"))
-    paths = written(spark, compacted(written(spark, pieces, "graph")), "paths")
+    paths = written(spark, compacted(spark, written(spark, pieces, "graph")), "paths")
 
     seen = hits.withColumn("single", F.lit(False)).unionByName(at.filter("single").drop("head", "tail"))
     later = seen.join(paths, ["single", "anchor", "words"]).filter("doc_id > src_doc").withColumn("shift", F.col("start") - F.col("src_start"))
