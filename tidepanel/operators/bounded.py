@@ -38,3 +38,43 @@ def index_weights(panel: DataFrame, weights: DataFrame, days: int) -> DataFrame:
     known = asof(panel, weights.select("code", F.col("date").alias("_at"), F.col("date").alias("_seen"), F.col("weight").alias("_w")), ["_w", "_seen"], "date", "_at")
     fresh = known.withColumn("_w", F.when(F.datediff("date", "_seen") <= days, F.col("_w")))
     return fresh.withColumn("weight", F.try_divide(F.col("_w"), F.sum("_w").over(Window.partitionBy("date")))).drop("_w", "_seen", "_at")
+
+
+def norm_score(df: DataFrame, beta: float, value: str = "value") -> DataFrame:
+    """The value over ``beta`` times the sum of absolutes of its date."""
+    return df.withColumn(value, F.try_divide(F.col(value), F.sum(F.abs(value)).over(Window.partitionBy("date")) * beta))
+
+
+def fixed_bounds(df: DataFrame, value: str = "value") -> DataFrame:
+    return df.withColumns({"lower": F.col(value), "upper": F.col(value)})
+
+
+def score_bounds(df: DataFrame, edges: list[float], grouped: bool, value: str = "value") -> DataFrame:
+    """Adds lower and upper: the quantile edges of the date around the value; without ``grouped`` the outermost buckets keep the value itself.
+
+    The lowest edge lies a thousandth below the least value.
+    """
+    w = Window.partitionBy("date")
+    cut = F.percentile(value, F.array(*[F.lit(e) for e in edges])).over(w)
+    df = df.withColumn("_e", cut)
+    n = F.greatest(F.size(F.filter("_e", lambda e: e < F.col(value))), F.lit(1))
+    lower = F.when(n == 1, F.element_at("_e", 1) - 0.001).otherwise(F.element_at("_e", n))
+    upper = F.element_at("_e", n + 1)
+    outer = (n == 1) | (n == len(edges) - 1)
+    own = F.lit(grouped) | ~outer
+    return df.withColumns({"lower": F.when(own, lower).otherwise(F.col(value)), "upper": F.when(own, upper).otherwise(F.col(value))}).drop("_e")
+
+
+def add_sector_score(df: DataFrame, scores: DataFrame, beta: float, value: str = "value", sector: str = "sector") -> DataFrame:
+    """The value plus ``beta`` times its sector's score (date, sector, score); rows of unknown sectors go."""
+    return df.filter(F.col(sector).isNotNull()).join(scores, ["date", sector], "left").withColumn(value, F.col(value) + F.col("score") * beta).drop("score")
+
+
+def tilt_bounds(df: DataFrame, r: float, n: int = 2, value: str = "value") -> DataFrame:
+    """Adds lower and upper weights off the benchmark by bucket of the value: of two (-r to 0, 0 to r) or of three (-r to -r/2, to r/2, to r)."""
+    from .transform import quantize
+
+    at = {2: ((-r, 0.0), (0.0, r)), 3: ((-r, -r / 2), (-r / 2, r / 2), (r / 2, r))}[n]
+    q = quantize(df, n, value, "_q")
+    pick = lambda side: F.element_at(F.array(*[F.lit(b[side]) for b in at]), F.col("_q"))
+    return q.withColumns({"lower": pick(0), "upper": pick(1)}).drop("_q")

@@ -181,3 +181,15 @@ def trade_rounds(trades: DataFrame) -> DataFrame:
         F.sum("shares").alias("position"),
     )
     return rounds.withColumn("profit", F.when(F.col("position") == 0, F.col("sold") - F.col("bought")))
+
+
+def held_portfolios(df: DataFrame, sort: str, bins: int, unit: str, label: str = "label", weight: str | None = None) -> DataFrame:
+    """(date, bucket, ret, n): a code's bucket is that of the first date of its period, and holds till the period ends."""
+    period = F.to_date(F.date_trunc(unit, "date"))
+    df = df.withColumn("_p", period)
+    first = df.groupBy("_p").agg(F.min("date").alias("date"))
+    start = df.join(first, ["_p", "date"], "left_semi").filter(F.col(sort).isNotNull())
+    buckets = quantize(start, bins, sort, "bucket").select("_p", "code", "bucket")
+    held = df.filter(F.col(label).isNotNull()).join(buckets, ["_p", "code"])
+    w = F.col(weight) if weight else F.lit(1.0)
+    return held.groupBy("date", "bucket").agg(F.try_divide(F.sum(F.col(label) * w), F.sum(w)).alias("ret"), F.count("*").alias("n"))

@@ -52,3 +52,59 @@ def rebased(panel: DataFrame, changes: DataFrame, prices: list[str], factor: str
     known = asof(panel, changes.select("code", F.col("date").alias("_at"), F.col(factor).alias("_f")), ["_f"], "date", "_at").withColumn("_f", F.coalesce("_f", F.lit(1.0)))
     final = F.last("_f").over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return known.withColumn("_f", F.try_divide("_f", final)).withColumns({p: F.col(p) * F.col("_f") for p in prices}).drop("_f")
+
+
+def outer_concat(panels: list[DataFrame]) -> DataFrame:
+    """Full outer join of panels (date, code, ...) of distinct columns."""
+    out = panels[0]
+    for panel in panels[1:]:
+        out = out.join(panel, ["date", "code"], "full")
+    return out
+
+
+def with_fundamentals(market: DataFrame, facts: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Market rows with facts of the same date, carried forward over the code's rows (at most ``limit``)."""
+    return forward_fill(market.join(facts.select("date", "code", *columns), ["date", "code"], "left"), columns, limit)
+
+
+def carried_in(facts: DataFrame, start) -> DataFrame:
+    """Facts (date, code, ...), of which the last one before ``start`` of each code is dated ``start``."""
+    moved = facts.withColumn("_was", F.col("date")).withColumn("date", F.greatest(F.col("date"), F.lit(start).cast(facts.schema["date"].dataType)))
+    w = Window.partitionBy("code", "date").orderBy(F.desc("_was"))
+    return moved.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_was")
+
+
+def fundamentals_together(first: DataFrame, second: DataFrame, start=None, end=None, codes: DataFrame | None = None) -> DataFrame:
+    """Two fact tables outer joined by date and code, each column carried forward; facts known at ``start`` are carried in."""
+    sides = []
+    for facts in (first, second):
+        facts = carried_in(facts, start) if start is not None else facts
+        facts = facts.filter(F.col("date") <= F.lit(end)) if end is not None else facts
+        sides.append(facts if codes is None else facts.join(codes.select("code").distinct(), "code", "left_semi"))
+    both = outer_concat(sides)
+    return forward_fill(both, [c for c in both.columns if c not in ("date", "code")])
+
+
+def membership_intervals(events: DataFrame, order: str = "date") -> DataFrame:
+    """(code, start_date, end_date) from events (code, date, adds): a membership runs from an addition to the code's next removal; without one the end is null."""
+    w = Window.partitionBy("code").orderBy(order)
+    turned = events.withColumn("_before", F.lag("adds").over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("adds")))
+    ends = turned.withColumn("end_date", F.lead("date").over(w)).filter("adds")
+    return ends.select("code", F.col("date").alias("start_date"), "end_date")
+
+
+def on_calendar(intervals: DataFrame, unit: str, until) -> DataFrame:
+    """(date, code) for every first day of a calendar unit in [start, end); an open end is ``until``, itself included."""
+    start = F.to_date("start_date")
+    first = F.trunc(start, unit)
+    first = F.when(first < start, F.add_months(first, {"month": 1, "quarter": 3, "year": 12}[unit])).otherwise(first)
+    end = F.coalesce(F.date_sub(F.to_date("end_date"), 1), F.lit(until).cast("date"))
+    step = F.expr(f"interval 1 {unit}") if unit != "quarter" else F.expr("interval 3 months")
+    return intervals.select("code", first.alias("_a"), end.alias("_b")).filter("_a <= _b").select(F.explode(F.sequence("_a", "_b", step)).alias("date"), "code").distinct()
+
+
+def left_panels(left: DataFrame, *rights: DataFrame) -> DataFrame:
+    """``left`` with the columns of other panels at the same date and code."""
+    for right in rights:
+        left = left.join(right, ["date", "code"], "left")
+    return left

@@ -61,3 +61,11 @@ def long_short_weight(df: DataFrame, value: str = "value", by: tuple[str, ...] =
     away = F.col(value) - F.avg(value).over(Window.partitionBy("date", *by))
     df = df.withColumn("_d", F.signum(away) if equal else away)
     return df.withColumn("weight", F.try_divide(F.col("_d"), F.sum(F.abs("_d")).over(Window.partitionBy("date")))).drop("_d")
+
+
+def append_rows(*panels: DataFrame) -> DataFrame:
+    """All rows of panels with the same columns."""
+    out = panels[0]
+    for panel in panels[1:]:
+        out = out.unionByName(panel)
+    return out

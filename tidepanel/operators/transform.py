@@ -82,3 +82,53 @@ def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     share = dates.withColumn("month_share", F.row_number().over(month.orderBy("_d")) / F.count("*").over(month))
     out = df.withColumn("session", F.floor(F.hour(ts) / 8).cast("int")).withColumn("weekday", F.weekday(ts)).withColumn("_d", day)
     return out.join(share, "_d", "left").drop("_d")
+
+
+def winsorize_within(df: DataFrame, share: float, group: str, value: str = "value", standard: bool = False) -> DataFrame:
+    """``winsorize`` within a group of each date; ``standard`` then takes the group's mean and sample deviation out."""
+    v = F.col(value)
+    up = Window.partitionBy("date", group, v.isNull()).orderBy(v)
+    df = df.withColumns({"_r": F.row_number().over(up), "_n": F.count(v).over(_date(group))})
+    k = F.floor(F.col("_n") * share)
+    inside = F.when(v.isNotNull() & (F.col("_r") > k) & (F.col("_r") <= F.col("_n") - k), v)
+    df = df.withColumns({"_lo": F.min(inside).over(_date(group)), "_hi": F.max(inside).over(_date(group))})
+    df = df.withColumn(value, F.when(v.isNotNull(), F.greatest(F.least(v, "_hi"), "_lo"))).drop("_r", "_n", "_lo", "_hi")
+    return df.withColumn(value, F.try_divide(v - F.avg(v).over(_date(group)), F.stddev_samp(v).over(_date(group)))) if standard else df
+
+
+def category_codes(df: DataFrame, column: str, out: str = "category") -> DataFrame:
+    """Numbers from 0 in the order of the column's distinct values, which are few; null for null."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    numbered = values.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
+    return df.join(numbered, column, "left")
+
+
+def padded_to(panel: DataFrame, unit: str, values: list[str]) -> DataFrame:
+    """(period, code, values): the panel's last date in each unit, null where the code had nothing then; a unit without any date repeats the one before."""
+    period = F.to_date(F.date_trunc(unit, "date"))
+    last = panel.select("date").distinct().groupBy(period.alias("period")).agg(F.max("date").alias("date"))
+    ends = last.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    step = F.expr("interval 3 months") if unit == "quarter" else F.expr(f"interval 1 {unit}")
+    calendar = ends.select(F.explode(F.sequence("lo", "hi", step)).alias("period")).join(last, "period", "left")
+    calendar = calendar.withColumn("date", F.last("date", ignorenulls=True).over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))
+    return panel.join(calendar, "date").select("period", "code", *values).na.drop(subset=values, how="all")
+
+
+def factor_union(factors: dict[str, DataFrame], steps: dict[str, list], selector=None) -> DataFrame:
+    """(date, code, one column a factor) of rows that all factors (date, code, value) know, each behind its steps.
+
+    A factor's steps are functions of its panel; a list of lists of them gives as many columns, name_0 and so on.
+    """
+    from .joins import outer_concat
+
+    done = []
+    for name, panel in factors.items():
+        chains = steps.get(name, [])
+        many = bool(chains) and isinstance(chains[0], list)
+        for i, chain in enumerate(chains if many else [chains]):
+            out = panel
+            for step in chain:
+                out = step(out)
+            done.append(out.select("date", "code", F.col("value").alias(f"{name}_{i}" if many else name)))
+    every = outer_concat(done).na.drop()
+    return selector(every) if selector else every

@@ -104,3 +104,5 @@ def alpha_decay_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from . import query_panels  # noqa: E402, F401  (registers the handwritten queries)
 from . import query_models  # noqa: E402, F401
+from . import query_market  # noqa: E402, F401
+from . import query_stats  # noqa: E402, F401

@@ -107,3 +107,34 @@ class FactorStore:
         """The newest note of each factor."""
         w = Window.partitionBy("name").orderBy(F.desc("upload_time"))
         return self.spark.read.parquet(f"{self.root}/catalog").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def read_statements(df: DataFrame, start=None, end=None, fiscal_year: int | None = None, months: tuple[int, ...] | None = None, report_type: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Statements published in [start, end), of a fiscal year, of periods that end in some months, of a report type; ordered by code and publication."""
+    if start is not None:
+        df = df.filter(F.col("pub_date") >= F.lit(start))
+    if end is not None:
+        df = df.filter(F.col("pub_date") < F.lit(end))
+    if fiscal_year is not None:
+        df = df.filter(F.year("end_date") == fiscal_year)
+    if months is not None:
+        df = df.filter(F.month("end_date").isin(list(months)))
+    if report_type is not None:
+        df = df.filter(F.col("report_type") == report_type)
+    return (df.select(*columns) if columns else df).orderBy("code", "pub_date")
+
+
+def at_close(df: DataFrame, hours: int = 15) -> DataFrame:
+    """A panel of days dated by the time of their close."""
+    return df.withColumn("date", F.col("date").cast("timestamp_ntz") + F.expr(f"interval {hours} hours"))
+
+
+def explode_industries(df: DataFrame, industries_: str = "industries") -> DataFrame:
+    """(date, code, industry) of a map column from industry to a map from date to an array of codes."""
+    dated = df.select(F.explode(industries_).alias("industry", "members")).select("industry", F.explode("members").alias("date", "codes"))
+    return dated.select("date", F.explode("codes").alias("code"), "industry")
+
+
+def shift_dates(calendar: DataFrame, n: int) -> DataFrame:
+    """(date, shifted): each trading date with the one n trading dates later (earlier if negative); null beyond the calendar, whose dates are few."""
+    return calendar.select("date").distinct().withColumn("shifted", F.lead("date", n).over(Window.orderBy("date")))
