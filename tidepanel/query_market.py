@@ -69,7 +69,7 @@ def snapshots(s: SparkSession, d: str) -> DataFrame:
 
 simple(
     "snapshot_universe",
-    f"WITH m AS ({SNAPSHOT_SQL}), t AS (SELECT DISTINCT date AS at FROM m) SELECT b.date, b.code, b.close FROM (SELECT * FROM ({BARE}) ASOF JOIN t ON date >= at) b JOIN m ON m.date = b.at AND m.code = b.code",
+    f"WITH m AS ({SNAPSHOT_SQL}), t AS (SELECT DISTINCT date AS at FROM m) SELECT b.date, b.code, b.close FROM (SELECT x.*, t.at FROM ({BARE}) x ASOF JOIN t ON x.date >= t.at) b JOIN m ON m.date = b.at AND m.code = b.code",
     lambda s, d: universe.in_snapshot(dense(s, d), snapshots(s, d)).select("date", "code", "close"),
 )
 simple(
