@@ -411,4 +411,5 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in angle brackets; all other columns as they are."""
-    return docs.mapInArrow(functools.partial(_mask, trained()), docs.schema)
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # mapInArrow resolves names, which may hold dots
+    return plain.mapInArrow(functools.partial(_mask, trained()), plain.schema).toDF(*docs.columns)
