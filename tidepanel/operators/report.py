@@ -55,6 +55,19 @@ def slice_moments(rows: DataFrame, keys: list[str], order: list[str], value: str
     return df.withColumns({f"_{k}": F.when(c, v) for k, c in slices.items()}).groupBy(*keys).agg(*[c.alias(f"{name}_{k}") for k in slices for name, c in (("avg", F.avg(f"_{k}")), ("std", F.stddev_samp(f"_{k}")), ("skew", sample_skewness(f"_{k}")), ("kurt", sample_kurtosis(f"_{k}")))])
 
 
+def slice_features(rows: DataFrame, keys: list[str], order: list[str], by: str, edge: int, features: dict[str, tuple[str, str]]) -> DataFrame:
+    """Means and sample deviations of columns over slices of a group: all rows, the first and last ``edge`` in order, those between, and those where ``by`` is at or above its median and below.
+
+    ``features`` maps a name, which ends in avg or std, to (slice, column).  One window and one aggregation serve them all.
+    """
+    w = Window.partitionBy(*keys)
+    df = rows.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w), "_m": F.percentile(by, F.lit(0.5)).over(w)})
+    r, n, level = F.col("_r"), F.col("_n"), F.col(by)
+    inside = {"all": F.lit(True), "open": r <= edge, "intra": (r > edge) & (r <= n - edge), "close": r > n - edge, "high": level >= F.col("_m"), "low": level < F.col("_m")}
+    made = [(F.stddev_samp if name.endswith("std") else F.avg)(F.when(inside[part], F.col(column))).alias(name) for name, (part, column) in features.items()]
+    return df.groupBy(*keys).agg(*made)
+
+
 def average_rank(column: str, *keys: str) -> Column:
     w = Window.partitionBy(*keys)
     return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2

@@ -106,3 +106,4 @@ from . import query_panels  # noqa: E402, F401  (registers the handwritten queri
 from . import query_models  # noqa: E402, F401
 from . import query_market  # noqa: E402, F401
 from . import query_stats  # noqa: E402, F401
+from . import query_genetic  # noqa: E402, F401
