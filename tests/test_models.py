@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import bounded, evaluate, forecasts, intraday, joins, models, scan, transform
+from tidepanel.functions import expr as x
+from tidepanel.operators import bounded, evaluate, forecasts, intraday, joins, models, report, scan, transform
 from tidepanel.operators.backtest import backtest
+from tidepanel.plans import genetic
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
 
@@ -121,3 +123,33 @@ def test_rebased_prices_keep_the_last_row(spark):
     df = spark.createDataFrame([(d, "c", v) for d, v in zip(DAYS, [10.0, 5.0, 6.0], strict=False)], "date date, code string, close double")
     changes = spark.createDataFrame([("c", DAYS[1], 2.0)], "code string, date date, factor double")
     assert [r.close for r in joins.rebased(df, changes, ["close"]).orderBy("date").collect()] == [5.0, 5.0, 6.0]
+
+
+def test_slice_features(spark):
+    rows = [(DAYS[0], "a", i, float(p), float(q)) for i, (p, q) in enumerate([(5, 1), (1, 4), (9, 2), (7, 8), (3, 6)])] + [(DAYS[1], "a", 0, 2.0, None)]
+    df = spark.createDataFrame(rows, "date date, code string, i int, price double, swap double")
+    names = {"avg": ("all", "swap"), "open_avg": ("open", "swap"), "intra_avg": ("intra", "swap"), "close_std": ("close", "swap"), "high_avg": ("high", "swap"), "low_avg": ("low", "swap")}
+    got = report.slice_features(df, ["date", "code"], ["i"], "price", 2, names).orderBy("date").collect()
+    assert got[0][2:] == pytest.approx((4.2, 2.5, 2.0, 2**0.5, 11 / 3, 5.0))
+    assert got[1][2:] == (None,) * 6
+
+
+def test_genetic_factors_by_numpy(spark):
+    rng = np.random.default_rng(5)
+    names = [*genetic.FEATURES, "corrpriceswap"]
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(16)]
+    v = {n: rng.normal(size=16) for n in names}
+    df = spark.createDataFrame([(d, "a", *(float(v[n][k]) for n in names)) for k, d in enumerate(days)], "date date, code string, " + ", ".join(f"{n} double" for n in names))
+    got = {r.date: r for r in x.with_factors(df, genetic.on_slices()).collect()}
+    late, late_std, k = v["close_retavg"], v["close_swapstd"], 12
+    last = lambda a, d: a[k - d + 1 : k + 1]
+    row = got[days[k]]
+    assert row.genetic_slices_1 == pytest.approx(last(late_std, 3).max() ** 3 + v["corrpriceswap"][k] * last(late, 3).mean())
+    assert row.genetic_slices_2 == pytest.approx(last(late_std, 3).mean() * last(v["corrpriceswap"], 3).max() + late[k] - last(v["open_retavg"], 3).min())
+    assert row.genetic_slices_3 == pytest.approx(last(late, 3).mean() * last(late, 3).max() * last(v["swapstd"], 5).mean() ** 3)
+    assert row.genetic_slices_5 == pytest.approx((last(v["high_retstd"], 3).mean() ** 3 + late[k] + last(late_std, 3).max()) ** 3)
+    norm = lambda d: (late[k] - last(late, d).min()) / np.ptp(last(late, d))
+    assert row.genetic_slices_7 == pytest.approx(last(v["high_swapstd"], 3).max() ** 3 + norm(3) ** (1 / 3))
+    assert row.genetic_slices_8 == pytest.approx(last(v["high_swapavg"], 3).max() * last(late_std, 3).max() * v["high_swapstd"][k] * norm(10))
+    assert row.genetic_slices_2_mean == pytest.approx(np.mean([got[days[j]].genetic_slices_2 for j in range(k - 4, k + 1)]))
+    assert got[days[3]].genetic_slices_3 is None and got[days[5]].genetic_slices_2_mean is None

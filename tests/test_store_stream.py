@@ -15,6 +15,23 @@ def test_store_appends_only_newer_rows(spark, tmp_path):
     assert note.n == 3 and note.last_date == day[2] and note.days == 1.0
 
 
+def test_store_deletes_syncs_and_keeps_for_a_while(spark, tmp_path):
+    here, there = FactorStore(spark, str(tmp_path / "a")), FactorStore(spark, str(tmp_path / "b"))
+    made = lambda v: spark.createDataFrame([(dt.date(2024, 1, 1), "a", v), (dt.date(2024, 1, 2), "a", v)], "date date, code string, value double")
+    assert here.catalog().count() == 0
+    here.append("f", made(1.0))
+    here.save("g", made(2.0))
+    assert here.sync(there) == ["f", "g"] and here.sync(there) == []
+    here.save("g", made(3.0))
+    assert here.sync(there) == ["g"] and {r.value for r in there.load("g").collect()} == {3.0}
+    here.delete("f")
+    assert [r.name for r in here.catalog().collect()] == ["g"] and there.has("f")
+    here.append("f", made(4.0))
+    assert {r.value for r in here.load("f").collect()} == {4.0}
+    assert {r.value for r in here.cached("f", lambda: made(5.0), 3600).collect()} == {4.0}
+    assert {r.value for r in here.cached("f", lambda: made(5.0), -1).collect()} == {5.0}
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "event_type", "value")
     events.write.parquet(str(tmp_path / "in"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,10 @@ def explode_membership(df: DataFrame, members: str = "members") -> DataFrame:
     return df.select(F.explode(members).alias("date", "codes")).select("date", F.explode("codes").alias("code"))
 
 
+#: A note of the factor store's catalog; a null n marks a factor that was deleted.
+NOTE = "name string, n long, first_date date, last_date date, values_hash string, days double, upload_time timestamp, notes string"
+
+
 class FactorStore:
     """Factors as Parquet, one folder a name, partitioned by year, with a catalog of metadata."""
 
@@ -88,7 +95,9 @@ class FactorStore:
         self._note(name, notes)
 
     def append(self, name: str, values: DataFrame, **notes: str) -> None:
-        """Adds only rows newer than the last date kept."""
+        """Adds only rows newer than the last date kept; a factor that is not kept is saved."""
+        if not self.has(name):
+            return self.save(name, values, **notes)
         last = self.load(name).agg(F.max("date")).first()[0]
         self.save(name, values.filter(F.col("date") > F.lit(last)) if last is not None else values, "append", **notes)
 
@@ -104,9 +113,40 @@ class FactorStore:
         row.write.mode("append").parquet(f"{self.root}/catalog")
 
     def catalog(self) -> DataFrame:
-        """The newest note of each factor."""
+        """The newest note of each factor that is kept."""
         w = Window.partitionBy("name").orderBy(F.desc("upload_time"))
-        return self.spark.read.parquet(f"{self.root}/catalog").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        try:
+            notes = self.spark.read.parquet(f"{self.root}/catalog")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            notes = self.spark.createDataFrame([], NOTE)
+        return notes.withColumn("_n", F.row_number().over(w)).filter("_n = 1 and n is not null").drop("_n")
+
+    def has(self, name: str) -> bool:
+        return not self.catalog().filter(F.col("name") == name).isEmpty()
+
+    def delete(self, name: str) -> None:
+        """Empties the factor's folder, and notes a null count, which ends it."""
+        gone = self.load(name).schema
+        self.spark.createDataFrame([], gone).write.mode("overwrite").parquet(self.path(name))
+        last = self.catalog().filter(F.col("name") == name).withColumns({"n": F.lit(None).cast("long"), "upload_time": F.current_timestamp()})
+        self.spark.createDataFrame(last.collect(), NOTE).write.mode("append").parquet(f"{self.root}/catalog")
+
+    def sync(self, other: FactorStore) -> list[str]:
+        """Copies to ``other`` the factors that it lacks or whose values differ there, and gives their names."""
+        there = other.catalog().select("name", "values_hash")
+        names = sorted(r.name for r in self.catalog().join(there, ["name", "values_hash"], "left_anti").select("name").collect())
+        for name in names:
+            other.save(name, self.load(name))
+        return names
+
+    def cached(self, name: str, make: Callable[[], DataFrame], seconds: float) -> DataFrame:
+        """The factor as kept if it was saved within so many seconds, else as made and saved now."""
+        age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("upload_time")
+        if self.catalog().filter((F.col("name") == name) & (age <= seconds)).isEmpty():
+            self.save(name, make())
+        return self.load(name)
 
 
 def read_statements(df: DataFrame, start=None, end=None, fiscal_year: int | None = None, months: tuple[int, ...] | None = None, report_type: int | None = None, columns: list[str] | None = None) -> DataFrame:
