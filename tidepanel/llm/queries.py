@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The training-data operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, language, matroska, packing, pii, preference, simhash, substring_dedup, toxicity
+from . import byte_bpe, ctw, decontaminate, language, matroska, packing, pii, preference, simhash, substring_dedup, toxicity
 from .common import crc_mod, table
 
 
@@ -61,6 +61,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = byte_bpe.decode_ids(spark, byte_bpe.encode_texts(spark, docs, path, public_tokenizers.PATTERN).drop("text"), path)
+    sha = lambda c, name: F.sha2(c, 256).alias(name)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(byte_bpe.ids_text(), "ids_sha256"), sha(F.col("decoded"), "decoded_sha256"))
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -97,7 +107,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 
 
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_pii, op3_toxicity, op4_language, op5_matroska, op6_preference, op7_context_tree, op8_decontaminate, op9_packing, op10_simhash)
+    found = (op1_substring_dedup, op2_pii, op3_toxicity, op4_language, op5_matroska, op6_preference, op7_context_tree, op8_decontaminate, op9_packing, op10_simhash, op11_byte_bpe)
     return {f.__name__: f for f in found}
 
 
