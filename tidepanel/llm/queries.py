@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ctw, decontaminate, language, matroska, packing, pii, preference, simhash, substring_dedup, toxicity
+from . import byte_bpe, ctw, decontaminate, language, matroska, packing, pii, preference, simhash, substring_dedup, toxicity, yinyang
 from .common import crc_mod, table
 
 
@@ -71,6 +71,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(byte_bpe.ids_text(), "ids_sha256"), sha(F.col("decoded"), "decoded_sha256"))
 
 
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.with_inertia(spark, yinyang.cluster_vectors(spark, table(spark, sf_dir, "embeddings")))
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -106,10 +110,32 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 """
 
 
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds over all distances, one common table a round."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v"
+        " FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "long AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS p, unnest(v) AS x FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT r, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (SELECT r, c, CAST(list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept, c{i}) GROUP BY r)"
+        )
+        if i < rounds:
+            mean = "list((CASE WHEN s % n < 0 THEN s - (s % n) - n ELSE s - (s % n) END) // n ORDER BY p)"
+            steps.append(f"m{i} AS MATERIALIZED (SELECT c, {mean} AS v FROM (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM long JOIN a{i} USING (r) GROUP BY c, p) GROUP BY c)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m USING (c))")
+    joined = ",\n".join(steps)
+    return f"""WITH {joined}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (r) JOIN c{rounds} f ON f.c = a.c"""
+
+
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_pii, op3_toxicity, op4_language, op5_matroska, op6_preference, op7_context_tree, op8_decontaminate, op9_packing, op10_simhash, op11_byte_bpe)
+    found = (op1_substring_dedup, op2_pii, op3_toxicity, op4_language, op5_matroska, op6_preference, op7_context_tree, op8_decontaminate, op9_packing, op10_simhash, op11_byte_bpe, op12_yinyang)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL.strip(), "op8_decontaminate": OP8_SQL.strip()}
+    return {"op1_substring_dedup": OP1_SQL.strip(), "op8_decontaminate": OP8_SQL.strip(), "op12_yinyang": _op12_sql()}
