@@ -13,16 +13,16 @@ only the groups whose lower bound is not above it are scanned, exactly.  Bounds
 decide only by a margin above their rounding.
 
 A round is one pass over the table of vectors and bounds, written to the shared folder, and one
-aggregation of those vectors alone that changed their centroid: sums are kept by differences, so that
-only k times k rows of sums come to the driver.  A table is deleted once its successor is written.
+aggregation of those vectors alone that changed their centroid: each task adds its own up, sums are
+kept by differences, and some k times k rows of sums come to the driver.  A table is deleted once its successor is written.
 Rounds end early when no vector moves, as nothing would change after that.
 
 Defined cases: a vector counts if it has exactly ``dims`` components, none null or not finite; others
 give no row.  A component outside plus or minus 2**27 after scaling counts as that bound, so that a
 squared distance fits a long.  Repeated rows are vectors of their own; among equal hashes the lesser
 vector comes first, ids that are null come last.  With fewer vectors than k there are as many
-centroids as vectors.  An empty table gives no rows; other columns are ignored.  Sums of a component over a cluster
-are longs; beyond one, the job ends with an error.
+centroids as vectors.  An empty table gives no rows; other columns are ignored.  The sum
+of distances is a long; beyond one, the job ends with an error.
 """
 
 from __future__ import annotations
@@ -137,6 +137,33 @@ def _pass(centroids: np.ndarray, drift: np.ndarray, group: np.ndarray):
     return run
 
 
+def _sums(k: int, dims: int):
+    """Of the vectors that a task holds, the sums for each pair of centroid left and centroid found."""
+
+    def run(batches):
+        n, total = np.zeros(k * (k + 1), np.int64), np.zeros((k * (k + 1), dims), np.int64)
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, dims)
+            pair = (batch.column("was").to_numpy() + 1) * k + batch.column("cluster").to_numpy()
+            n += np.bincount(pair, minlength=len(n))
+            for p in np.unique(pair):
+                total[p] += v[pair == p].sum(0)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at // k - 1, pa.int32()), pa.array(at % k, pa.int32()), pa.array(n[at]), pa.array(total[at].tolist(), pa.list_(pa.int64()))], names=["was", "cluster", "n", "s"])
+
+    return run
+
+
+def moved_sums(state: DataFrame, k: int, dims: int) -> list[tuple[int, int, int, list[int]]]:
+    """(centroid left, centroid found, vectors, their sum) of the vectors that changed their centroid; at most k * (k + 1) rows."""
+    parts = state.filter("was <> cluster").select("was", "cluster", "v").mapInArrow(_sums(k, dims), "was int, cluster int, n long, s array<long>")
+    each = parts.select("was", "cluster", "n", F.posexplode("s").alias("p", "x")).groupBy("was", "cluster", "p")
+    # In decimals, as a sum over all tasks may pass a long.
+    sums = each.agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("s")).groupBy("was", "cluster")
+    rows = sums.agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("p", "s"))).alias("s")).collect()
+    return [(r.was, r.cluster, r.n, [int(x.s) for x in r.s]) for r in rows]
+
+
 def cluster_vectors(spark: SparkSession, vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, column: str = "embedding", dims: int = 64, group_size: int = GROUP_SIZE) -> Clusters:
     """Clusters of ``vectors`` (vec_id, ``column``) after ``rounds`` rounds and one more assignment."""
     path = shared_path(spark, "vectors")
@@ -148,19 +175,18 @@ def cluster_vectors(spark: SparkSession, vectors: DataFrame, k: int = 8, rounds:
     sums, counts = [[0] * dims for _ in first], [0] * len(first)
     if not first:
         return Clusters(spark.createDataFrame([], "vec_id long, v array<int>, cluster int, distance long"), [])
-    moves = [F.count("*").alias("n"), *(F.sum(F.col("v")[i].cast("long")).alias(f"s{i}") for i in range(dims))]
     for at in range(rounds + 1):
         before, path = path, shared_path(spark, "assigned")
         state = written(spark, state.mapInArrow(_pass(centroids, drift, group), STATE), "assigned", path)
         delete(spark, before)
-        moved = state.filter("was <> cluster").groupBy("was", "cluster").agg(*moves).collect() if at < rounds else []  # at most k * k rows
+        moved = moved_sums(state, len(first), dims) if at < rounds else []
         if not moved:  # the last assignment, or one after which nothing would change
             break
-        for r in moved:
-            for c, sign in ((r.was, -1), (r.cluster, 1)):
+        for was, now, n, s in moved:
+            for c, sign in ((was, -1), (now, 1)):
                 if c >= 0:
-                    counts[c] += sign * r.n
-                    sums[c] = [s + sign * r[f"s{i}"] for i, s in enumerate(sums[c])]
+                    counts[c] += sign * n
+                    sums[c] = [a + sign * b for a, b in zip(sums[c], s, strict=True)]
         new = np.array([[s // n for s in row] if n else list(old) for row, n, old in zip(sums, counts, centroids.tolist(), strict=True)], np.int64)
         drift, centroids = np.sqrt(((new - centroids) ** 2).sum(1).astype(float)), new
     centroid = F.element_at(F.lit(centroids.tolist()), F.col("cluster") + 1)
