@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ctw, decontaminate, language, matroska, packing, pii, preference, simhash, substring_dedup, toxicity, yinyang
+from . import byte_bpe, ctw, decontaminate, importance, language, matroska, packing, pii, preference, simhash, substring_dedup, toxicity, yinyang
 from .common import crc_mod, table
 
 
@@ -75,6 +75,11 @@ def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.with_inertia(spark, yinyang.cluster_vectors(spark, table(spark, sf_dir, "embeddings")))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.importance(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -92,6 +97,41 @@ SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEG
 FROM d JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) / n >= 0.8
 """
 
+OP13_SQL = r"""
+WITH both_sides AS (
+  SELECT row_number() OVER () AS r, doc_id, false AS target, text FROM documents UNION ALL SELECT row_number() OVER () AS r, NULL AS doc_id, true AS target, text FROM benchmark
+), split AS (
+  SELECT r, doc_id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM both_sides
+), counted AS MATERIALIZED (
+  SELECT r, target, g, count(*) AS n FROM (
+    SELECT r, target, unnest(w) AS g FROM split UNION ALL
+    SELECT r, target, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM split WHERE len(w) > 1
+  ) GROUP BY r, target, g
+), lookup AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS crc FROM range(256) t(i)
+), hashed AS (
+  SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM counted)
+), bucketed AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || h[2 * i - 1 : 2 * i] AS BIGINT)), lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM hashed, lookup
+), sums AS (
+  SELECT bucket, CAST(sum(n) FILTER (NOT target) AS DOUBLE) AS s, CAST(sum(n) FILTER (target) AS DOUBLE) AS t FROM counted JOIN bucketed USING (g) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1) * (sum(coalesce(s, 0)) OVER () + 10000) / ((coalesce(s, 0) + 1) * (sum(coalesce(t, 0)) OVER () + 10000)))) AS BIGINT) AS gain FROM sums
+), weighed AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM counted JOIN bucketed USING (g) JOIN gains USING (bucket) WHERE NOT target GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+         coalesce((CASE WHEN total % n_features < 0 THEN total - total % n_features - n_features ELSE total - total % n_features END) // n_features, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM split LEFT JOIN weighed USING (r) WHERE NOT target
+), noisy AS (
+  SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST(h AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, count(*) OVER () AS n FROM noisy WHERE n_words >= 20 AND score IS NOT NULL
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CAST(CASE WHEN rank <= 25 * n // 100 THEN rank END AS BIGINT) AS rank FROM noisy LEFT JOIN placed USING (r)
+"""
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -133,9 +173,9 @@ FROM a{rounds} a JOIN kept USING (r) JOIN c{rounds} f ON f.c = a.c"""
 
 
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_pii, op3_toxicity, op4_language, op5_matroska, op6_preference, op7_context_tree, op8_decontaminate, op9_packing, op10_simhash, op11_byte_bpe, op12_yinyang)
+    found = (op1_substring_dedup, op2_pii, op3_toxicity, op4_language, op5_matroska, op6_preference, op7_context_tree, op8_decontaminate, op9_packing, op10_simhash, op11_byte_bpe, op12_yinyang, op13_importance)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL.strip(), "op8_decontaminate": OP8_SQL.strip(), "op12_yinyang": _op12_sql()}
+    return {"op1_substring_dedup": OP1_SQL.strip(), "op8_decontaminate": OP8_SQL.strip(), "op12_yinyang": _op12_sql(), "op13_importance": OP13_SQL.strip()}
