@@ -35,6 +35,7 @@ from .common import blocks
 
 RANK_BYTES = 64 << 20
 PART = 1 << 16
+SLICE = 1 << 18
 LIKE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The characters of Unicode's property White_Space, which ``\s`` means to the library.
 BLANKS = "\t-\r \u0085   -     　"
@@ -141,7 +142,13 @@ def decode_ids(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
 
     def run(ids, keep):
         coder = _coder(ranks.value, LIKE_PATTERN)
-        yield keep(0, len(ids), pa.array([coder.decode(x) if x else b"" for x in ids.to_pylist()], pa.binary()))
+        flat, length = ids.flatten().to_numpy(), np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(length)])
+        lo = 0
+        while lo < len(ids):  # some rows at a time, as the numbers of a whole batch take much memory
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+            yield keep(lo, hi, pa.array([coder.decode(flat[at[i] : at[i + 1]].tolist()) for i in range(lo, hi)], pa.binary()))
+            lo = hi
 
     return _mapped(rows, "ids", "decoded", BinaryType(), run)
 
