@@ -45,8 +45,8 @@ WORDS = 2
 MIN_WORDS = 20
 SHARE = 25
 SEED = 7
-BLOCK = 8 << 20
-PART = 24 << 20
+BLOCK = 4 << 20
+PART = 48 << 20
 LEVEL = 6
 _KEPT = np.full(256, 32, np.uint8)
 _KEPT[48:58] = np.arange(48, 58)
@@ -55,7 +55,7 @@ _KEPT[128:] = np.arange(128, 256)
 
 
 class Features:
-    """Distinct features of a block in a fixed order, and those of each document with their counts.
+    """Distinct features of a block in a fixed order, and their counts, in all and in each document.
 
     ``data`` holds words with blanks between, as ``normal`` gives them.
     """
@@ -77,7 +77,7 @@ class Features:
         dealt = [word_codes(data, words)[first] if len(words) else np.zeros(0, np.uint64)]
         dictionary = coded.dictionary.take(pa.array(order))
         self.strings, at, doc, run = [dictionary], [word], words.doc, word
-        keys = [words.doc]
+        docs = [words.doc]
         for k in range(1, n):
             fits = np.flatnonzero(doc[: len(doc) - k] == doc[k:]) if len(doc) > k else np.zeros(0, np.int64)
             # ``run`` is known for the starts of runs one word shorter.
@@ -88,13 +88,23 @@ class Features:
             self.strings.append(pc.binary_join_element_wise(self.strings[-1].take(pa.array(a)), dictionary.take(pa.array(b)), pa.scalar(b" ", pa.large_binary())))
             dealt.append(pair(dealt[-1][a], dealt[0][b]))
             at.append(run + sum(map(len, self.strings[:-1])))
-            keys.append(doc[fits])
+            docs.append(doc[fits])
             self._starts = fits
         self.total = sum(map(len, self.strings))
         self.code = mix(np.concatenate(dealt))
-        occurrence = np.concatenate(keys) * max(1, self.total) + np.concatenate(at)
-        entry, self.count = np.unique(occurrence, return_counts=True)
-        self.doc, self.feature = np.divmod(entry, max(1, self.total))
+        self._at, self._docs = at, docs
+
+    def counts(self) -> np.ndarray:
+        """How often the block holds each feature."""
+        return sum((np.bincount(x, minlength=self.total) for x in self._at), np.zeros(self.total, np.int64))
+
+    def by_document(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature, count) of the features of each document, in the order of documents."""
+        occurrence = np.concatenate([d * max(1, self.total) + x for d, x in zip(self._docs, self._at, strict=True)])
+        occurrence.sort()
+        first = np.flatnonzero(np.diff(occurrence, prepend=-1))
+        doc, feature = np.divmod(occurrence[first], max(1, self.total))
+        return doc, feature, np.diff(first, append=len(occurrence))
 
     def check(self) -> int:
         """A number that two equal lists of features share."""
@@ -147,7 +157,8 @@ def _send(parts: int, n: int, target: bool):
             _, at, raw = lines.buffers()
             at = np.frombuffer(at, np.int64)[lines.offset : lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
             raw = memoryview(raw) if raw is not None else memoryview(b"")
-            count = np.bincount(block.feature, block.count, block.total).astype(np.int64)[order]
+            del strings
+            count = block.counts()[order]
             used = np.flatnonzero(np.diff(first))
             packed = [pack.compress(raw[at[first[p]] : at[first[p + 1]]]) for p in used]
             counts = [pack.compress(count[first[p] : first[p + 1]].tobytes()) for p in used]
@@ -221,16 +232,17 @@ def _weigh(gains, parts: int, n: int):
             offsets = np.frombuffer(row["offsets"], np.int64)
             block = Features(np.frombuffer(unpack.decompress(row["data"]), np.uint8), offsets, n)
             order, first = block.by_part(parts)
-            bucket = np.full(block.total, -1, np.int64)
+            bucket, expected = np.full(block.total, -1, np.int32), block.check()
             for part, check, answer in zip(*(answers.column(c).to_pylist() for c in ("part", "check", "answer")), strict=True):
-                if check != block.check():
+                if check != expected:
                     raise ValueError("the documents did not read alike twice; write them as a table first")
                 bucket[order[first[part] : first[part + 1]]] = np.frombuffer(answer, "<u4" if len(gain) > 65536 else "<u2")
             if (bucket < 0).any():
                 raise ValueError("the documents did not read alike twice; write them as a table first")
-            entries = np.concatenate([[0], np.cumsum(np.bincount(block.doc, minlength=len(offsets) - 1))])
+            doc, feature, count = block.by_document()
+            entries = np.searchsorted(doc, np.arange(len(offsets)))
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[entries])  # noqa: E731, B023
-            features, total = sums(block.count), sums(block.count * gain[bucket[block.feature]])
+            features, total = sums(count), sums(count * gain[bucket[feature]])
             weight = total // np.maximum(features, 1)
             out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(block.n_words, pa.int64()), "n_features": pa.array(features, pa.int64()), "weight": pa.array(weight, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "n_words", "n_features", "weight")})
