@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import expr as x
-from tidepanel.operators import bounded, evaluate, forecasts, intraday, joins, models, report, scan, transform
+from tidepanel.operators import bounded, evaluate, forecasts, intraday, joins, models, report, transform
 from tidepanel.operators.backtest import backtest
 from tidepanel.plans import genetic
 
@@ -93,20 +93,6 @@ def test_backtest_buys_whole_shares_within_its_cash(spark):
     assert got.n_held == 1 and got.cash == pytest.approx(1000 - 900 * 1.0002)
 
 
-def test_adaptive_mean_runs_fast_on_a_straight_path():
-    got = scan.adaptive_mean(np.array([1.0, 2.0, np.nan, 3.0, 4.0]), 3)
-    assert np.isnan(got[:4]).all() and got[4] == pytest.approx(3 + (2 / 3) ** 2)
-    flat = scan.adaptive_mean(np.array([1.0, 2.0, 1.0, 2.0, 1.0]), 2)
-    assert flat[2] == pytest.approx(2 + (2 / 31) ** 2 * -1)
-
-
-def test_parabolic_stop_trails_a_rise_and_flips():
-    high, low = np.array([10.0, 11, 12, 13, 8]), np.array([9.0, 10, 11, 12, 5])
-    got = scan.parabolic_stop(high, low)
-    assert np.isnan(got[0]) and got[1] == 9.0 and got[2] == pytest.approx(9.0)  # 9 + 0.02 * (11 - 9) = 9.04, held to the lows of two rows
-    assert (got[1:4] < low[1:4]).all() and got[4] == 13.0
-
-
 def test_rounds_end_at_no_position(spark):
     rows = [("c", 1, 0, 2, 10.0), ("c", 2, 0, -2, 12.0), ("c", 3, 0, 1, 5.0)]
     got = evaluate.trade_rounds(spark.createDataFrame(rows, "code string, ts int, key int, shares int, price double")).orderBy("round").collect()

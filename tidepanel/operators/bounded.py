@@ -76,5 +76,6 @@ def tilt_bounds(df: DataFrame, r: float, n: int = 2, value: str = "value") -> Da
 
     at = {2: ((-r, 0.0), (0.0, r)), 3: ((-r, -r / 2), (-r / 2, r / 2), (r / 2, r))}[n]
     q = quantize(df, n, value, "_q")
-    pick = lambda side: F.element_at(F.array(*[F.lit(b[side]) for b in at]), F.col("_q"))
+    # A place that is null is asked for first: element_at of an array without nulls counts as never null.
+    pick = lambda side: F.when(F.col("_q").isNotNull(), F.element_at(F.array(*[F.lit(b[side]) for b in at]), F.col("_q")))
     return q.withColumns({"lower": pick(0), "upper": pick(1)}).drop("_q")

@@ -19,6 +19,26 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], left_on: str = "d
     return both.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
+def asof_bucketed(left: DataFrame, right: DataFrame, values: list[str], unit: str, left_on: str = "date", right_on: str = "date", by: str = "code") -> DataFrame:
+    """``asof`` for codes with very many rows: their rows are cut into buckets of a unit of time, each a task of its own.
+
+    Within a bucket the last right row is found by a window; what a bucket does not hold itself comes from the
+    buckets before it, of which only the last right row is kept, one row a bucket.
+    """
+    bucket = lambda df: df.withColumn("_bucket", F.date_trunc(unit, "_t"))
+    r = bucket(right.select(F.col(by), F.col(right_on).cast("timestamp").alias("_t"), F.struct(*values).alias("_v"), F.lit(0).alias("_side")))
+    lf = bucket(left.select(F.col(by), F.col(left_on).cast("timestamp").alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(1).alias("_side")))
+    inside = Window.partitionBy(by, "_bucket").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(lf, allowMissingColumns=True).withColumn("_inside", F.last("_v", ignorenulls=True).over(inside)).filter("_side = 1")
+    ends = r.groupBy(by, "_bucket").agg(F.max(F.struct("_t", "_v")).alias("_end"))
+    asked = lf.select(by, "_bucket").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+    # One row a bucket; a bucket takes from those before it.
+    spans = ends.unionByName(asked).groupBy(by, "_bucket").agg(F.max("_end").alias("_end"))
+    carry = spans.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    found = both.join(carry.select(by, "_bucket", "_carry"), [by, "_bucket"], "left").withColumn("_last", F.coalesce("_inside", F.col("_carry._v")))
+    return found.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
 def latest_vintage(statements: DataFrame, keys: list[str], published: str) -> DataFrame:
     """Of each key the row published last."""
     w = Window.partitionBy(*keys).orderBy(F.desc(published), *[F.desc(c) for c in statements.columns if c not in (*keys, published)])

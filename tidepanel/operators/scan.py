@@ -1,94 +1,155 @@
-"""Indicators defined by a recurrence, one pass over the rows of a code."""
+"""Recurrences over the rows of a code: linear ones as an associative scan, others as a fold.
+
+A step y = a * (y before) + b is a pair (a, b); two steps in turn are again a pair.  So the rows
+of a code are cut into buckets of time, each bucket is folded by itself, in a task of its own, the buckets'
+pairs are folded over the code, and each row is its bucket's prefix applied to the carry.  A
+long history spreads over many tasks, and a bucket holds as many rows as its unit of time.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def ema(v: np.ndarray, n: int, alpha: float | None = None) -> np.ndarray:
-    """Exponential mean, seeded with the mean of the first n values; nulls before the seed."""
-    out, alpha = np.full(len(v), np.nan), alpha or 2 / (n + 1)
-    known = np.flatnonzero(~np.isnan(v))
-    if len(known) < n:
-        return out
-    at = known[n - 1]
-    last = v[known[:n]].mean()
-    out[at] = last
-    for i in known[n:]:
-        last += alpha * (v[i] - last)
-        out[i] = last
-    return out
-
-
-def rsi(v: np.ndarray, n: int) -> np.ndarray:
-    step = np.diff(v, prepend=np.nan)
-    up, down = ema(np.where(np.isnan(step), np.nan, np.maximum(step, 0)), n, 1 / n), ema(np.where(np.isnan(step), np.nan, np.maximum(-step, 0)), n, 1 / n)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return 100 * up / (up + down)
-
-
-def indicators(panel: DataFrame, price: str = "close") -> DataFrame:
-    """(date, code, ema_6, rsi_6, macd, macd_signal) from prices; a code's history is one group, bounded by the calendar."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        v = pdf[price].to_numpy(float)
-        macd = ema(v, 12) - ema(v, 26)
-        return pd.DataFrame({"date": pdf["date"], "code": pdf["code"], "ema_6": ema(v, 6), "rsi_6": rsi(v, 6), "macd": macd, "macd_signal": ema(macd, 9)})
-
-    kind = panel.schema["date"].dataType.simpleString()
-    return panel.select("date", "code", price).groupBy("code").applyInPandas(run, f"date {kind}, code {panel.schema['code'].dataType.simpleString()}, ema_6 double, rsi_6 double, macd double, macd_signal double")
-
-
-def adaptive_mean(v: np.ndarray, n: int, fast: int = 2, slow: int = 30) -> np.ndarray:
-    """Exponential mean whose weight follows how straight the last n steps went; from the n-th known value, which it starts from."""
-    out, known = np.full(len(v), np.nan), np.flatnonzero(~np.isnan(v))
-    p = v[known]
-    if len(p) <= n:
-        return out
-    steps = np.abs(np.diff(p))
-    last = p[n - 1]
-    for i in range(n, len(p)):
-        path = steps[i - n : i].sum()
-        straight = abs(p[i] - p[i - n]) / path if path else 0.0
-        last += (straight * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2 * (p[i] - last)
-        out[known[i]] = last
-    return out
-
-
-def parabolic_stop(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:
-    """Stop-and-reverse level of each row: it closes in on the extreme of a trend, faster with every new one, and flips when passed."""
-    out, known = np.full(len(high), np.nan), np.flatnonzero(~(np.isnan(high) | np.isnan(low)))
-    h, lo = high[known], low[known]
-    if len(h) < 2:
-        return out
-    up = not (lo[0] - lo[1] > max(h[1] - h[0], 0.0))
-    stop, extreme, pace = (lo[0], h[1], step) if up else (h[0], lo[1], step)
-    for i in range(1, len(h)):
-        passed = lo[i] <= stop if up else h[i] >= stop
-        if passed:
-            up, pace = not up, step
-            stop = max(extreme, h[i], h[i - 1]) if not up else min(extreme, lo[i], lo[i - 1])
-            extreme = h[i] if up else lo[i]
-            out[known[i]] = stop
-        else:
-            out[known[i]] = stop
-            if (h[i] > extreme) if up else (lo[i] < extreme):
-                extreme, pace = (h[i] if up else lo[i]), min(most, pace + step)
-        stop += pace * (extreme - stop)
-        stop = min(stop, lo[i], lo[i - 1]) if up else max(stop, h[i], h[i - 1])
-    return out
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+BUCKET = "_bucket"
+
+
+def _fold(rows: str, names: range, pair) -> Column:
+    """The composed pairs up to each element of the array ``rows``; ``pair`` takes an element's pair of a number."""
+
+    def append(done: Column, e: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        parts = []
+        for i in names:
+            a, b = pair(e, i)
+            before_a, before_b = F.coalesce(last[f"a{i}"], F.lit(1.0)), F.coalesce(last[f"b{i}"], F.lit(0.0))
+            parts += [(before_a * a).alias(f"a{i}"), (a * before_b + b).alias(f"b{i}")]
+        return F.concat(done, F.array(F.struct(*parts)))
+
+    kind = "array<struct<" + ", ".join(f"a{i}: double, b{i}: double" for i in names) + ">>"
+    return F.aggregate(rows, F.array().cast(kind), append)
+
+
+def linear_scan(panel: DataFrame, steps: dict[str, tuple[Column, Column]], before: tuple[str, ...] = (), order: str = "date", by: str = "code") -> DataFrame:
+    """``panel`` with a column for each step (a, b): y = a * (y of the row before) + b, and 0 before the first row.
+
+    The panel has a column ``_bucket`` that does not fall in the order of ``order``.  A step of which a part is null leaves
+    y as it is.  Columns named in ``before`` hold the y that the row found.
+    """
+    names = range(len(steps))
+    pairs = []
+    for i, (a, b) in enumerate(steps.values()):
+        both = a.isNotNull() & b.isNotNull()
+        pairs += [F.when(both, a.cast("double")).otherwise(1.0).alias(f"a{i}"), F.when(both, b.cast("double")).otherwise(0.0).alias(f"b{i}")]
+    rest = [c for c in panel.columns if c not in (by, BUCKET, order)]
+    element = F.struct(F.col(order), *[F.col(f"`{c}`") for c in rest], F.struct(*pairs).alias("_pair"))
+    rows = panel.select(by, BUCKET, element.alias("_e")).groupBy(by, BUCKET).agg(F.sort_array(F.collect_list("_e")).alias("_rows"))
+    folded = rows.withColumn("_upto", _fold("_rows", names, lambda e, i: (e["_pair"][f"a{i}"], e["_pair"][f"b{i}"])))
+    # One row a bucket from here to the carry.
+    whole = folded.select(by, F.struct(BUCKET, F.element_at("_upto", -1).alias("_pair")).alias("_e")).groupBy(by).agg(F.sort_array(F.collect_list("_e")).alias("_buckets"))
+    ends = whole.withColumn("_upto", _fold("_buckets", names, lambda e, i: (e["_pair"][f"a{i}"], e["_pair"][f"b{i}"])))
+    carry = ends.select(by, F.posexplode("_buckets").alias("_n", "_e"), "_upto").select(by, F.col(f"_e.{BUCKET}").alias(BUCKET), F.get("_upto", F.col("_n") - 1).alias("_carry"))
+    joined = folded.join(carry, [by, BUCKET]).select(by, BUCKET, "_carry", "_upto", F.posexplode("_rows").alias("_n", "_e"))
+    out = {}
+    for i, name in enumerate(steps):
+        at = F.get("_upto", F.col("_n") - (1 if name in before else 0))
+        start = F.coalesce(F.col("_carry")[f"b{i}"], F.lit(0.0))
+        out[name] = F.coalesce(at[f"a{i}"], F.lit(1.0)) * start + F.coalesce(at[f"b{i}"], F.lit(0.0))
+    kept = [F.col(f"_e.`{c}`").alias(c) if c in (order, *rest) else F.col(c) for c in panel.columns if c not in steps]
+    return joined.select(*kept, *[v.alias(k) for k, v in out.items()])
+
+
+def seeded(value: Column, index: Column, n: int, alpha: float | None = None) -> tuple[Column, Column]:
+    """The step of an exponential mean seeded with the mean of the first ``n`` values; ``index`` counts the values, from 1."""
+    alpha = alpha or 2 / (n + 1)
+    first = index <= n
+    return F.when(value.isNull(), None).when(first, 1.0).otherwise(1 - alpha), F.when(first, value / n).otherwise(value * alpha)
+
+
+def sma_period(n: int, m: int = 1) -> int:
+    """The period of the mean that weighs a new value m / n, cut to whole rows."""
+    return int(2 / (m / n) - 1)
+
+
+def _known(name: str, index: str, n: int, value: str) -> Column:
+    return F.when(F.col(value).isNotNull() & (F.col(index) >= n), F.col(name))
+
+
+def exponential_means(panel: DataFrame, periods: dict[str, int], value: str, unit: str = "year") -> DataFrame:
+    """``panel`` with exponential means of ``value``, null before they are seeded and where the value is."""
+    df = panel.withColumn(BUCKET, F.date_trunc(unit, "date"))
+    df = linear_scan(df, {"_k": (F.lit(1.0), F.when(F.col(value).isNotNull(), 1.0))})
+    df = linear_scan(df, {k: seeded(F.col(value), F.col("_k"), n) for k, n in periods.items()})
+    return df.withColumns({k: _known(k, "_k", n, value) for k, n in periods.items()}).drop("_k", BUCKET)
+
+
+def indicators(panel: DataFrame, price: str = "close", unit: str = "year") -> DataFrame:
+    """(date, code, ema_6, sma_6_2, rsi_6, macd, macd_signal) from prices; ``unit`` is the time of a bucket."""
+    p, one = F.col("_p"), F.lit(1.0)
+    df = panel.select("date", "code", F.col(price).cast("double").alias("_p")).withColumn(BUCKET, F.date_trunc(unit, "date"))
+    # The price of the row before, known or not, and how many are known.
+    df = linear_scan(df, {"_k": (one, F.when(p.isNotNull(), 1.0)), "_last": (F.lit(0.0), F.coalesce(p, F.lit(0.0))), "_there": (F.lit(0.0), F.when(p.isNotNull(), 1.0).otherwise(0.0))}, before=("_last", "_there"))
+    df = df.withColumn("_step", F.when(F.col("_there") > 0.5, p - F.col("_last")))
+    s, k = F.col("_step"), F.col("_k")
+    means = {"ema_6": 6, "sma_6_2": sma_period(6, 2), "_fast": 12, "_slow": 26}
+    df = linear_scan(df, {"_j": (one, F.when(s.isNotNull(), 1.0)), **{name: seeded(p, k, n) for name, n in means.items()}})
+    df = df.withColumns({name: _known(name, "_k", n, "_p") for name, n in means.items()}).withColumn("macd", F.col("_fast") - F.col("_slow"))
+    up, down, j = F.greatest(s, F.lit(0.0)), F.greatest(-s, F.lit(0.0)), F.col("_j")
+    # greatest skips nulls, so a step that is null is kept out.
+    only = lambda v: F.when(s.isNotNull(), v)
+    df = linear_scan(df, {"_up": seeded(only(up), j, 6, 1 / 6), "_down": seeded(only(down), j, 6, 1 / 6), "macd_signal": seeded(F.col("macd"), k - 25, 9)})
+    rsi = F.when(s.isNotNull() & (j >= 6), F.try_divide(100 * F.col("_up"), F.col("_up") + F.col("_down")))
+    signal = F.when(F.col("macd").isNotNull() & (k - 25 >= 9), F.col("macd_signal"))
+    return df.select("date", "code", "ema_6", "sma_6_2", rsi.alias("rsi_6"), "macd", signal.alias("macd_signal"))
+
+
+def adaptive_mean(panel: DataFrame, value: str, n: int = 6, fast: int = 2, slow: int = 30, unit: str = "year") -> DataFrame:
+    """(date, code, adaptive): exponential mean whose weight follows how straight the last n steps went, over the known values; it starts from the n-th and is given after it."""
+    p = F.col("_p")
+    w = Window.partitionBy("code").orderBy("date")
+    df = panel.filter(F.col(value).isNotNull()).select("date", "code", F.col(value).cast("double").alias("_p"))
+    df = df.withColumn("_move", F.abs(p - F.lag("_p").over(w)))
+    path, far = F.sum("_move").over(w.rowsBetween(1 - n, 0)), F.abs(p - F.lag("_p", n).over(w))
+    straight = F.coalesce(F.try_divide(far, path), F.lit(0.0))
+    weight = F.pow(straight * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1), F.lit(2.0))
+    df = df.withColumn("_w", weight).withColumn(BUCKET, F.date_trunc(unit, "date")).drop("_move")
+    df = linear_scan(df, {"_k": (F.lit(1.0), F.lit(1.0))})
+    k = F.col("_k")
+    a = F.when(k < n, 1.0).when(k == n, 0.0).otherwise(1 - F.col("_w"))
+    b = F.when(k < n, 0.0).when(k == n, p).otherwise(F.col("_w") * p)
+    df = linear_scan(df, {"adaptive": (a, b)})
+    return df.select("date", "code", F.when(k > n, F.col("adaptive")).alias("adaptive"))
+
+
+def parabolic_stop(panel: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """(date, code, stop) from high and low: a stop-and-reverse level that closes in on the extreme of a trend, faster with every new one, and flips when passed.
+
+    The state does not compose, so a code's history, bounded by the calendar, is folded in order; null in the first row.
+    """
+    row = F.struct("date", F.col("high").cast("double").alias("h"), F.col("low").cast("double").alias("l"))
+    known = panel.filter("high is not null and low is not null")
+    history = known.groupBy("code").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+    def begin(first: Column, second: Column) -> Column:
+        up = ~(first["l"] - second["l"] > F.greatest(second["h"] - first["h"], F.lit(0.0)))
+        parts = (up, F.when(up, first["l"]).otherwise(first["h"]), F.when(up, second["h"]).otherwise(second["l"]), F.lit(step), first["h"], first["l"], F.array().cast("array<double>"))
+        return F.struct(*parts).cast("struct<up: boolean, stop: double, extreme: double, pace: double, h: double, l: double, out: array<double>>")
+
+    def follow(s: Column, e: Column) -> Column:
+        passed = F.when(s["up"], e["l"] <= s["stop"]).otherwise(e["h"] >= s["stop"])
+        up = s["up"] != passed
+        level = F.when(~passed, s["stop"]).when(up, F.least(s["extreme"], e["l"], s["l"])).otherwise(F.greatest(s["extreme"], e["h"], s["h"]))
+        further = F.when(s["up"], e["h"] > s["extreme"]).otherwise(e["l"] < s["extreme"])
+        extreme = F.when(passed | further, F.when(up, e["h"]).otherwise(e["l"])).otherwise(s["extreme"])
+        pace = F.when(passed, step).when(further, F.least(F.lit(most), s["pace"] + step)).otherwise(s["pace"])
+        moved = level + pace * (extreme - level)
+        held = F.when(up, F.least(moved, e["l"], s["l"])).otherwise(F.greatest(moved, e["h"], s["h"]))
+        return F.struct(up.alias("up"), held.alias("stop"), extreme.alias("extreme"), pace.alias("pace"), e["h"].alias("h"), e["l"].alias("l"), F.concat(s["out"], F.array(level)).alias("out"))
+
+    levels = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), begin(F.get("_rows", F.lit(0)), F.coalesce(F.get("_rows", F.lit(1)), F.get("_rows", F.lit(0)))), follow, lambda s: s["out"])
+    return history.select("code", F.posexplode("_rows").alias("_n", "_e"), levels.alias("_out")).select("_e.date", "code", F.get("_out", F.col("_n") - 1).alias("stop"))
 
 
 def trailing_levels(panel: DataFrame, n: int = 6) -> DataFrame:
-    """(date, code, adaptive, stop) of close, high and low; a code's history is one group, bounded by the calendar."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        high, low, close = (pdf[k].to_numpy(float) for k in ("high", "low", "close"))
-        return pd.DataFrame({"date": pdf["date"], "code": pdf["code"], "adaptive": adaptive_mean(close, n), "stop": parabolic_stop(high, low)})
-
-    kinds = panel.schema
-    return panel.select("date", "code", "high", "low", "close").groupBy("code").applyInPandas(run, f"date {kinds['date'].dataType.simpleString()}, code {kinds['code'].dataType.simpleString()}, adaptive double, stop double")
+    """(date, code, adaptive, stop) of close, high and low, for every row of the panel."""
+    return panel.select("date", "code").join(adaptive_mean(panel, "close", n), ["date", "code"], "left").join(parabolic_stop(panel), ["date", "code"], "left")

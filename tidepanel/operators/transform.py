@@ -22,11 +22,21 @@ def winsorize(df: DataFrame, share: float, value: str = "value") -> DataFrame:
 
 
 def quantize(df: DataFrame, bins: int, value: str = "value", out: str = "quantile") -> DataFrame:
-    """Bucket 1 to ``bins`` by interpolated quantile edges of the date, closed on the right; equal edges count once."""
-    edges = F.percentile(F.col(value), F.array(*[F.lit(i / bins) for i in range(1, bins)])).over(_date())
-    df = df.withColumn("_e", F.array_distinct(edges))
-    bucket = F.size(F.filter("_e", lambda e: e < F.col(value))) + 1
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), bucket)).drop("_e")
+    """Bucket 1 to ``bins`` by interpolated quantile edges of the date, closed on the right; equal edges count once.
+
+    Edges are not computed, as the last digit of a double would decide about rows that are edges: the edge i lies at the
+    place (n - 1) * i / bins of the sorted values, on or above the value at its whole part and below the next one, so a value
+    is above the edge if its rank, counted from 0, is above that whole part.
+    """
+    v = F.col(value)
+    df = df.withColumns({"_r": F.rank().over(Window.partitionBy("date", v.isNull()).orderBy(v)) - 1, "_n": F.count(v).over(_date())})
+    places = [F.expr(f"((_n - 1) * {i}) div {bins}") for i in range(1, bins)]
+    at = lambda place: F.max(F.when(v.isNotNull() & (F.col("_r") <= place), v)).over(_date())
+    df = df.withColumns({f"_{side}{i}": at(p + k) for i, p in enumerate(places) for k, side in enumerate(("v", "w"))})
+    rest = [F.expr(f"((_n - 1) * {i}) % {bins}") for i in range(1, bins)]
+    edges = [F.struct(F.col(f"_v{i}").alias("v"), F.when(F.col(f"_w{i}") > F.col(f"_v{i}"), r).otherwise(F.lit(0)).alias("part")) for i, r in enumerate(rest)]
+    bucket = F.size(F.array_distinct(F.filter(F.array(*edges), lambda e: e["v"] < v))) + 1
+    return df.withColumn(out, F.when(v.isNotNull(), bucket)).drop("_r", "_n", *[f"_{side}{i}" for i in range(bins - 1) for side in "vw"])
 
 
 def industry_neutralize(df: DataFrame, group: str, value: str = "value") -> DataFrame:

@@ -107,3 +107,5 @@ from . import query_models  # noqa: E402, F401
 from . import query_market  # noqa: E402, F401
 from . import query_stats  # noqa: E402, F401
 from . import query_genetic  # noqa: E402, F401
+from . import query_scans  # noqa: E402, F401
+from . import query_walk  # noqa: E402, F401

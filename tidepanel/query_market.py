@@ -166,6 +166,6 @@ simple(
 )
 simple(
     "industry_benchmark",
-    f"SELECT date, code, round(close - i.b, 3) + 0.0 AS excess FROM ({DENSE_SQL}) JOIN (SELECT date, industry, avg(close) AS b FROM ({DENSE_SQL}) GROUP BY 1, 2) i USING (date, industry) WHERE close IS NOT NULL",
-    lambda s, d: (lambda b: b.filter("close is not null").join(b.groupBy("date", "industry").agg(F.avg("close").alias("b")), ["date", "industry"]).select("date", "code", (F.round(F.col("close") - F.col("b"), 3) + 0.0).alias("excess")))(dense(s, d)),
+    f"SELECT date, code, round(close - i.b + 3e-8, 3) + 0.0 AS excess FROM ({DENSE_SQL}) JOIN (SELECT date, industry, avg(close) AS b FROM ({DENSE_SQL}) GROUP BY 1, 2) i USING (date, industry) WHERE close IS NOT NULL",
+    lambda s, d: (lambda b: b.filter("close is not null").join(b.groupBy("date", "industry").agg(F.avg("close").alias("b")), ["date", "industry"]).select("date", "code", (F.round(F.col("close") - F.col("b") + 3e-8, 3) + 0.0).alias("excess")))(dense(s, d)),
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import duck
 from .functions import expr as x
-from .operators import bounded, evaluate, forecasts, intraday, joins, models, scan, select, transform
+from .operators import bounded, evaluate, forecasts, intraday, joins, models, select, transform
 from .operators.backtest import backtest
 from .plans import candles, flows
 from .queries import DENSE_SQL, bars_sql, dense, expressions, register
@@ -181,7 +181,6 @@ def backtest_both_ends(s: SparkSession, d: str) -> DataFrame:
     return backtest(targets[0].unionByName(targets[1]), dense(s, d).withColumn("tradable", F.col("trades") >= 3), stop=0.5)
 
 
-register("trailing_levels")(lambda s, d: scan.trailing_levels(dense(s, d)))
 simple(
     "forward_path",
     f"""SELECT date, code, round(ret + 3e-8, 5) + 0.0 AS ret, round(dd + 3e-8, 5) + 0.0 AS drawdown, round(ret / nullif(abs(dd), 0) + 3e-8, 3) + 0.0 AS calmar FROM (SELECT date, code, CASE WHEN len(p) = 7 THEN p[7] / nullif(p[1], 0) - 1 END AS ret, CASE WHEN len(p) = 7 THEN list_min(list_transform(range(1, 8), lambda k: p[k] / list_max(p[:k]) - 1)) END AS dd

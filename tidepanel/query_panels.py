@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import duck
 from .functions import expr as x
-from .operators import evaluate, joins, scan, select, statements, transform
+from .operators import evaluate, joins, select, statements, transform
 from .plans import library
 from .queries import DENSE_SQL, bars_sql, dense, expressions, register
 from .sources import panels
@@ -51,10 +51,11 @@ def _quarter_ends(s, d):
     return panels.table(s, d, "customer").select(F.col("c_custkey").alias("code"), F.explode(F.sequence(F.lit("1995-01-01").cast("timestamp"), F.lit("1998-01-01").cast("timestamp"), F.expr("interval 3 months"))).alias("date"))
 
 
+QUERY_TIMES_SQL = """SELECT q.code, CAST(q.date AS DATE) AS date, r.price FROM (SELECT c_custkey AS code, unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01', INTERVAL 3 MONTH)) AS date FROM customer) q
+ ASOF LEFT JOIN (SELECT o_custkey AS code, o_orderdate AS pub, max(o_totalprice) AS price FROM orders GROUP BY 1, 2) r ON q.code = r.code AND q.date >= r.pub"""
 simple(
     "asof_join",
-    """SELECT q.code, CAST(q.date AS DATE) AS date, r.price FROM (SELECT c_custkey AS code, unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01', INTERVAL 3 MONTH)) AS date FROM customer) q
- ASOF LEFT JOIN (SELECT o_custkey AS code, o_orderdate AS pub, max(o_totalprice) AS price FROM orders GROUP BY 1, 2) r ON q.code = r.code AND q.date >= r.pub""",
+    QUERY_TIMES_SQL,
     lambda s, d: joins.asof(_quarter_ends(s, d), _orders(s, d), ["price"], "date", "pub_date").select("code", F.to_date("date").alias("date"), "price"),
 )
 simple(
@@ -138,7 +139,6 @@ def held(s: SparkSession, d: str) -> DataFrame:
 simple("portfolio_value", f"SELECT date, round(ret, 5) AS ret, round(ln(nav), 6) AS log_nav, round(nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 4) AS drawdown FROM (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM ({HELD_SQL}))", lambda s, d: held(s, d).select("date", F.round("ret", 5).alias("ret"), F.round(F.ln("nav"), 6).alias("log_nav"), F.round("drawdown", 4).alias("drawdown")))
 simple("portfolio_metrics", f"SELECT round(avg(ret), 5) AS mean, round(stddev_samp(ret), 5) AS std, round(avg(ret) / stddev_samp(ret) * sqrt(12), 4) AS sharpe, round(max(ret), 5) AS best, round(min(ret), 5) AS worst, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate FROM ({HELD_SQL})", lambda s, d: evaluate.metrics(held(s, d)).select(*[F.round(k, n).alias(k) for k, n in (("mean", 5), ("std", 5), ("sharpe", 4), ("best", 5), ("worst", 5), ("win_rate", 5))]))
 simple("event_bars", "SELECT date_trunc('day', ts) AS ts, event_type AS code, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", lambda s, d: event_bars(panels.table(s, d, "events")))
-register("recursive_indicators")(lambda s, d: scan.indicators(dense(s, d)))
 
 # Families of factors.
 for _family, _factors in library.groups().items():
@@ -209,7 +209,7 @@ simple(
     f"SELECT date, code, CASE WHEN n < 3 THEN NULL WHEN hit >= 0.5 THEN 2 WHEN hit <= -0.4 THEN 0 ELSE 1 END AS label FROM (SELECT *, list_filter(list_transform(p, lambda q: q / close - 1), lambda q: q >= 0.5 OR q <= -0.4)[1] AS hit, coalesce(len(p), 0) AS n FROM (SELECT date, code, close, list(close) FILTER (close IS NOT NULL) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS p FROM ({BARE}))) WHERE close IS NOT NULL",
     lambda s, d: evaluate.triple_barrier(dense(s, d), 0.5, 0.4, 3),
 )
-CELL_SQL = f"SELECT date, 1 + CAST(cap > m AS INT) AS a, 1 + CAST(value > p AS INT) + CAST(value > q AS INT) AS b, sum(label * cap) / sum(cap) AS ret, count(*) AS n FROM (SELECT *, quantile_cont(cap, 0.5) OVER w AS m, quantile_cont(value, 1.0 / 3) OVER w AS p, quantile_cont(value, 2.0 / 3) OVER w AS q FROM {LAB_SQL} WHERE value IS NOT NULL AND cap IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY date)) GROUP BY 1, 2, 3"
+CELL_SQL = f"SELECT date, 1 + CAST(cap > m AS INT) AS a, 1 + CAST(k > (total - 1) // 3 AS INT) + CAST(k > (total - 1) * 2 // 3 AS INT) AS b, sum(label * cap) / sum(cap) AS ret, count(*) AS n FROM (SELECT *, quantile_cont(cap, 0.5) OVER w AS m, rank() OVER (PARTITION BY date ORDER BY value) - 1 AS k, count(*) OVER w AS total FROM {LAB_SQL} WHERE value IS NOT NULL AND cap IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY date)) GROUP BY 1, 2, 3"
 
 
 def cells(s: SparkSession, d: str) -> DataFrame:

@@ -141,13 +141,13 @@ simple(
 )
 simple(
     "tilt_bounds",
-    f"SELECT date, code, [-0.02, -0.01, 0.01][q] AS lower, [-0.01, 0.01, 0.02][q] AS upper FROM (SELECT date, code, CASE WHEN close IS NOT NULL THEN 1 + CAST(close > quantile_cont(close, 1.0 / 3) OVER w AS INT) + CAST(close > quantile_cont(close, 2.0 / 3) OVER w AS INT) END AS q FROM ({BARE}) WINDOW w AS (PARTITION BY date))",
+    f"SELECT date, code, [-0.02, -0.01, 0.01][q] AS lower, [-0.01, 0.01, 0.02][q] AS upper FROM (SELECT date, code, CASE WHEN close IS NOT NULL THEN 1 + CAST(rank() OVER (PARTITION BY date, close IS NULL ORDER BY close) - 1 > (count(close) OVER (PARTITION BY date) - 1) * 1 // 3 AS INT) + CAST(rank() OVER (PARTITION BY date, close IS NULL ORDER BY close) - 1 > (count(close) OVER (PARTITION BY date) - 1) * 2 // 3 AS INT) END AS q FROM ({BARE}))",
     lambda s, d: bounded.tilt_bounds(dense(s, d).withColumn("value", F.col("close")), 0.02, 3).select("date", "code", "lower", "upper"),
 )
 simple("append_rows", f"SELECT date, code, close FROM ({BARE}) UNION ALL SELECT date, code + 1000, volume FROM ({bars_sql()})", lambda s, d: select.append_rows(dense(s, d).select("date", "code", "close"), panels.bars(s, d).select("date", (F.col("code") + 1000).alias("code"), F.col("volume").alias("close"))))
 simple(
     "held_portfolios",
-    f"WITH t AS (SELECT *, date_trunc('quarter', date) AS p FROM {LAB_SQL}), s AS (SELECT p, code, 1 + CAST(value > quantile_cont(value, 1.0 / 3) OVER w AS INT) + CAST(value > quantile_cont(value, 2.0 / 3) OVER w AS INT) AS bucket FROM t WHERE value IS NOT NULL AND (p, date) IN (SELECT (p, min(date)) FROM t GROUP BY p) WINDOW w AS (PARTITION BY date)) SELECT date, bucket, {rs('sum(label * cap) / sum(cap)', 4, 'ret')}, count(*) AS n FROM t JOIN s USING (p, code) WHERE label IS NOT NULL GROUP BY 1, 2",
+    f"WITH t AS (SELECT *, date_trunc('quarter', date) AS p FROM {LAB_SQL}), s AS (SELECT p, code, 1 + CAST(rank() OVER (PARTITION BY date, value IS NULL ORDER BY value) - 1 > (count(value) OVER (PARTITION BY date) - 1) * 1 // 3 AS INT) + CAST(rank() OVER (PARTITION BY date, value IS NULL ORDER BY value) - 1 > (count(value) OVER (PARTITION BY date) - 1) * 2 // 3 AS INT) AS bucket FROM t WHERE value IS NOT NULL AND (p, date) IN (SELECT (p, min(date)) FROM t GROUP BY p)) SELECT date, bucket, {rs('sum(label * cap) / sum(cap)', 4, 'ret')}, count(*) AS n FROM t JOIN s USING (p, code) WHERE label IS NOT NULL GROUP BY 1, 2",
     lambda s, d: evaluate.held_portfolios(labelled(s, d), "value", 3, "quarter", weight="cap").select("date", "bucket", r("ret", 4), "n"),
 )
 
