@@ -169,11 +169,12 @@ def _send(parts: int, n: int, target: bool):
 
 
 _SENT = "part int, block long, check long, target boolean, packed binary, counts binary"
-_ANSWER = "block long, check long, part int, answer binary, bucket int, s long, t long"
+_ANSWER = "block long, check long, part int, answer binary, chunk int, s array<long>, t array<long>"
+CHUNK = 100
 
 
 def _merge(buckets: int):
-    """The dictionary of a part: each distinct string is hashed once.  Answers to blocks, and sums by bucket."""
+    """The dictionary of a part: each distinct string is hashed once.  Answers to blocks, and sums by bucket, some buckets a row."""
 
     def run(sent: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -190,7 +191,8 @@ def _merge(buckets: int):
             total = np.zeros(buckets, np.int64)
             np.add.at(total, bucket[chosen], count[chosen])
             sums.append(total)
-        used = np.flatnonzero(sums[0] + sums[1])
+        chunks = [np.pad(x, (0, -buckets % CHUNK)).reshape(-1, CHUNK) for x in sums]
+        used = np.flatnonzero((chunks[0] + chunks[1]).any(1))
         ends = np.cumsum([0, *map(len, counts)])
         answer = [None if t else bucket[a:b].astype("<u4" if buckets > 65536 else "<u2").tobytes() for a, b, t in zip(ends[:-1], ends[1:], sent.column("target").to_pylist(), strict=True)]
         blank = [None] * len(used)
@@ -200,9 +202,9 @@ def _merge(buckets: int):
             "check": pa.array([*sent.column("check").to_pylist(), *blank], pa.int64()),
             "part": pa.array([*sent.column("part").to_pylist(), *blank], pa.int32()),
             "answer": pa.array([*answer, *blank], pa.binary()),
-            "bucket": pa.array([None] * len(answer) + used.tolist(), pa.int32()),
-            "s": pa.array([None] * len(answer) + sums[0][used].tolist(), pa.int64()),
-            "t": pa.array([None] * len(answer) + sums[1][used].tolist(), pa.int64()),
+            "chunk": pa.array([None] * len(answer) + used.tolist(), pa.int32()),
+            "s": pa.array([None] * len(answer) + chunks[0][used].tolist(), pa.list_(pa.int64())),
+            "t": pa.array([None] * len(answer) + chunks[1][used].tolist(), pa.list_(pa.int64())),
         })
 
     return run
@@ -292,7 +294,9 @@ def importance(spark: SparkSession, docs: DataFrame, target: DataFrame, share: i
     deal = lambda df, is_target: df.mapInArrow(_send(parts, words, is_target), _SENT)
     sent = deal(source, False).unionByName(deal(target.select("text"), True))
     answers = written(spark, sent.groupBy("part").applyInArrow(_merge(buckets), _ANSWER), "answers")
-    sums = answers.filter("bucket is not null").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    added = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(CHUNK)])
+    chunks = answers.filter("chunk is not null").groupBy("chunk").agg(F.arrays_zip(added("s").alias("s"), added("t").alias("t")).alias("sums"))
+    sums = chunks.select("chunk", F.posexplode("sums").alias("i", "x")).select((F.col("chunk") * CHUNK + F.col("i")).alias("bucket"), "x.s", "x.t")
     gains = spark.sparkContext.broadcast(bucket_gains(spark, sums, buckets))
     held = source.mapInArrow(_hold, _HELD)
     replies = answers.filter("answer is not null").select("block", "part", "check", "answer")
