@@ -422,6 +422,24 @@ def test_language_dictionaries_hold_whole_texts(spark):
     assert len(language.dictionaries(docs, F.lit(True), sample=3, size=4096)["fr"].split(b"\n")) == 3
 
 
+@pytest.mark.parametrize("id", [1, 2, 3, 77, 12345])
+def test_a_language_of_one_id_is_learned(spark, id):
+    rows = [(id, f"der hund und die katze {i}", "de") for i in range(3000)] + [(1000 + i, "the dog and the cat", "en") for i in range(3000)]
+    found = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert set(found) == {"en", "de"} and b"katze" in found["de"]
+
+
+@pytest.mark.parametrize("length", [300_000, 3_000])
+def test_a_long_text_takes_no_class_from_the_sample(spark, length):
+    rows = [(i, "you stupid idiot" if i % 2 else "a quiet day") for i in range(60)]
+    rows = [(i, "x " * length if i in (7, 8) else t) for i, t in rows]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.training_sample(docs(spark, rows), labels, F.lit(True), chars=100_000)
+    assert sum(y for _, y in got) == len(got) // 2 and len(got) == (58 if length > 50_000 else 60)
+    alone = toxicity.training_sample(docs(spark, [(7, "x " * length), (8, "y")]), labels, F.lit(True), chars=100_000)
+    assert sorted((y, len(t)) for t, y in alone) == [(0, 1), (1, min(2 * length, 100_000))]
+
+
 def least_cost(sizes, lengths):
     """Brute force: the least total cost of sequences that hold all pieces."""
     best = math.inf

@@ -9,8 +9,8 @@ The dictionaries are fitted on a bounded sample: of each language whole texts, i
 the order of the xxhash64 of their id, as long as they have ``DICTIONARY`` bytes
 together and are at most ``SAMPLE``; the first stands last, as zstandard prefers.
 A text longer than a dictionary teaches, by its middle, only where no other does.
-Rows are thinned by that hash before any text leaves its task, by the number of
-rows of their language, so one scan serves all languages and no task holds one.
+Rows are thinned by that hash before any text leaves its task, by about how many
+ids their language has, so one scan serves all languages and no task holds one.
 Every text is encoded whole.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
@@ -67,8 +67,9 @@ THIN = 1 << 30
 def dictionaries(docs: DataFrame, learns, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw dictionary content of each language; no more than that content is collected."""
     usable = docs.select("doc_id", "lang", "text").filter(learns).filter("lang is not null and text is not null and doc_id is not null")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    # About four times the sample of a large language, all rows of a small one.
+    # Of ids, not rows: rows that share an id stay or go together.
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    # About four times the sample of a large language, all of a small one.
     thinned = usable.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(THIN)) * F.col("n") <= F.lit(4 * sample * THIN))
     pieces = thinned.select("lang", "doc_id", "text").mapInArrow(_pieces(size), "lang string, doc_id long, cut boolean, piece binary")
     pieces = pieces.groupBy("lang", "doc_id").agg(F.min(F.struct("cut", "piece")).alias("best")).select("lang", "doc_id", "best.*")

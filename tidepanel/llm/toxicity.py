@@ -12,9 +12,10 @@ window that the present model finds worst.  Misspellings share n-grams with
 their words and so share vectors.
 
 Training uses at most ``SAMPLE`` labelled rows of each class, those with the least
-xxhash64 of their id among the ids that ``learns`` admits, as long as their texts
-have at most ``SAMPLE_CHARS`` characters together; of an id that repeats the least
-text trains.  The sample is the only thing that reaches the driver, as it is the
+xxhash64 of their id among the ids that ``learns`` admits; of an id that repeats the least
+text trains.  The sample of a class is also bounded by ``SAMPLE_CHARS`` characters: texts of more than a
+``LONG_SHARE``-th of them come last, so that a long text takes no room from others, and the
+first text always trains, by its first ``SAMPLE_CHARS`` characters.  The sample is the only thing that reaches the driver, as it is the
 classifier's bounded fit.  Every row is scored, on the executors, with the product
 of embeddings and weights, one number a bucket.
 
@@ -39,6 +40,7 @@ BUCKETS = 1 << 18
 DIM = 8
 SAMPLE = 500
 SAMPLE_CHARS = 1 << 23
+LONG_SHARE = 16
 ROUNDS = 30
 
 
@@ -183,9 +185,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, learns, sample: int = SA
     chosen = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # broadcast: at most 2 * sample ids
-    # A window of at most ``sample`` rows.
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return [(r.text, r.toxic) for r in texts.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).orderBy("doc_id", "text").collect()]
+    # Windows of at most ``sample`` rows.
+    order = Window.partitionBy("toxic").orderBy(F.length("text") > chars // LONG_SHARE, F.xxhash64("doc_id"), "doc_id")
+    part = F.substring("text", 1, chars)
+    placed = texts.withColumns({"place": F.row_number().over(order), "so_far": F.sum(F.length(part)).over(order)})
+    return [(r.text, r.toxic) for r in placed.filter((F.col("so_far") <= chars) | (F.col("place") == 1)).select("doc_id", part.alias("text"), "toxic").orderBy("doc_id", "text").collect()]
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learns, sample: int = SAMPLE) -> DataFrame:
