@@ -109,3 +109,4 @@ from . import query_stats  # noqa: E402, F401
 from . import query_genetic  # noqa: E402, F401
 from . import query_scans  # noqa: E402, F401
 from . import query_walk  # noqa: E402, F401
+from . import query_optimise  # noqa: E402, F401
