@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Orders the trades of a supplier within a bar without ties.
 TRADE_KEY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -77,61 +81,109 @@ def explode_membership(df: DataFrame, members: str = "members") -> DataFrame:
 
 
 #: A note of the factor store's catalog; a null n marks a factor that was deleted.
-NOTE = "name string, n long, first_date date, last_date date, values_hash string, days double, upload_time timestamp, notes string"
+NOTE = "name string, version long, parts array<string>, n long, first_date date, last_date date, values_hash string, days double, upload_time timestamp, batch string, notes string"
 
 
 class FactorStore:
-    """Factors as Parquet, one folder a name, partitioned by year, with a catalog of metadata."""
+    """Versions of factors: parts that are never changed, and a catalog of notes that name a version's parts.
+
+    A version is written first and noted last, by one file that appears whole, so the note is what makes it
+    current: a write that fails leaves the version before it as it was, and a reader sees one version or the other.  Values are
+    Parquet, partitioned by year.  Writers of one factor take turns; of two at once the later note counts.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/values/{name}"
-
-    def save(self, name: str, values: DataFrame, mode: str = "overwrite", **notes: str) -> None:
-        """Writes (date, code, value) and notes its hash, range and frequency."""
-        values.select("date", "code", "value").withColumn("year", F.year("date")).write.mode(mode).partitionBy("year").parquet(self.path(name))
-        self._note(name, notes)
-
-    def append(self, name: str, values: DataFrame, **notes: str) -> None:
-        """Adds only rows newer than the last date kept; a factor that is not kept is saved."""
-        if not self.has(name):
-            return self.save(name, values, **notes)
-        last = self.load(name).agg(F.max("date")).first()[0]
-        self.save(name, values.filter(F.col("date") > F.lit(last)) if last is not None else values, "append", **notes)
-
-    def load(self, name: str, start=None, end=None, codes=None) -> DataFrame:
-        return between(self.spark.read.parquet(self.path(name)).drop("year"), start, end, codes)
-
-    def _note(self, name: str, notes: dict) -> None:
-        kept = self.load(name)
+    def save(self, name: str, values: DataFrame, **notes: str) -> None:
+        """Keeps (date, code, value) as the factor's next version, and notes its hash, range and frequency."""
+        self._publish(name, [self._part(name, values)], notes)
+
+    def append(self, name: str, values: DataFrame, batch: str | None = None, **notes: str) -> None:
+        """A version with the rows newer than the last date kept besides; a factor that is not kept is saved.
+
+        The rows of a ``batch`` are taken whatever their dates, but once: one that a version of the factor has taken is not taken again, so
+        that a stream may repeat it.
+        """
+        if batch is not None and not self._notes().filter((F.col("name") == name) & (F.col("batch") == batch)).isEmpty():
+            return
+        now = self._current(name)
+        if batch is None and now is not None and now.last_date is not None:
+            values = values.filter(F.col("date") > F.lit(now.last_date))
+        self._publish(name, [*(now.parts if now is not None else []), self._part(name, values)], notes, batch)
+
+    def load(self, name: str, start=None, end=None, codes=None, version: int | None = None) -> DataFrame:
+        """The current version, or the one of a number, which stays until it is pruned."""
+        note = self._current(name) if version is None else self._notes().filter((F.col("name") == name) & (F.col("version") == version) & F.col("n").isNotNull()).orderBy(F.desc("upload_time")).first()
+        if note is None:
+            raise KeyError(f"{name} is not kept" if version is None else f"{name} has no version {version}")
+        return between(self._read(note.parts), start, end, codes)
+
+    def versions(self, name: str) -> DataFrame:
+        """The notes of a factor, also of its ends."""
+        return self._notes().filter(F.col("name") == name)
+
+    def _part(self, name: str, values: DataFrame) -> str:
+        part = f"values/{name}/{uuid.uuid4().hex}"
+        values.select("date", "code", "value").withColumn("year", F.year("date")).write.partitionBy("year").parquet(f"{self.root}/{part}")
+        return part
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        frames = [self.spark.read.parquet(f"{self.root}/{p}").select("date", "code", "value") for p in parts]
+        return functools.reduce(DataFrame.unionByName, frames)
+
+    def _publish(self, name: str, parts: list[str], notes: dict, batch: str | None = None) -> None:
+        kept = self._read(parts)
         gap = kept.select("date").distinct().select(F.datediff("date", F.lag("date").over(Window.orderBy("date"))).alias("gap"))
         row = kept.agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum(F.xxhash64("date", "code", "value").cast("decimal(38,0)")).cast("string").alias("values_hash"))
-        row = row.join(gap.agg(F.median("gap").alias("days")), how="inner")
-        row = row.select(F.lit(name).alias("name"), "n", "first_date", "last_date", "values_hash", "days", F.current_timestamp().alias("upload_time"), F.lit(str(sorted(notes.items()))).alias("notes"))
-        row.write.mode("append").parquet(f"{self.root}/catalog")
+        row = row.join(gap.agg(F.median("gap").alias("days")), how="inner").first()
+        last = self.versions(name).agg(F.max("version")).first()[0]
+        self._note((name, (last or 0) + 1, parts, row.n, row.first_date, row.last_date, row.values_hash, row.days, batch, str(sorted(notes.items()))))
 
-    def catalog(self) -> DataFrame:
-        """The newest note of each factor that is kept."""
-        w = Window.partitionBy("name").orderBy(F.desc("upload_time"))
+    def _note(self, row: tuple) -> None:
+        fields = [f for f in StructType.fromDDL(NOTE).fields if f.name != "upload_time"]
+        note = self.spark.createDataFrame([row], StructType(fields)).withColumn("upload_time", F.current_timestamp())
+        note.select(*StructType.fromDDL(NOTE).names).coalesce(1).write.mode("append").parquet(f"{self.root}/catalog")
+
+    def _notes(self) -> DataFrame:
         try:
-            notes = self.spark.read.parquet(f"{self.root}/catalog")
+            self.spark.catalog.refreshByPath(f"{self.root}/catalog")
+            return self.spark.read.schema(NOTE).parquet(f"{self.root}/catalog")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            notes = self.spark.createDataFrame([], NOTE)
-        return notes.withColumn("_n", F.row_number().over(w)).filter("_n = 1 and n is not null").drop("_n")
+            return self.spark.createDataFrame([], NOTE)
+
+    def catalog(self) -> DataFrame:
+        """The newest note of each factor that is kept."""
+        w = Window.partitionBy("name").orderBy(F.desc("version"), F.desc("upload_time"))
+        return self._notes().withColumn("_n", F.row_number().over(w)).filter("_n = 1 and n is not null").drop("_n")
+
+    def _current(self, name: str):
+        return self.catalog().filter(F.col("name") == name).first()
 
     def has(self, name: str) -> bool:
-        return not self.catalog().filter(F.col("name") == name).isEmpty()
+        return self._current(name) is not None
 
     def delete(self, name: str) -> None:
-        """Empties the factor's folder, and notes a null count, which ends it."""
-        gone = self.load(name).schema
-        self.spark.createDataFrame([], gone).write.mode("overwrite").parquet(self.path(name))
-        last = self.catalog().filter(F.col("name") == name).withColumns({"n": F.lit(None).cast("long"), "upload_time": F.current_timestamp()})
-        self.spark.createDataFrame(last.collect(), NOTE).write.mode("append").parquet(f"{self.root}/catalog")
+        """Ends the factor by a note; its versions stay until they are pruned."""
+        now = self._current(name)
+        if now is not None:
+            self._note((name, now.version + 1, [], None, None, None, None, None, None, "[]"))
+
+    def prune(self, name: str, keep: int = 1) -> list[str]:
+        """Removes the parts that none of the last ``keep`` notes of the factor names, and gives them; also those of writes that failed."""
+        newest = self.versions(name).orderBy(F.desc("version"), F.desc("upload_time")).limit(keep).collect()
+        used = {p for r in newest if r.n is not None for p in r.parts}
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/values/{name}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        gone = []
+        for status in files.listStatus(folder) if files.exists(folder) else ():
+            part = f"values/{name}/{status.getPath().getName()}"
+            if part not in used:
+                files.delete(status.getPath(), True)
+                gone.append(part)
+        return sorted(gone)
 
     def sync(self, other: FactorStore) -> list[str]:
         """Copies to ``other`` the factors that it lacks or whose values differ there, and gives their names."""
@@ -148,9 +200,33 @@ class FactorStore:
             self.save(name, make())
         return self.load(name)
 
+    def remembered(self, make: Callable[..., DataFrame], *args, seconds: float = 7 * 86400, **named) -> DataFrame:
+        """``make(*args, **named)``, kept for so many seconds under the hash of the function's code and of all arguments; frames count by their rows."""
+        return self.cached(f"call-{call_hash(make, *args, **named)}", lambda: make(*args, **named), seconds)
+
+
+def content_hash(df: DataFrame) -> str:
+    """A hash of a frame's columns and rows, in any order of rows and partitions."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    sums = df.select(row.alias("row")).agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")) for k in (1, 2)]).first()
+    return hashlib.sha256(f"{df.schema.simpleString()}:{tuple(map(str, sums))}".encode()).hexdigest()
+
+
+def _code_text(code) -> str:
+    return repr((code.co_code.hex(), code.co_names, [_code_text(c) if hasattr(c, "co_code") else c for c in code.co_consts]))
+
+
+def call_hash(make: Callable, *args, **named) -> str:
+    """A hash of a function's code and of the values of its arguments."""
+    parts = [_code_text(make.__code__), repr(make.__defaults__)]
+    held = [c.cell_contents for c in make.__closure__ or ()]
+    for value in [*held, *args, *(x for k in sorted(named) for x in (k, named[k]))]:
+        parts.append(content_hash(value) if isinstance(value, DataFrame) else call_hash(value) if hasattr(value, "__code__") else f"{type(value).__name__}:{value!r}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
 
 def read_statements(df: DataFrame, start=None, end=None, fiscal_year: int | None = None, months: tuple[int, ...] | None = None, report_type: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Statements published in [start, end), of a fiscal year, of periods that end in some months, of a report type; ordered by code and publication."""
+    """Statements published in [start, end), of a fiscal year, of periods that end in some months, of a report type."""
     if start is not None:
         df = df.filter(F.col("pub_date") >= F.lit(start))
     if end is not None:
@@ -161,7 +237,7 @@ def read_statements(df: DataFrame, start=None, end=None, fiscal_year: int | None
         df = df.filter(F.month("end_date").isin(list(months)))
     if report_type is not None:
         df = df.filter(F.col("report_type") == report_type)
-    return (df.select(*columns) if columns else df).orderBy("code", "pub_date")
+    return df.select(*columns) if columns else df
 
 
 def at_close(df: DataFrame, hours: int = 15) -> DataFrame:
