@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import as_long, text_buffers, written
 from .components import connected_components
+from .minhash import sketch_links, sketches
 
 RADIUS = 4
 SHINGLE = 4
@@ -75,7 +76,9 @@ def _fingerprints(batches):
 def _keyed_fingerprints(batches):
     for batch in batches:
         found = next(_fingerprints([batch.rename_columns(["doc_id" if c == "id" else c for c in batch.schema.names])]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), found.column("fp")], names=["id", "key", "fp"])
+        sketch, bands = sketches(batch.column("text"))
+        columns = [batch.column("id"), batch.column("key"), found.column("fp"), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "fp", "sketch", "bands"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -155,9 +158,10 @@ def fingerprint_links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS,
     return pairs.unionByName(members.mapInArrow(_links(radius), "a long, b long"))
 
 
-def fingerprint_roots(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(fp, root) for each of the distinct fingerprints ``fps`` (fp): the least fingerprint that it reaches by links."""
-    roots = connected_components(spark, fingerprint_links(spark, fps, radius, split)).withColumnRenamed("id", "fp")
+def fingerprint_roots(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, split: int = SPLIT, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root) for each of the distinct fingerprints ``fps`` (fp): the least fingerprint that it reaches by links, and by those in ``more`` (a, b)."""
+    links = fingerprint_links(spark, fps, radius, split)
+    roots = connected_components(spark, links if more is None else links.unionByName(more)).withColumnRenamed("id", "fp")
     return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -173,14 +177,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...), one of each component: that of the least doc_id (null last), then of the least hash of the text; of rows equal in both, any one."""
+    """The rows of ``docs`` (doc_id, text, ...), one of each group of near copies: that of the least doc_id (null last), then of the least hash of the text; of rows equal in both, any one.
+
+    Documents are near if their fingerprints link, or if the sketches of their five-word shingles agree as those of texts
+    at a similarity of 0.8 do (``minhash``): 4 of 64 bits are tighter than that similarity.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = whole.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("key"))
+    keyed = whole.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"))
+    kind = keyed.schema["id"].dataType.simpleString()
     source = keyed.select("id", "key", F.col("row.text").alias("text"))
-    prints = written(spark, source.mapInArrow(_keyed_fingerprints, "id long, key long, fp long"), "fingerprints")
+    prints = written(spark, source.mapInArrow(_keyed_fingerprints, f"id {kind}, key long, fp long, sketch binary, bands array<long>"), "fingerprints")
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best"))
     fps = written(spark, best, "nodes")
-    nodes = fps.join(fingerprint_roots(spark, fps.select("fp"), radius, split), "fp")
+    texts = prints.filter("sketch is not null").groupBy("key").agg(F.first(F.struct(F.col("fp").alias("node"), "sketch", "bands")).alias("text")).select("text.*")
+    nodes = fps.join(fingerprint_roots(spark, fps.select("fp"), radius, split, sketch_links(spark, texts)), "fp")
     kept = nodes.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.key")
     same = keyed.id.eqNullSafe(kept.id) & (keyed.key == kept.key)
     return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
