@@ -205,6 +205,7 @@ def running_sum(x): return _call("cumsum", lambda a: F.sum(a).over(_by_code().ro
 def running_max(x): return _call("cummax", lambda a: F.max(a).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
 def row_index(): return _call("row_index", lambda: F.row_number().over(_by_code()).cast("double"), window=True)
 def positive_variance(x, d: int): return ts_count(lit(x) > 0, d) * _rolling("variance", F.var_pop, where(lit(x) > 0, x, None), d, 1) / float(d)
+def negative_variance(x, d: int): return positive_variance(-lit(x), d)
 def ts_skew(x, d: int): return _rolling("ts_skew", F.skewness, x, d, d)
 def ts_kurt(x, d: int): return _rolling("ts_kurt", F.kurtosis, x, d, d)
 

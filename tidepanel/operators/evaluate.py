@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
+from ..functions.statistics import student_p
 from .select import long_short_weight
 from .transform import quantize
 
@@ -69,9 +70,10 @@ def ic_weights(df: DataFrame, factors: list[str], label: str) -> DataFrame:
 
 
 def information_analysis(ic: DataFrame) -> DataFrame:
-    """Mean, deviation, ratio, t statistic, skew and excess kurtosis of a series of coefficients."""
+    """Mean, deviation, ratio, t statistic and its two-sided p value, skew and excess kurtosis of a series of coefficients."""
     mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
-    return ic.agg(mean.alias("mean"), std.alias("std"), F.try_divide(mean, std).alias("ir"), (F.try_divide(mean, std) * F.sqrt(n)).alias("t"), F.skewness("ic").alias("skew"), F.kurtosis("ic").alias("kurt"), n.alias("n"))
+    found = ic.agg(mean.alias("mean"), std.alias("std"), F.try_divide(mean, std).alias("ir"), (F.try_divide(mean, std) * F.sqrt(n)).alias("t"), F.skewness("ic").alias("skew"), F.kurtosis("ic").alias("kurt"), n.alias("n"))
+    return found.withColumn("p", student_p(F.col("t"), F.col("n") - 1))
 
 
 def factor_returns(df: DataFrame, value: str = "value", label: str = "label") -> DataFrame:

@@ -112,3 +112,43 @@ def sign_class(df: DataFrame, label: str = "label") -> DataFrame:
 def group_class(df: DataFrame, bins: int, label: str = "label") -> DataFrame:
     """The label's bucket among its date, from 1."""
     return quantize(df, bins, label, "_q").withColumn(label, F.col("_q")).drop("_q")
+
+
+def _dated(df: DataFrame, rows: int) -> DataFrame:
+    """(date, _i, label_end) of the dates of ``df`` in order, as many as the calendar has: their numbers, and the date so many dates on."""
+    w = Window.orderBy("date")
+    return df.select("date").distinct().select("date", F.row_number().over(w).alias("_i"), F.lead("date", rows).over(w).alias("label_end"))
+
+
+def double_mean_returns(bars: DataFrame, short: int, long: int, rows: int, unit: str = "day", price: str = "close") -> DataFrame:
+    """(date, code, label, label_end): what a rule earns over the next ``rows`` dates that holds a code while its short mean is not below its long one.
+
+    ``bars`` are bars within the unit (date, code, price), taken by the rule from the bar after its signal.  Returns are added up by unit;
+    units in which the rule earns nothing on any code are no dates; a code without bars on one of the dates has no label.
+    """
+    w = Window.partitionBy("code").orderBy("date")
+    p = F.col(price)
+    mean = lambda n: F.when(F.count(p).over(w.rowsBetween(1 - n, 0)) == n, F.avg(p).over(w.rowsBetween(1 - n, 0)))
+    df = bars.withColumns({"_up": mean(short) >= mean(long), "_ret": p / F.lag(p).over(w) - 1})
+    df = df.withColumn("_earned", F.when(F.coalesce(F.lag("_up").over(w), F.lit(False)), F.col("_ret")).otherwise(F.lit(0.0)))
+    day = df.groupBy(F.date_trunc(unit, "date").cast("date").alias("date"), "code").agg(F.coalesce(F.sum("_earned"), F.lit(0.0)).alias("_earned"))
+    dates = _dated(day.filter("_earned <> 0"), rows)
+    ahead = Window.partitionBy("code").orderBy("_i").rangeBetween(1, rows)
+    full = day.join(dates, "date").withColumn("label", F.when(F.count("_earned").over(ahead) == rows, F.sum("_earned").over(ahead)))
+    return full.select("date", "code", "label", "label_end")
+
+
+def intraday_sharpe(bars: DataFrame, ahead: int, rows: int, unit: str = "day", price: str = "close", digits: int = 4) -> DataFrame:
+    """(date, code, label, label_end): mean over deviation of the next ``ahead`` bars' returns as known from the last bar of a unit, scaled by the date.
+
+    The last value of the unit that there is counts; ``label_end`` is ``rows`` dates on, null at the end.
+    """
+    w = Window.partitionBy("code").orderBy("date")
+    p = F.col(price)
+    df = bars.withColumn("_ret", p / F.lag(p).over(w) - 1)
+    next_ = w.rowsBetween(1, ahead)
+    sharpe = F.when(F.count("_ret").over(next_) == ahead, F.try_divide(F.avg("_ret").over(next_), F.stddev_samp("_ret").over(next_)))
+    day = df.withColumn("_s", sharpe).filter("_s is not null").groupBy(F.date_trunc(unit, "date").cast("date").alias("date"), "code").agg(F.max_by("_s", "date").alias("_s"))
+    on = Window.partitionBy("date")
+    scaled = F.round(F.try_divide(F.col("_s") - F.avg("_s").over(on), F.stddev_samp("_s").over(on)) + ROUND, digits)
+    return day.withColumn("label", scaled).filter("label is not null").join(_dated(day, rows), "date").select("date", "code", "label", "label_end")

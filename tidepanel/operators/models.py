@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
+from ..functions.statistics import student_p
 from .evaluate import information_coefficient
 
 
@@ -85,8 +86,9 @@ def walk_forward_predict(df: DataFrame, factors: list[str], label: str, out: str
 
 
 def regression_report(df: DataFrame, value: str, label: str) -> DataFrame:
-    """(n, slope, intercept, r2, t) of the pooled regression of the label on the value."""
+    """(n, slope, intercept, r2, t, p) of the pooled regression of the label on the value."""
     n, r2 = F.regr_count(label, value), F.regr_r2(label, value)
     slope = F.regr_slope(label, value)
     t = F.signum(slope) * F.sqrt(F.try_divide(r2 * (n - 2), 1 - r2))
-    return df.agg(n.alias("n"), slope.alias("slope"), F.regr_intercept(label, value).alias("intercept"), r2.alias("r2"), t.alias("t"))
+    found = df.agg(n.alias("n"), slope.alias("slope"), F.regr_intercept(label, value).alias("intercept"), r2.alias("r2"), t.alias("t"))
+    return found.withColumn("p", student_p(F.col("t"), F.col("n") - 2))

@@ -71,7 +71,7 @@ def turnover_weights(df: DataFrame, value: str, benchmark: str, tilt: float, ind
 
     Where no weights within the bounds meet the limit, those of the least turnover.  A null previous weight is 0.
     """
-    base = _prepared(df, value, benchmark, tilt, industry, band, previous)
+    base = _prepared(df, value, benchmark, tilt, industry, band, previous).persist()  # read once for all rounds, and by the result
     kind = df.schema["date"].dataType.simpleString()
     spread = base.groupBy("date").agg((F.max("_s") - F.min("_s")).alias("d")).collect()  # one row a date, as below
     brackets = {r.date: (0.0, float(r.d) * 1.001 + 1e-12) for r in spread}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.statistics import student_p
 from .evaluate import ic_summary, information_coefficient
 from .transform import quantize
 
@@ -142,24 +145,50 @@ def rank_correlations(df: DataFrame, factors: list[str]) -> DataFrame:
 
 def quantile_regression(df: DataFrame, y: str, x: str, q: float = 0.5, rounds: int = 60, ridge: float = 1e-9) -> tuple[float, float]:
     """(intercept, slope) that minimise the q-weighted absolute residuals: least squares, weighted again each round by one aggregation."""
-    known = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).na.drop()
+    known = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).na.drop().persist()  # read once for all rounds
     a, b, floor = 0.0, 0.0, None
-    for _ in range(rounds):
+    for k in range(rounds):
         r = F.col("y") - a - b * F.col("x")
         w = F.lit(1.0) if floor is None else F.when(r >= 0, q).otherwise(1 - q) / F.greatest(F.abs(r), F.lit(floor))
         s = known.agg(*[F.sum(w * t).alias(n) for n, t in (("n", F.lit(1.0)), ("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y")))], F.avg(F.abs(r)).alias("size")).first()
         if not s.n:
-            return float("nan"), float("nan")
+            a = b = float("nan")
+            break
         new_b = (s.n * s.xy - s.x * s.y) / max(s.n * s.xx - s.x * s.x, ridge)
         new_a = (s.y - new_b * s.x) / s.n
         done = floor is not None and np.hypot(new_a - a, new_b - b) < 1e-10 * (1 + np.hypot(a, b))
         a, b = new_a, new_b
         if done:
             break
-        floor = max(1e-12, 1e-6 * s.size)
+        floor = max(1e-12, max(1e-6, 0.5**k) * s.size)  # smooth at first, so that the rounds settle
+    known.unpersist()
     return a, b
 
 
+def quantile_regression_report(df: DataFrame, y: str, x: str, q: float = 0.5, rounds: int = 60) -> DataFrame:
+    """(n, intercept, slope, std_error, t, p) of the regression on the q-quantile.
+
+    The error takes residuals as alike everywhere: their density at the quantile comes from the spread of residuals within a
+    bandwidth of it (Hall and Sheather, at 5 percent), which is that of interpolated quantiles.
+    """
+    a, b = quantile_regression(df, y, x, q, rounds)
+    known = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).na.drop()
+    normal = NormalDist()
+    z = normal.inv_cdf(q)
+    width = normal.inv_cdf(0.975) ** (2 / 3) * (1.5 * normal.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
+    sums = known.agg(F.count("*").alias("n"), (F.var_pop("x") * F.count("*")).alias("sxx"))
+    h = F.least(F.lit(width) * F.pow(F.col("n").cast("double"), F.lit(-1 / 3)), F.lit(min(q, 1 - q) * 0.999))
+    n = sums.first().n
+    share = min(width * n ** (-1 / 3), min(q, 1 - q) * 0.999) if n else 0.25
+    residual = F.col("y") - a - b * F.col("x")
+    edges = known.agg(F.percentile(residual, F.array(F.lit(q - share), F.lit(q + share))).alias("e"))
+    found = sums.join(F.broadcast(edges), how="inner")  # a row on each side
+    error = F.sqrt(F.lit(q * (1 - q)) / F.col("sxx")) * (F.col("e")[1] - F.col("e")[0]) / (2 * h)
+    found = found.select("n", F.lit(a).alias("intercept"), F.lit(b).alias("slope"), error.alias("std_error"))
+    found = found.withColumn("t", F.try_divide("slope", "std_error"))
+    return found.withColumn("p", student_p(F.col("t"), F.col("n") - 2))
+
+
 def evaluation_grid(df: DataFrame, factors: list[str], labels: list[str], universes: dict[str, DataFrame]) -> DataFrame:
     """(factor, label, universe, mean, std, ir, ability, n): the summary of rank correlations for each choice."""
     out = None

@@ -75,7 +75,7 @@ def logistic_fits(df: DataFrame, factors: list[str], label: str, policy: Policy,
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in factors]]
     s = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = _used(df.select("date", *dict.fromkeys(needed)).filter(" and ".join(f"`{c}` is not null" for c in needed)), dates, policy)
-    rows = rows.select("_fits", F.col(label).cast("double").alias("_y"), s.alias("_s"), *[c.alias(f"_x{i}") for i, c in enumerate(x)]).select("*", F.explode("_fits").alias("_fit")).drop("_fits")
+    rows = rows.select("_fits", F.col(label).cast("double").alias("_y"), s.alias("_s"), *[c.alias(f"_x{i}") for i, c in enumerate(x)]).select("*", F.explode("_fits").alias("_fit")).drop("_fits").persist()  # read once for all steps
     x = [F.col(f"_x{i}") for i in range(k)]
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     beta, counts = np.zeros((len(fits), k)), np.zeros(len(fits), np.int64)
@@ -101,6 +101,7 @@ def logistic_fits(df: DataFrame, factors: list[str], label: str, policy: Policy,
                 beta[fit] += np.linalg.solve(hessian, gradient)
         alive &= seen
         beta[~alive] = 0.0
+    rows.unpersist()
     until = [fits[i + 1][0] - 1 if i + 1 < len(fits) else len(dates) - 1 for i in range(len(fits))]
     out = [(dates[t], dates[u], int(n), row.tolist() if ok else None) for (t, _, _), u, n, row, ok in zip(fits, until, counts, beta, alive, strict=True)]
     return spark.createDataFrame(out, schema)
