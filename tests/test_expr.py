@@ -8,6 +8,7 @@ import pytest
 
 from tidepanel.functions import expr as x
 from tidepanel.operators import evaluate, joins, statements, transform
+from tidepanel.plans import cycles
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
 
@@ -124,3 +125,19 @@ def test_barriers_and_episodes(spark):
     nav = spark.createDataFrame([(d, v) for d, v in zip(DAYS, [1.0, 2.0, 1.0, 1.5, 2.0, 1.8], strict=False)], "date date, nav double")
     found = evaluate.drawdown_episodes(nav).orderBy("start").collect()
     assert [(r.start, r.valley, r.end, r.rows) for r in found] == [(DAYS[2], DAYS[2], DAYS[3], 2), (DAYS[5], DAYS[5], DAYS[5], 1)]
+
+
+@pytest.mark.parametrize("period", [9.0, 14.0, 22.5])
+def test_period_and_phase_of_a_known_wave(spark, period):
+    w = 2 * math.pi / period
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    df = spark.createDataFrame([(d, "a", 50 + 7 * math.cos(w * i + 0.4)) for i, d in enumerate(days)], "date date, code string, close double")
+    rows = x.with_factors(df, cycles.cycle(c)).orderBy("date").collect()
+    late = rows[40:]
+    assert [r.period for r in late] == pytest.approx([period] * len(late), rel=1e-6)
+    steps = [(b.phase - a.phase) % (2 * math.pi) for a, b in zip(late, late[1:], strict=False)]
+    assert steps == pytest.approx([w] * len(steps), abs=1e-6)
+    # In phase and quadrature are a quarter turn apart: their squares add up to the same size at every row.
+    size = [r.in_phase**2 + r.quadrature**2 for r in late]
+    assert size == pytest.approx([size[0]] * len(size), rel=1e-6)
+    assert rows[5].period is None and sum(r.turning for r in late) == pytest.approx(len(late) / period, abs=1)

@@ -12,7 +12,7 @@ W = "(PARTITION BY code ORDER BY date ROWS BETWEEN {p} PRECEDING AND CURRENT ROW
 _PLAIN = {
     "add": "({0} + {1})", "sub": "({0} - {1})", "mul": "({0} * {1})", "div": "(CAST({0} AS DOUBLE) / nullif(CAST({1} AS DOUBLE), 0))",
     "lt": "({0} < {1})", "le": "({0} <= {1})", "gt": "({0} > {1})", "ge": "({0} >= {1})", "and": "({0} AND {1})", "or": "({0} OR {1})", "same": "({0} = {1})",
-    "abs": "abs({0})", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "exp": "exp({0})", "sqrt": "CASE WHEN {0} >= 0 THEN sqrt({0}) END", "sign": "CAST(sign({0}) AS DOUBLE)", "cbrt": "cbrt({0})",
+    "abs": "abs({0})", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "exp": "exp({0})", "sqrt": "CASE WHEN {0} >= 0 THEN sqrt({0}) END", "sign": "CAST(sign({0}) AS DOUBLE)", "cbrt": "cbrt({0})", "sin": "sin({0})", "acos": "CASE WHEN abs({0}) <= 1 THEN acos({0}) END", "atan2": "CASE WHEN {0} <> 0 OR {1} <> 0 THEN atan2({0}, {1}) END",
     "pow": "pow({0}, {1})", "spow": "(sign({0}) * pow(abs({0}), {1}))", "max2": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END", "min2": "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END",
     "where": "CASE WHEN {0} THEN {1} ELSE {2} END", "coalesce": "coalesce({0}, {1})",
 }

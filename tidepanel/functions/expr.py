@@ -76,6 +76,9 @@ def log(x): return _call("log", lambda a: F.when(a > 0, F.ln(a)), x)
 def exp(x): return _call("exp", F.exp, x)
 def sqrt(x): return _call("sqrt", lambda a: F.when(a >= 0, F.sqrt(a)), x)
 def sign(x): return _call("sign", F.signum, x)
+def sine(x): return _call("sin", F.sin, x)
+def arc_cosine(x): return _call("acos", lambda a: F.when(F.abs(a) <= 1, F.acos(a)), x)
+def angle(y, x): return _call("atan2", lambda a, b: F.when((a != 0) | (b != 0), F.atan2(a, b)), y, x)
 def cube_root(x): return _call("cbrt", F.cbrt, x)
 def power(x, y): return _call("pow", F.pow, x, y)
 def signed_power(x, a): return _call("spow", lambda v, e: F.signum(v) * F.pow(F.abs(v), e), x, a)

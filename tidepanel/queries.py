@@ -111,3 +111,4 @@ from . import query_scans  # noqa: E402, F401
 from . import query_walk  # noqa: E402, F401
 from . import query_optimise  # noqa: E402, F401
 from . import query_tests  # noqa: E402, F401
+from . import query_cycles  # noqa: E402, F401
