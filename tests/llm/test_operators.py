@@ -484,3 +484,26 @@ def test_packing_of_texts(spark):
     rows = [(1, None), (1, None), (2, ""), (None, "a b"), (3, "w " * 9000)]
     got = packing.pack_texts(spark, docs(spark, rows).withColumn("n_tokens", F.lit(1)).withColumn("piece", F.lit("x"))).collect()
     assert sorted((str(r.doc_id), r.piece, r.n_tokens) for r in got) == [("1", 0, 1), ("1", 0, 1), ("2", 0, 1), ("3", 0, 8192), ("3", 1, 809), ("None", 0, 3)]
+
+
+def test_packing_leads_back_to_the_words_and_does_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.choice([0, 3, 400, 900])))) for i in range(60)]
+    rows += [(None, "n " * 700), (None, "m " * 20), (5, "again " * 30), (5, rows[5][1]), (7, None), (3_000_000_000_000_000_001, "big id")] + [(8, "same words")] * 30
+    df = docs(spark, rows)
+    at = [packing.pack_texts(spark, df.repartition(n), (128, 256), 3000).collect() for n in (3, 7)]
+    assert sorted(map(str, at[0])) == sorted(map(str, at[1])) and len({r.sequence_id >> 32 for r in at[0]}) > 4
+    key = {(r.doc_id, r.key): r.text for r in df.select("doc_id", F.xxhash64("text").alias("key"), "text").collect()}
+    pieces = {}
+    for r in at[0]:
+        pieces.setdefault((r.doc_id, r.text_key, r.copy), []).append(r)
+    assert len(pieces) == len(rows) and any(i == 3_000_000_000_000_000_001 for i, _, _ in pieces)
+    for (i, k, _), parts in pieces.items():
+        words, parts = (key[i, k] or "").split(), sorted(parts, key=lambda r: r.piece)
+        assert [w for r in parts for w in words[r.start_word : r.end_word]] == words and sum(r.n_tokens for r in parts) == len(words) + 1
+        assert all(r.end_word - r.start_word == r.n_tokens for r in parts[:-1]) and parts[-1].end_word - parts[-1].start_word == parts[-1].n_tokens - 1
+
+
+def test_packing_of_text_ids(spark):
+    df = spark.createDataFrame([("a", "x y"), ("b", "z"), (None, None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in packing.pack_texts(spark, df).collect()) == [("None", 1), ("a", 3), ("b", 2)]

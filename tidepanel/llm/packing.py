@@ -9,9 +9,9 @@ first, with the pieces of the shard that are still to come and that no sequence
 opened before expects.  In the end each sequence is cut down to the least
 permitted length that holds its contents, so the capacities that were opened only steer.
 
-Pieces are dealt over shards by a hash of document, piece, length and place in the
-table, so that rows that repeat are dealt like others, about ``SHARD`` tokens a
-shard; their number follows from the total.  A shard is packed by itself and its
+Pieces are dealt over shards by a hash of document, text, piece and number among equal
+rows, so that rows that repeat are dealt like others and the order of rows and their partitions
+do not matter, about ``SHARD`` tokens a shard; their number follows from the total.  A shard is packed by itself and its
 memory does not depend on the input.
 
 Defined cases: lengths are words plus one end mark, so null and empty texts have
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,25 +106,54 @@ def word_count(column: str = "text"):
     return F.coalesce(F.regexp_count(F.col(column), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
 
 
+BLOCK = 1 << 16
+
+
+def _copies(lengths: DataFrame) -> DataFrame:
+    """``lengths`` with ``copy``, which numbers equal rows from 0, wherever they are: by their count, so that no window holds them."""
+    kept = lengths.columns
+    counted = lengths.groupBy(*kept).agg(F.count("*").alias("_n"))
+    blocks = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK))).alias("_b"))
+    return blocks.select(*kept, F.explode(F.sequence(F.col("_b") * BLOCK, F.least(F.col("_n"), (F.col("_b") + 1) * BLOCK) - 1)).alias("copy"))
+
+
 def pack_documents(spark: SparkSession, lengths: DataFrame, permitted: tuple[int, ...] = LENGTHS, shard: int = SHARD) -> DataFrame:
-    """Packs rows (doc_id, n_tokens).  One row a piece: doc_id, piece, n_tokens, sequence_id, position in the sequence, sequence_length, sequence_tokens."""
+    """Packs rows (doc_id, n_tokens) or (doc_id, text_key, n_tokens), of which the last token is an end mark.
+
+    One row a piece: doc_id, text_key and copy, which name a row also where ids repeat or lack; piece, n_tokens, start_word and end_word (exclusive; the
+    last piece holds the end mark besides), sequence_id, position in the sequence, sequence_length, sequence_tokens.
+    """
     longest = max(permitted)
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard))
+    if "text_key" not in lengths.columns:
+        lengths = lengths.withColumn("text_key", F.lit(0).cast("long"))
+    rows = _copies(lengths.select("doc_id", "text_key", "n_tokens"))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n_tokens") - 1) / longest).cast("int")))).alias("piece")
-    pieces = lengths.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row")).select("doc_id", "n_tokens", "row", piece).select("doc_id", "piece", "row", F.least(F.lit(longest), F.col("n_tokens") - F.col("piece") * longest).cast("int").alias("n_tokens"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "row"), F.lit(shards))).drop("row")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        where, sizes = pack(pdf["n_tokens"].tolist(), permitted)
-        b = pd.Series(where)
-        before = pdf["n_tokens"].groupby(b).cumsum() - pdf["n_tokens"]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": pdf["n_tokens"], "sequence_id": key[0] * (1 << 32) + b, "position": before, "sequence_length": b.map(sizes.__getitem__), "sequence_tokens": pdf["n_tokens"].groupby(b).transform("sum")})
-
-    return pieces.groupBy("shard").applyInPandas(run, "doc_id long, piece int, n_tokens int, sequence_id long, position long, sequence_length int, sequence_tokens long")
+    start = (F.col("piece") * longest).cast("long")
+    words = F.least(start + longest, F.col("n_tokens") - 1)
+    pieces = rows.select("*", piece).select("doc_id", "text_key", "copy", "piece", F.least(F.lit(longest), F.col("n_tokens") - start).cast("int").alias("n_tokens"), start.alias("start_word"), words.alias("end_word"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key", "copy", "piece"), F.lit(shards)))
+    kept = ["doc_id", "text_key", "copy", "piece", "n_tokens", "start_word", "end_word"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_tokens", "descending"), *((k, "ascending") for k in kept if k != "n_tokens")])
+        sizes = table.column("n_tokens").to_pylist()
+        where, used = pack(sizes, permitted)
+        held, before = [0] * len(used), []
+        for b, size in zip(where, sizes, strict=True):
+            before.append(held[b])
+            held[b] += size
+        base = table.column("shard")[0].as_py() * (1 << 32)
+        made = {"sequence_id": pa.array([base + b for b in where], pa.int64()), "position": pa.array(before, pa.int64()), "sequence_length": pa.array([used[b] for b in where], pa.int32()), "sequence_tokens": pa.array([held[b] for b in where], pa.int64())}
+        return pa.table({k: table.column(k) for k in kept} | made)
+
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, text_key long, copy long, piece int, n_tokens int, start_word long, end_word long, sequence_id long, position long, sequence_length int, sequence_tokens long"
+    return pieces.groupBy("shard").applyInArrow(run, schema)
 
 
 def pack_texts(spark: SparkSession, docs: DataFrame, permitted: tuple[int, ...] = LENGTHS, shard: int = SHARD) -> DataFrame:
-    lengths = written(spark, docs.select(F.col("doc_id").cast("long"), word_count().alias("n_tokens")), "lengths")  # texts are read once
+    """``pack_documents`` of the words of ``docs`` (doc_id, text); ``text_key`` is the xxhash64 of the text."""
+    lengths = written(spark, docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_count().alias("n_tokens")), "lengths")  # texts are read once
     return pack_documents(spark, lengths, permitted, shard)
