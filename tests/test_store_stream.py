@@ -128,7 +128,7 @@ def test_running_means_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     expected = sorted(tuple(r) for r in batch.collect())
     assert len(expected) == 300
     arriving = sorted(rows + rng.sample(rows, 60), key=lambda r: r[1] + dt.timedelta(minutes=rng.randint(0, 50)))
-    files = [arriving[i : i + 60] for i in range(0, len(arriving), 60)] + [[(10_000, start + dt.timedelta(days=90), "end", 1.0)], [(10_001, start, "a", 1e9), (10_002, start + dt.timedelta(days=91), "end", 1.0)]]
+    files = [arriving[i : i + 130] for i in range(0, len(arriving), 130)] + [[(10_000, start + dt.timedelta(days=90), "end", 1.0)], [(10_001, start, "a", 1e9), (10_002, start + dt.timedelta(days=91), "end", 1.0)]]
     for k, part in enumerate(files):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={k:02d}"))
     store = FactorStore(spark, str(tmp_path / "store"))
