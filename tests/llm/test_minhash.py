@@ -60,7 +60,7 @@ def test_sketches_agree_as_often_as_sets_are_alike():
 def test_near_copies_of_different_texts_are_found(spark, split, hubs, monkeypatch):
     texts = corpus(2)
     prints, bands = minhash.sketches(pa.array(texts))
-    df = spark.createDataFrame([(i, p, b.tolist()) for i, (p, b) in enumerate(zip(prints, bands, strict=True))], "node long, sketch binary, bands array<long>")
+    df = spark.createDataFrame([(i + 7, i, p, b.tolist()) for i, (p, b) in enumerate(zip(prints, bands, strict=True))], "key long, node long, sketch binary, bands array<long>")
     links = [(r.a, r.b) for r in minhash.sketch_links(spark, df, split, hubs).collect()]
     root = components(len(texts), links)
     near = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] != texts[j] and similarity(texts[i], texts[j]) >= 0.8]

@@ -189,8 +189,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, spli
     prints = written(spark, source.mapInArrow(_keyed_fingerprints, f"id {kind}, key long, fp long, sketch binary, bands array<long>"), "fingerprints")
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best"))
     fps = written(spark, best, "nodes")
-    texts = prints.filter("sketch is not null").groupBy("key").agg(F.first(F.struct(F.col("fp").alias("node"), "sketch", "bands")).alias("text")).select("text.*")
-    nodes = fps.join(fingerprint_roots(spark, fps.select("fp"), radius, split, sketch_links(spark, texts)), "fp")
+    texts = prints.filter("sketch is not null").groupBy("key").agg(F.first(F.struct(F.col("fp").alias("node"), "sketch", "bands")).alias("text")).select("key", "text.*")
+    near = sketch_links(spark, written(spark, texts, "texts"))
+    nodes = fps.join(fingerprint_roots(spark, fps.select("fp"), radius, split, near), "fp")
     kept = nodes.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.key")
     same = keyed.id.eqNullSafe(kept.id) & (keyed.key == kept.key)
     return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
