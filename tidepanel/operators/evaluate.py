@@ -27,9 +27,22 @@ def information_coefficient(df: DataFrame, value: str = "value", label: str = "l
     return ranked.groupBy("date").agg(F.try_divide(F.covar_pop("_a", "_b"), spread).alias("ic"))
 
 
-def ic_summary(ic: DataFrame) -> DataFrame:
+def information_coefficients(df: DataFrame, factors: list[str], labels: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(date, by, factor, label, ic): the Spearman correlation for each pair of a factor and a label, and each value of ``by``.
+
+    Rows are melted once, so the source is read once and all pairs share one exchange, whatever their number.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(k).alias("label"), F.col(f"`{f}`").cast("double").alias("_x"), F.col(f"`{k}`").cast("double").alias("_y")) for f in factors for k in labels]))
+    melted = df.select("date", *by, pairs.alias("_p")).select("date", *by, "_p.*").filter("_x is not null and _y is not null")
+    group = (*by, "factor", "label")
+    ranked = x.with_factors(melted, {"_a": x.average_rank(x.col("_x"), group), "_b": x.average_rank(x.col("_y"), group)})
+    spread = F.stddev_pop("_a") * F.stddev_pop("_b")
+    return ranked.groupBy("date", *group).agg(F.try_divide(F.covar_pop("_a", "_b"), spread).alias("ic"))
+
+
+def ic_summary(ic: DataFrame, *by: str) -> DataFrame:
     mean, std = F.avg("ic"), F.stddev_samp("ic")
-    return ic.agg(mean.alias("mean"), std.alias("std"), F.try_divide(mean, std).alias("ir"), F.avg((F.abs("ic") >= 0.02).cast("double")).alias("ability"), F.count("ic").alias("n"))
+    return ic.groupBy(*by).agg(mean.alias("mean"), std.alias("std"), F.try_divide(mean, std).alias("ir"), F.avg((F.abs("ic") >= 0.02).cast("double")).alias("ability"), F.count("ic").alias("n"))
 
 
 def quantile_returns(df: DataFrame, bins: int, value: str = "value", label: str = "label") -> DataFrame:
@@ -58,13 +71,7 @@ def metrics(value: DataFrame, periods: int = 12) -> DataFrame:
 
 def ic_weights(df: DataFrame, factors: list[str], label: str) -> DataFrame:
     """(factor, ic, weight): pooled Spearman IC of each factor over the sum of absolute ICs."""
-    parts = []
-    for f in factors:
-        one = information_coefficient(df, f, label).agg(F.avg("ic").alias("ic")).select(F.lit(f).alias("factor"), "ic")
-        parts.append(one)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = information_coefficients(df, factors, [label]).groupBy("factor").agg(F.avg("ic").alias("ic"))
     total = every.agg(F.sum(F.abs("ic")).alias("t"))
     return every.join(F.broadcast(total), how="inner").select("factor", "ic", F.try_divide("ic", "t").alias("weight"))  # one row
 

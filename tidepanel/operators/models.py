@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as x
 from ..functions.statistics import student_p
-from .evaluate import information_coefficient
+from .evaluate import information_coefficients
 
 
 def rank_score(df: DataFrame, factors: list[str], out: str = "score") -> DataFrame:
@@ -26,10 +26,7 @@ def rank_score(df: DataFrame, factors: list[str], out: str = "score") -> DataFra
 
 def forward_ic_weights(df: DataFrame, factors: list[str], label: str, embargo: int = 1) -> DataFrame:
     """(date, factor, weight): mean IC of a factor over the dates up to ``embargo`` before, by the sum of absolutes over the factors."""
-    parts = [information_coefficient(df, f, label).select("date", F.lit(f).alias("factor"), "ic") for f in factors]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = information_coefficients(df, factors, [label]).select("date", "factor", "ic")
     before = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, -embargo)
     known = every.withColumn("mean", F.avg("ic").over(before)).filter("mean is not null")
     return known.select("date", "factor", F.try_divide("mean", F.sum(F.abs("mean")).over(Window.partitionBy("date"))).alias("weight"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import student_p
-from .evaluate import ic_summary, information_coefficient
+from .evaluate import ic_summary, information_coefficient, information_coefficients
 from .transform import quantize
 
 
@@ -190,15 +190,14 @@ def quantile_regression_report(df: DataFrame, y: str, x: str, q: float = 0.5, ro
 
 
 def evaluation_grid(df: DataFrame, factors: list[str], labels: list[str], universes: dict[str, DataFrame]) -> DataFrame:
-    """(factor, label, universe, mean, std, ir, ability, n): the summary of rank correlations for each choice."""
-    out = None
-    for name, members in universes.items():
-        inside = df.join(members.select("date", "code").distinct(), ["date", "code"], "left_semi")
-        for f in factors:
-            for k in labels:
-                one = ic_summary(information_coefficient(inside, f, k)).select(F.lit(f).alias("factor"), F.lit(k).alias("label"), F.lit(name).alias("universe"), "*")
-                out = one if out is None else out.unionByName(one)
-    return out
+    """(factor, label, universe, mean, std, ir, ability, n): the summary of rank correlations for each choice, from one reading of the panel."""
+    members = None
+    for name, rows in universes.items():
+        one = rows.select("date", "code").distinct().withColumn("universe", F.lit(name))
+        members = one if members is None else members.unionByName(one)
+    inside = df.join(members, ["date", "code"])
+    summary = ic_summary(information_coefficients(inside, factors, labels, ("universe",)), "factor", "label", "universe")
+    return summary.select("factor", "label", "universe", "mean", "std", "ir", "ability", "n")
 
 
 def single_factor_report(df: DataFrame, bins: int, value: str = "value", label: str = "label") -> dict[str, DataFrame]:

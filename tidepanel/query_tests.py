@@ -82,3 +82,8 @@ r(event_type, k, m5, m20) AS (SELECT event_type, k, CAST(NULL AS DOUBLE), CAST(N
 SELECT event_id, event_type, round(m5 + 3e-8, 4) AS m_5, round(m20 + 3e-8, 4) AS m_20 FROM r JOIN v USING (event_type, k)""",
     lambda s, d: running_means(panels.table(s, d, "events"), _EVENT_MEANS).select("event_id", "event_type", *[x.rounded(k, 4).alias(k) for k in _EVENT_MEANS]),
 )
+simple(
+    "adjusted_bars",
+    f"SELECT date, code, {', '.join(f'round({k} * (1 + month(date) / 100.0::DOUBLE) + 3e-8, 4) AS adj_{k}' for k in ('open', 'high', 'low', 'close'))} FROM ({bars_sql()})",
+    lambda s, d: panels.adjusted(panels.bars(s, d).withColumn("factor", 1 + F.month("date") / F.lit(100.0))).select("date", "code", *[x.rounded(f"adj_{k}", 4).alias(f"adj_{k}") for k in ("open", "high", "low", "close")]),
+)
