@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 DICTIONARY = 96 << 10
 SAMPLE = 120
 LEVEL = 3
@@ -68,7 +70,8 @@ def dictionaries(docs: DataFrame, learns, sample: int = SAMPLE, size: int = DICT
     """Raw dictionary content of each language; no more than that content is collected."""
     usable = docs.select("doc_id", "lang", "text").filter(learns).filter("lang is not null and text is not null and doc_id is not null")
     # Of ids, not rows: rows that share an id stay or go together.
-    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    # Written, so that Spark knows its size and need not deal texts out by language to join it.
+    counts = written(docs.sparkSession, usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), "languages")
     # About four times the sample of a large language, all of a small one.
     thinned = usable.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(THIN)) * F.col("n") <= F.lit(4 * sample * THIN))
     pieces = thinned.select("lang", "doc_id", "text").mapInArrow(_pieces(size), "lang string, doc_id long, cut boolean, piece binary")
