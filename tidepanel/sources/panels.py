@@ -39,14 +39,13 @@ def first_of_duplicates(panel: DataFrame, *order: str) -> DataFrame:
 def densify(panel: DataFrame, unit: str = "month") -> DataFrame:
     """A row for every code and every date of a regular calendar; what was missing is null.
 
-    Each code explodes the calendar between the panel's ends, so there is no cross join.  The codes and the ends come from one
-    aggregation, which both use as it is (a code's own ends lie within the panel's), so that the panel's source is read once for them.
+    Each code explodes the calendar between the panel's ends, so there is no cross join.  Codes and ends are read from the panel's source
+    apart, a column each, without grouping it first.
     """
-    own = panel.groupBy("code").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    ends = own.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+    ends = panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     step = F.expr(f"interval 1 {unit}")
-    codes = own.join(F.broadcast(ends), how="inner")  # one row
-    spine = codes.select(F.explode(F.sequence(F.least("lo", "_lo"), F.greatest("hi", "_hi"), step)).alias("date"), "code")
+    codes = panel.select("code").distinct().join(F.broadcast(ends), how="inner")  # one row
+    spine = codes.select(F.explode(F.sequence("lo", "hi", step)).alias("date"), "code")
     return spine.join(panel, ["date", "code"], "left")
 
 
