@@ -66,6 +66,14 @@ def test_asof_and_intervals(spark):
     assert sorted((r.code, r.date) for r in joins.expand_intervals(spans).collect()) == [("a", DAYS[0]), ("a", DAYS[1])]
 
 
+def test_intervals_that_overlap_are_dealt_to_many_tasks(spark):
+    spans = spark.createDataFrame([("a", 0, 3), ("a", 1, 2), ("a", 2, 5), ("a", 6, 7), ("a", 5, 6), ("b", 4, 4)], "code string, lo int, hi int").selectExpr("code", "date_add(date'2024-01-01', lo) as start_date", "date_add(date'2024-01-01', hi) as end_date")
+    out = joins.expand_intervals(spans)
+    assert [(r.code, r.date.day - 1) for r in out.orderBy("code", "date").collect()] == [("a", i) for i in range(7)]
+    # A few rows make many days: adaptive plans shall not put them into one task.
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_group_neutralisation_and_residual(spark):
     rows = [(DAYS[0], k, g, v, s) for k, g, v, s in (("a", "x", 1.0, 1.0), ("b", "x", 3.0, 2.0), ("c", "y", 10.0, 5.0), ("d", "y", 2.0, 4.0))]
     df = spark.createDataFrame(rows, "date date, code string, g string, value double, size double")

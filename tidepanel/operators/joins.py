@@ -53,9 +53,19 @@ def forward_fill(df: DataFrame, columns: list[str], limit: int | None = None) ->
 
 
 def expand_intervals(intervals: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """(date, code) for each day of [start, end): every row explodes its own days, without a range join."""
-    days = F.sequence(F.to_date(start), F.date_sub(F.to_date(end), 1))
-    return intervals.filter(F.to_date(start) < F.to_date(end)).select(F.explode(days).alias("date"), "code").distinct()
+    """(date, code) for each day of [start, end): overlapping intervals of a code are made one, which explodes its own days, without a range join.
+
+    The days need no comparison, as intervals made one have none in common.  Few intervals make many days, so they are dealt to
+    tasks by number, which their own size would not do.
+    """
+    spark = intervals.sparkSession
+    w = Window.partitionBy("code").orderBy("_lo", "_hi")
+    known = intervals.select("code", F.to_date(start).alias("_lo"), F.to_date(end).alias("_hi")).filter("_lo < _hi")
+    seen = known.withColumn("_seen", F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = seen.withColumn("_n", F.count(F.when(F.col("_seen").isNull() | (F.col("_lo") > F.col("_seen")), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = spans.groupBy("code", "_n").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return joined.repartition(tasks).select(F.explode(F.sequence("_lo", F.date_sub("_hi", 1))).alias("date"), "code")
 
 
 def resample_last(df: DataFrame, unit: str, values: list[str]) -> DataFrame:
