@@ -138,3 +138,19 @@ def test_running_means_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     q.awaitTermination()
     text = lambda rows: sorted(f"{ts} {code} {'' if m is None else round(m, 6)}" for ts, code, m in rows)
     assert text(tuple(r) for r in store.load("m_5").filter("code <> 'end'").collect()) == text((ts, code, m) for _, ts, code, _, m, _ in expected)
+
+
+def test_running_means_of_many_rows_of_one_day_are_summed_by_blocks(spark):
+    from tidepanel.operators.scan import span_of
+
+    n = 3 * span_of(1 - 2 / 4)  # some blocks of the shorter mean
+    events = spark.range(n).selectExpr("id as event_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "'a' as event_type", "cast(pmod(id * 7919, 1000) as double) as value")
+    out = running_means(events, {"m3": 3, "m20": 20})
+    found = {r.event_id: (r.m3, r.m20) for r in out.collect()}
+    means = [0.0, 0.0]
+    for k in range(1, n + 1):
+        v = float((k - 1) * 7919 % 1000)
+        means = [m + v / p if k <= p else m * (1 - 2 / (p + 1)) + v * (2 / (p + 1)) for m, p in zip(means, (3, 20), strict=True)]
+        assert found[k - 1] == tuple(pytest.approx(m, rel=1e-12) if k >= p else None for m, p in zip(means, (3, 20), strict=True))
+    # A bucket's rows are never one array, which a fold would copy for each row.
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()

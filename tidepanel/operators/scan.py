@@ -8,6 +8,8 @@ long history spreads over many tasks, and a bucket holds as many rows as its uni
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,62 @@ def seeded(value: Column, index: Column, n: int, alpha: float | None = None) ->
     return F.when(value.isNull(), None).when(first, 1.0).otherwise(1 - alpha), F.when(first, value / n).otherwise(value * alpha)
 
 
+def span_of(decay: float) -> int:
+    """Steps over which ``decay`` falls to about 1e-200."""
+    return max(2, int(460 / -math.log(decay))) if decay > 0 else 1 << 40
+
+
+def decayed(value: Column, index: Column, n: int, alpha: float | None = None) -> tuple[Column, Column, Column]:
+    """(block, place in it, term) of a seeded exponential mean as running sums: within a block the mean is decay ** place times the sum of terms.
+
+    Terms grow as decay falls, so what a sum rounds away decays with it.  A block ends before they overflow; of the blocks before, only
+    the last value of the one just before still weighs anything (``decayed_mean``).
+    """
+    alpha = alpha or 2 / (n + 1)
+    decay = max(0.0, 1 - alpha)
+    after = F.greatest(index - n, F.lit(0)).cast("long")
+    span = span_of(decay)
+    place = F.pmod(after, F.lit(span))
+    term = F.when(index <= n, value / n).otherwise(value * alpha * F.pow(F.lit(decay), -place) if decay else F.lit(0.0))
+    return F.floor(after / span), place, term
+
+
+def decayed_mean(value: Column, index: Column, n: int, total: Column, before: Column, alpha: float | None = None) -> Column:
+    """The mean of the block's running ``total`` of terms and the mean at the end of the block ``before``; null before it is seeded."""
+    alpha = alpha or 2 / (n + 1)
+    decay = max(0.0, 1 - alpha)
+    if not decay:
+        return F.when(index > n, value).when(index == n, total)
+    block, place, _ = decayed(value, index, n, alpha)
+    carried = F.when(block > 0, F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(decay), place + 1)).otherwise(0.0)
+    return F.when(index >= n, total * F.pow(F.lit(decay), place) + carried)
+
+
+def counted(rows: DataFrame, order: list[str], by: str, name: str) -> DataFrame:
+    """``rows`` with their number, from 1, in the order of ``order``, of which ``_bucket`` is a part that does not fall: a bucket counts by itself, and takes what the buckets before it hold."""
+    inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy(by, BUCKET).orderBy(*order)))
+    sizes = rows.groupBy(by, BUCKET).agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    past = sizes.select(by, BUCKET, F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_past"))
+    return inside.join(past, [by, BUCKET]).withColumn(name, F.col("_in") + F.col("_past")).drop("_in", "_past")
+
+
+def means_in_order(rows: DataFrame, periods: dict[str, int], value: str, order: list[str], by: str, unit: str, at: str) -> DataFrame:
+    """``rows`` with exponential means of ``value``, which is never null, however many rows ``by`` holds: numbered by buckets of ``unit`` of the time ``at``, then summed by blocks."""
+    df = counted(rows.withColumn(BUCKET, F.date_trunc(unit, at)), order, by, "_k").drop(BUCKET)
+    for name, n in periods.items():
+        block, place, term = decayed(F.col(value), F.col("_k"), n)
+        span = span_of(1 - 2 / (n + 1)) if n > 1 else span_of(0.0)
+        df = df.withColumns({"_block": block, "_term": term})
+        total = F.sum("_term").over(Window.partitionBy(by, "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("_total", total)
+        # One row a block.
+        ends = df.filter((place == span - 1) & (F.col("_k") >= n)).select(by, (F.col("_block") + 1).alias("_block"), (F.col("_total") * F.pow(F.lit(1 - 2 / (n + 1)), place)).alias("_before"))
+        df = df.join(ends, [by, "_block"], "left")
+        df = df.withColumn(name, decayed_mean(F.col(value), F.col("_k"), n, F.col("_total"), F.col("_before"))).drop("_block", "_term", "_total", "_before")
+    return df
+
+
 def sma_period(n: int, m: int = 1) -> int:
     """The period of the mean that weighs a new value m / n, cut to whole rows."""
     return int(2 / (m / n) - 1)

@@ -1,7 +1,7 @@
 """Exponential means of events in the order of their times, over a batch or a stream.
 
-A batch is cut into buckets of days, folded by the associative scan, so that a type of event with very many rows
-spreads over tasks.  A stream keeps for each type the running means and the rows whose turn has not come: rows wait
+A batch is numbered by buckets of days and summed by blocks of rows, each a running sum of decaying terms, so that a type
+of event with very many rows spreads over tasks.  A stream keeps for each type the running means and the rows whose turn has not come: rows wait
 in the state until the watermark has passed their time, then they are taken in the order of (ts, event_id).  So shuffled
 rows, within the allowed lateness, and repeated ones give what the batch gives; a row that comes after the watermark is left
 out.  What a state holds is bounded by the rows of the allowed lateness.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scan import BUCKET, linear_scan, seeded
+from ..operators.scan import means_in_order
 from ..sources.panels import FactorStore
 
 
@@ -29,10 +29,8 @@ def running_means(events: DataFrame, periods: dict[str, int], late: str = "1 hou
 
 def _batch(rows: DataFrame, periods: dict[str, int], key: str, unit: str) -> DataFrame:
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy("ts", "value"))).filter("_n = 1").drop("_n")
-    df = once.withColumns({BUCKET: F.date_trunc(unit, "ts"), "_at": F.struct("ts", "event_id")})
-    df = linear_scan(df, {"_k": (F.lit(1.0), F.lit(1.0))}, order="_at", by=key)
-    df = linear_scan(df, {name: seeded(F.col("value"), F.col("_k"), n) for name, n in periods.items()}, order="_at", by=key)
-    return df.select("event_id", "ts", key, "value", *[F.when(F.col("_k") >= n, F.col(name)).alias(name) for name, n in periods.items()])
+    df = means_in_order(once, periods, "value", ["ts", "event_id"], key, unit, "ts")
+    return df.select("event_id", "ts", key, "value", *periods)
 
 
 def _stream(rows: DataFrame, periods: dict[str, int], late: str, key: str) -> DataFrame:
