@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import statistics
 
 import numpy as np
 import pytest
@@ -17,6 +18,11 @@ def one_code(spark, values):
     return spark.createDataFrame([(d, "a", v) for d, v in zip(DAYS, values, strict=False)], "date date, code string, close double")
 
 
+def long_code(spark, values):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i), "a", v) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "date date, code string, close double")
+
+
 def values(df, e):
     return [r.value for r in x.with_factors(df, {"value": e}).orderBy("code", "date").collect()]
 
@@ -149,3 +155,61 @@ def test_period_and_phase_of_a_known_wave(spark, period):
     size = [r.in_phase**2 + r.quadrature**2 for r in late]
     assert size == pytest.approx([size[0]] * len(size), rel=1e-6)
     assert rows[5].period is None and sum(r.turning for r in late) == pytest.approx(len(late) / period, abs=1)
+
+
+def test_exponential_mean_of_sparse_values_keeps_its_whole_history(spark):
+    """A window of rows held few values where most are null, and lost what still weighs."""
+    v = [None if i % 10 else (1e6 if i == 0 else float(i % 7)) for i in range(900)]
+    got = values(long_code(spark, v), x.exponential(c, 6, 2 / 13))
+    y, k = 0.0, 0
+    for i, q in enumerate(v):
+        if q is not None:
+            k += 1
+            y = y + q / 6 if k <= 6 else y * (11 / 13) + q * (2 / 13)
+        assert got[i] == (None if q is None or k < 6 else pytest.approx(y, rel=1e-12))
+
+
+def test_exponential_mean_over_blocks_and_of_one_value(spark):
+    v = [float(i * 7919 % 101) for i in range(1500)]  # a weight of 0.5 makes a block of 663 values
+    y, want = 0.0, []
+    for i, q in enumerate(v):
+        y = y + q / 3 if i < 3 else y * 0.5 + q * 0.5
+        want.append(pytest.approx(y, rel=1e-12) if i > 1 else None)
+    df = long_code(spark, v)
+    assert values(df, x.exponential(c, 3)) == want
+    assert values(df, x.exponential(c, 1)) == v
+
+
+def test_long_windows_are_put_together_of_running_parts(spark):
+    n, d = 137, 41
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), "a", None if i % 11 == 3 else (5.1 if i < 60 else float(i * 7919 % 101)), float(i * 31 % 17)) for i in range(n)]
+    df = spark.createDataFrame(rows, "date date, code string, close double, open double")
+    pair = x.correlation(c, x.col("open"), d)
+    full = x.correlation(x.coalesce(c, 3.0), x.col("open"), d)
+    kinds = {"sum": x.ts_sum(c, d), "mean": x.ts_mean(c, d, d), "lo": x.ts_min(c, d), "hi": x.ts_max(c, d), "dev": x.stddev(c, d), "var": x.variance(x.col("open"), d), "pair": pair, "full": full, "slope": x.regression_slope(x.col("open"), x.coalesce(c, 3.0), d), "flat": x.correlation(x.where(c > 1e9, c, 5.1), x.col("open"), d)}
+    out = x.with_factors(df, kinds)
+    found = out.orderBy("date").collect()
+    for i, r in enumerate(found):
+        w = [(q[2], q[3]) for q in rows[max(0, i - d + 1) : i + 1]]
+        v = [a for a, _ in w if a is not None]
+        enough = len(v) >= d // 2
+        near = lambda t: pytest.approx(t, rel=1e-9, abs=1e-9)
+        assert (r["sum"], r["lo"], r["hi"]) == ((near(sum(v)), min(v), max(v)) if enough else (None,) * 3)
+        assert r["dev"] == (near(statistics.pstdev(v)) if enough else None)
+        assert r["mean"] is None and r["pair"] is None and r["flat"] is None
+        if i >= d - 1:
+            a, b = [3.0 if p is None else p for p, _ in w], [q for _, q in w]
+            assert r["var"] == near(statistics.pvariance(b))
+            assert r["full"] == near(statistics.correlation(a, b))
+            assert r["slope"] == near(statistics.linear_regression(a, b).slope)
+        else:
+            assert r["var"] is None and r["full"] is None and r["slope"] is None
+    # No frame of d rows, each of which would be aggregated anew.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert f"RowFrame, -{d - 1}, currentrow" not in plan and "RowFrame" in plan
+
+
+def test_ranks_of_a_date_share_an_exchange(spark):
+    df = spark.createDataFrame([(DAYS[i % 3], str(i), float(i % 5), float(i % 4)) for i in range(12)], "date date, code string, close double, open double")
+    plan = x.with_factors(df, {"r": x.rank(x.delay(c, 1)) + x.rank(x.col("open")) + x.rank(c) + x.rank(x.ts_sum(c, 2))})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

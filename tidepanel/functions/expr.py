@@ -13,6 +13,7 @@ rows of a date.  Missing values are null, never NaN; division by zero is null.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -20,21 +21,29 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import decayed, decayed_mean, span_of
+
 CODE, DATE = "code", "date"
 
 
 @dataclass(frozen=True)
 class Expr:
-    """``build`` makes a Column of the arguments' Columns; ``window`` marks calls that need a column of their own."""
+    """``build`` makes a Column of the arguments' Columns; ``window`` marks calls that need a column of their own.
+
+    ``instead`` makes an equal expression of the arguments that Spark evaluates in the call's place: the same values by other steps.
+    """
 
     name: str
     args: tuple = ()
     params: tuple = ()
     window: bool = False
     build: Callable[..., Column] = field(default=None, compare=False, repr=False)
+    instead: Callable[..., Expr] = field(default=None, compare=False, repr=False)
 
     def __hash__(self):
-        return hash((self.name, self.args, self.params))
+        if "_hash" not in self.__dict__:
+            object.__setattr__(self, "_hash", hash((self.name, self.args, self.params)))
+        return self._hash
 
     def __add__(self, o): return _call("add", lambda a, b: a + b, self, o)
     def __radd__(self, o): return lit(o) + self
@@ -64,8 +73,8 @@ def lit(x) -> Expr:
     return x if isinstance(x, Expr) else Expr("lit", params=(float(x),), build=lambda: F.lit(float(x)))
 
 
-def _call(name: str, build, *args, params: tuple = (), window: bool = False) -> Expr:
-    return Expr(name, tuple(lit(a) for a in args), params, window, build)
+def _call(name: str, build, *args, params: tuple = (), window: bool = False, instead=None) -> Expr:
+    return Expr(name, tuple(lit(a) for a in args), params, window, build, instead)
 
 
 # Elementwise.
@@ -101,14 +110,84 @@ def trailing(d: int):
     return _by_code().rowsBetween(-(int(d) - 1), 0)
 
 
+#: A window of this many rows or more is put together of two running aggregates, as a moving frame is aggregated anew for each row.
+WIDE = 40
+
+
+def _halves(name: str, states: Callable[..., list[Column]], args: tuple, d: int) -> tuple[Expr, Expr]:
+    """Aggregates of a window of d rows in two parts: of the row's block of d rows up to the row, and of the block before from the window's first row on.
+
+    A code is cut into blocks of d rows; both parts are running aggregates, one in the order of dates and one against it.
+    """
+    at = row_index()
+    block = lambda i: Window.partitionBy(CODE, F.floor((i - 1) / d))
+    upto = lambda i, *a: F.struct(*[s.over(block(i).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)).alias(f"s{k}") for k, s in enumerate(states(*a))])
+    onward = lambda i, *a: F.struct(*[s.over(block(i).orderBy(F.desc(DATE)).rowsBetween(Window.unboundedPreceding, 0)).alias(f"s{k}") for k, s in enumerate(states(*a))])
+    first = _call(f"{name}_upto", upto, at, *args, params=(d,), window=True)
+    rest = _call(f"{name}_onward", onward, at, *args, params=(d,), window=True)
+    # The window of a block's last row is the block.
+    lagged = lambda i, r: F.when(F.pmod(i, F.lit(d)) != 0, F.lag(r, d - 1).over(_by_code()))
+    return first, _call(f"{name}_before", lagged, at, rest, params=(d,), window=True)
+
+
+def _moments(a: Column, b: Column | None = None) -> list[Column]:
+    """Count; mean, variance, least and greatest of each; covariance."""
+    one = lambda v: [F.avg(v), F.var_pop(v), F.min(v), F.max(v)]
+    return [F.count(a), *one(a)] if b is None else [F.count(a), *one(a), *one(b), F.covar_pop(a, b)]
+
+
+def _joined(p: Column, q: Column, pair: bool) -> list[Column]:
+    """Of two parts together the count; mean, sum of squares about it, least and greatest of each; sum of products about the means.
+
+    A part without values adds nothing, and values that are all equal have no spread.
+    """
+    n, m = F.coalesce(p["s0"], F.lit(0)), F.coalesce(q["s0"], F.lit(0))
+    both, total = (n > 0) & (m > 0), n + m
+    share = n * m / total.cast("double")
+    gap = lambda k: q[f"s{k}"] - p[f"s{k}"]
+    mean = lambda k: F.when(both, p[f"s{k}"] + gap(k) * (m / total)).when(n > 0, p[f"s{k}"]).otherwise(q[f"s{k}"])
+    products = lambda k, i, j: F.when(both, p[f"s{k}"] * n + q[f"s{k}"] * m + gap(i) * gap(j) * share).when(n > 0, p[f"s{k}"] * n).otherwise(q[f"s{k}"] * m)
+    out, flat = [total], F.lit(False)
+    for k in (1, 5) if pair else (1,):
+        lo, hi = F.least(p[f"s{k + 2}"], q[f"s{k + 2}"]), F.greatest(p[f"s{k + 3}"], q[f"s{k + 3}"])
+        out += [mean(k), F.when(lo == hi, 0.0).otherwise(products(k + 1, k, k)), lo, hi]
+        flat = flat | (lo == hi)
+    return [*out, F.when(flat, 0.0).otherwise(products(9, 1, 5))] if pair else out
+
+
+def _wide(name: str, x, d: int, least: int) -> Expr | None:
+    """A long window's aggregate of its two parts, for those that can be put together."""
+    if name in ("stddev", "stddev_s", "variance"):
+        p, q = _halves("moments", _moments, (x,), d)
+        spread = {"stddev": lambda s, n: F.sqrt(s / n), "variance": lambda s, n: s / n, "stddev_s": lambda s, n: F.when(n > 1, F.sqrt(s / (n - 1)))}[name]
+
+        def build(a, b):
+            n, _, s, _, _ = _joined(a, b, False)
+            return F.when((n >= least) & (n > 0), spread(s, n))
+
+        return _call(f"wide_{name}", build, p, q, params=(d, least))
+    zero = lambda v: F.coalesce(v, F.lit(0))
+    of = {"ts_sum": F.sum, "ts_mean": F.sum, "ts_min": F.min, "ts_max": F.max}[name]
+    p, q = _halves(name, lambda a: [F.count(a), of(a)], (x,), d)
+
+    def whole(a, b):
+        n = zero(a["s0"]) + zero(b["s0"])
+        extreme = {"ts_min": F.least, "ts_max": F.greatest}.get(name)
+        v = extreme(a["s1"], b["s1"]) if extreme else zero(a["s1"]) + zero(b["s1"])
+        return F.when((n >= least) & (n > 0), v / n if name == "ts_mean" else v)
+
+    return _call(f"wide_{name}", whole, p, q, params=(d, least))
+
+
 def _rolling(name: str, agg, x, d: int, least: int | None):
-    least = max(1, int(d) // 2) if least is None else least
+    d, least = int(d), max(1, int(d) // 2) if least is None else least
 
     def build(a):
         w = trailing(d)
         return F.when(F.count(a).over(w) >= least, agg(a).over(w))
 
-    return _call(name, build, x, params=(int(d), least), window=True)
+    wide = (lambda a: _wide(name, a, d, least)) if d >= WIDE and name in ("ts_sum", "ts_mean", "ts_min", "ts_max", "stddev", "stddev_s", "variance") else None
+    return _call(name, build, x, params=(d, least), window=True, instead=wide)
 
 
 def delay(x, d: int): return _call("delay", lambda a: F.lag(a, int(d)).over(_by_code()), x, params=(int(d),), window=True)
@@ -140,14 +219,29 @@ def product(x, d): return exp(ts_sum(log(x), d))
 def adv(money, d): return ts_mean(money, d)
 
 
-def _paired(name: str, agg, x, y, d: int):
-    """Of pairs without a null; null where the window is not full of pairs."""
+def _paired(name: str, agg, x, y, d: int, turned: bool = False):
+    """Of pairs without a null; null where the window is not full of pairs.  ``turned`` marks a call on a pair that others read the other way."""
 
     def build(a, b):
         w, both = trailing(d), a.isNotNull() & b.isNotNull()
         return F.when(F.count(F.when(both, 1)).over(w) == int(d), agg(F.when(both, a), F.when(both, b)).over(w))
 
-    return _call(name, build, x, y, params=(int(d),), window=True)
+    return _call(name, build, x, y, params=(int(d),), window=True, instead=(lambda a, b: _wide_pair(name, a, b, int(d), turned)) if d >= WIDE else None)
+
+
+def _wide_pair(name: str, x: Expr, y: Expr, d: int, turned: bool) -> Expr:
+    """``_paired`` of a long window's two parts, which the calls on a pair share."""
+    both = lambda a, b: (F.when(b.isNotNull(), a).cast("double"), F.when(a.isNotNull(), b).cast("double"))
+    p, q = _halves("pair", lambda a, b: _moments(*both(a, b)), (y, x) if turned else (x, y), d)
+
+    def build(a, b):
+        n, mean_x, xx, _, _, mean_y, yy, _, _, xy = _joined(a, b, True)
+        # regr functions take y first.
+        slope = F.when(yy > 0, xy / yy)
+        of = {"covariance": xy / n, "std_x": F.sqrt((yy if turned else xx) / n), "slope": slope, "intercept": mean_x - slope * mean_y}[name]
+        return F.when(n == d, of)
+
+    return _call(f"wide_{name}", build, p, q, params=(d, turned))
 
 
 def nearest(x, digits: int): return _call("nearest", lambda a: F.round(a, digits), x, params=(digits,))
@@ -155,7 +249,7 @@ def nearest(x, digits: int): return _call("nearest", lambda a: F.round(a, digits
 
 def correlation(x, y, d):
     """Pearson correlation, to nine digits: windows of ranks often tie, and a sum's last bits shall not part them."""
-    return nearest(_paired("covariance", F.covar_pop, x, y, d) / (_paired("std_x", lambda a, _: F.stddev_pop(a), x, y, d) * _paired("std_x", lambda a, _: F.stddev_pop(a), y, x, d)), 9)
+    return nearest(_paired("covariance", F.covar_pop, x, y, d) / (_paired("std_x", lambda a, _: F.stddev_pop(a), x, y, d) * _paired("std_x", lambda a, _: F.stddev_pop(a), y, x, d, turned=True)), 9)
 
 
 def covariance(x, y, d): return nearest(_paired("covariance", F.covar_pop, x, y, d), 9)
@@ -216,22 +310,30 @@ def ts_kurt(x, d: int): return _rolling("ts_kurt", F.kurtosis, x, d, d)
 def exponential(x, period: int, alpha: float | None = None):
     """Exponential mean seeded with the mean of the first ``period`` known values; null before, and where x is.
 
-    Each row folds the values whose weight is above 1e-16, so what a row collects is bounded however long the history.
+    On Spark a running sum of decaying terms by blocks of known values (``operators.scan.decayed``), so a row costs the same however
+    long the history and however many values are missing.
     """
     alpha = alpha or 2.0 / (period + 1)
     rows = period + (1 if alpha >= 1 else math.ceil(36.8 / -math.log1p(-alpha)))
-    history = _call("history", lambda a: F.collect_list(a).over(_by_code().rowsBetween(-rows, 0)), x, params=(rows,), window=True)
+    history = _call("history", None, x, params=(rows,), window=True)  # of the SQL only
     known = _call("known", lambda a: F.count(a).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
+    decay, span = max(0.0, 1 - alpha), span_of(max(0.0, 1 - alpha))
+
+    def instead(a, _, n):
+        def total(v, k):
+            block, _, term = decayed(v, k, period, alpha)
+            return F.sum(term).over(Window.partitionBy(CODE, block).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0))
 
-    def build(a, every, n):
-        size = F.size(every)
-        seeded = size == n
-        first = F.aggregate(F.slice(every, 1, period), F.lit(0.0), lambda t, q: t + q) / float(period)
-        start = F.when(seeded, first).otherwise(every[0])
-        rest = F.when(seeded, F.slice(every, period + 1, F.greatest(size - period, F.lit(0)))).otherwise(F.slice(every, 2, F.greatest(size - 1, F.lit(0))))
-        return F.when(a.isNotNull() & (n >= period), F.aggregate(rest, start, lambda y, q: y + alpha * (q - y)))
+        def before(v, k, s):
+            _, place, _ = decayed(v, k, period, alpha)
+            ends = F.when(v.isNotNull() & (k >= period) & (place == span - 1), s * F.pow(F.lit(decay), place))
+            return F.last(ends, ignorenulls=True).over(_by_code().rowsBetween(Window.unboundedPreceding, -1))
 
-    return _call("exponential", build, x, history, known, params=(period, alpha))
+        summed = _call("decayed", total, a, n, params=(period, alpha), window=True)
+        ended = _call("ended", before, a, n, summed, params=(period, alpha), window=True)
+        return _call("decayed_mean", lambda v, k, s, e: F.when(v.isNotNull(), decayed_mean(v, k, period, s, e, alpha)), a, n, summed, ended, params=(period, alpha))
+
+    return _call("exponential", None, x, history, known, params=(period, alpha), instead=instead)
 
 
 def sma(x, n: int, m: int = 1):
@@ -271,10 +373,9 @@ def average_rank(x, by: tuple[str, ...] = ()):
     """1 to n, ties share their mean; nulls have no rank."""
 
     def build(a):
-        group = Window.partitionBy(DATE, *by, a.isNull())
-        up = group.orderBy(a)
-        upto = F.round(F.cume_dist().over(up) * F.count(a).over(group))
-        return F.when(a.isNotNull(), (F.rank().over(up) + upto) / 2)
+        # One partitioning for all ranks of a date: nulls come last rather than apart, and a default frame ends with the row's ties.
+        up = Window.partitionBy(DATE, *by).orderBy(a.asc_nulls_last())
+        return F.when(a.isNotNull(), (F.rank().over(up) + F.count(a).over(up)) / 2)
 
     return _call("average_rank", build, x, params=tuple(by), window=True)
 
@@ -311,23 +412,52 @@ def mad_clip(x, k: float = 3.0):
 # Evaluation.
 
 
-def _depth(e: Expr, seen: dict) -> int:
-    """Number of window stages below and at the expression."""
+def _lowered(e: Expr, seen: dict[Expr, Expr]) -> Expr:
+    """The expression with what Spark evaluates instead of its calls."""
     if e not in seen:
-        seen[e] = max((_depth(a, seen) for a in e.args), default=0) + e.window
+        if e.instead:
+            seen[e] = _lowered(e.instead(*e.args), seen)
+        else:
+            seen[e] = Expr(e.name, tuple(_lowered(a, seen) for a in e.args), e.params, e.window, e.build)
     return seen[e]
 
 
+def _across(e: Expr) -> bool:
+    """Whether the call's window is a date's rows rather than a code's."""
+    return e.name.startswith("cs_") or e.name in ("average_rank", "groups")
+
+
+def _stages(calls: dict[Expr, set[Expr]], across: bool) -> list[tuple[bool, list[Expr]]]:
+    """(axis, calls) in turn, from one axis on: all that can be computed along an axis comes before the next exchange."""
+    done: set[Expr] = set()
+    out: list[tuple[bool, list[Expr]]] = []
+    while len(done) < len(calls):
+        while now := [e for e, below in calls.items() if e not in done and _across(e) == across and below <= done]:
+            out.append((across, now))
+            done |= set(now)
+        across = not across
+    return out
+
+
 def with_factors(panel: DataFrame, factors: dict[str, Expr]) -> DataFrame:
     """The panel with a column for each expression."""
-    depth: dict[Expr, int] = {}
+    seen: dict[Expr, Expr] = {}
+    factors = {name: _lowered(e, seen) for name, e in factors.items()}
+    below: dict[Expr, set[Expr]] = {}  # of each expression the window calls that it reads
+
+    def dig(e: Expr) -> set[Expr]:
+        if e not in below:
+            below[e] = set().union(*[{a} if a.window else dig(a) for a in e.args]) if e.args else set()
+            for a in e.args:
+                dig(a)
+        return below[e]
+
     for e in factors.values():
-        _depth(e, depth)
-    stages: dict[int, list[Expr]] = {}
-    for e, n in depth.items():
-        if e.window:
-            stages.setdefault(n, []).append(e)
-    names = {e: f"_{i}" for i, e in enumerate(x for n in sorted(stages) for x in stages[n])}
+        dig(e)
+    calls = {e: d for e, d in below.items() if e.window}
+    turns = lambda stages: sum(a[0] != b[0] for a, b in zip(stages, stages[1:]))
+    stages = min((_stages(calls, across) for across in (False, True)), key=turns)
+    names = {e: f"_{i}" for i, e in enumerate(e for _, now in stages for e in now)}
 
     def column(e: Expr, inside: Expr | None = None) -> Column:
         if e.window and e is not inside:
@@ -335,8 +465,12 @@ def with_factors(panel: DataFrame, factors: dict[str, Expr]) -> DataFrame:
         return e.build(*[column(a) for a in e.args])
 
     df = panel
-    for n in sorted(stages):
-        df = df.withColumns({names[e]: column(e, e) for e in stages[n]})
+    for i, (across, now) in enumerate(stages):
+        if i and across and not stages[i - 1][0]:
+            # Groups of a date and whole dates share this exchange.
+            run = [e for turn, es in itertools.takewhile(lambda s: s[0], stages[i:]) for e in es]
+            df = df.repartition(DATE) if any(e.params for e in run) else df
+        df = df.withColumns({names[e]: column(e, e) for e in now})
     return df.withColumns({name: column(e) for name, e in factors.items()}).drop(*names.values())
 
 
