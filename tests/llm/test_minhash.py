@@ -68,6 +68,23 @@ def test_near_copies_of_different_texts_are_found(spark, split, hubs, monkeypatc
     assert all(similarity(texts[i], texts[j]) > 0.55 for i, j in links)
 
 
+def test_a_bucket_cut_into_chunks_loses_no_link(spark):
+    """60 texts share one band only: every two are near enough along a chain, so that no few of them see all the others."""
+    n, places = 60, minhash.BANDS * minhash.ROWS
+    prints = [bytes(1 if p < 2 * i else 0 for p in range(places)) for i in range(n)]  # i and j differ in 2 |i - j| places
+    prints += prints[:3]
+    df = spark.createDataFrame([(i + 7, i, p, [1]) for i, p in enumerate(prints)], "key long, node long, sketch binary, bands array<long>")
+    whole = components(len(prints), [(r.a, r.b) for r in minhash.sketch_links(spark, df).collect()])
+    assert len(set(whole)) == 1
+    # Texts of which only neighbours link: 21 places apart link, 42 do not.
+    prints = [bytes(1 if p // 41 == i else 0 for p in range(places)) for i in range(3)] + [bytes(i if p % 2 else 0 for p in range(places)) for i in range(2, 40)]
+    pairs = [bytes((i if p % 2 else 0) if p != 4 else 255 for p in range(places)) for i in range(2, 40)]  # one near partner for each of many that do not link
+    every = prints + pairs
+    df = spark.createDataFrame([(i + 7, i, p, [1]) for i, p in enumerate(every)], "key long, node long, sketch binary, bands array<long>")
+    cut = components(len(every), [(r.a, r.b) for r in minhash.sketch_links(spark, df, 8, 2).collect()])
+    assert all(cut[3 + i] == cut[len(prints) + i] for i in range(len(pairs)))
+
+
 def test_stage_keeps_one_of_each_group_of_near_copies(spark):
     texts = corpus(3, 15)
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, texts[0]), (901, None), (902, ""), (903, "a b"), (904, "A b")]

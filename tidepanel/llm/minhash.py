@@ -7,9 +7,9 @@ all but 3 in a million do.  Within a bucket sketches are compared by one byte a
 links comes back rather than pairs.  A pair links if the share of agreeing places is at least ``LEAST``: with 160 places that
 finds 97 of 100 pairs at 0.8 exactly, more above, and takes 2 of 100 at 0.65.
 
-A bucket of more than ``SPLIT`` texts is cut into chunks, each of which also holds ``HUBS`` of the bucket's
-texts, so that the memory of a task is bounded; what two chunks would link and no hub sees is met again in the
-other bands, whose chunks and hubs are others.
+A bucket of more than ``SPLIT`` texts is compared whole too: equal sketches link to one of them, the others are cut
+into chunks, and every two chunks meet in a group of their own, so that the memory of a task is bounded and no pair is left out.
+The work of such a bucket grows with the square of its different sketches, spread over the groups.
 
 Defined cases: words are those of the fingerprint; fewer than five words make one shingle; a text without words has no
 sketch and links by its fingerprint alone.  Equal texts share a node before this.
@@ -27,7 +27,7 @@ from .common import LOWER, Words, as_long, blocks, mix, pair, run_codes, word_co
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 LEAST = 0.74
-SPLIT, HUBS = 4096, 64
+SPLIT, HUBS = 4096, 64  # rows of a group, and how many of them are left free as chunks are dealt unevenly
 _MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -111,17 +111,19 @@ def sketch_links(spark: SparkSession, texts: DataFrame, split: int = SPLIT, hubs
     """
     keyed = texts.filter("sketch is not null").select("key", F.explode("bands").alias("band"))
     met = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("mark")).filter("n > 1")
-    # Bands that are cut into chunks are all compared, as each is cut in its own way.
-    once = F.when(F.col("n") > split, F.col("band")).alias("own")
-    chosen = written(spark, met.groupBy("n", "lo", "hi", "mark", once).agg(F.min("band").alias("band")).select("band", "n"), "bands")
+    chosen = written(spark, met.groupBy("n", "lo", "hi", "mark").agg(F.min("band").alias("band")).select("band", "n"), "bands")
     # Both sides of the joins are tables, so that Spark may split a band that many texts share.
     members = written(spark, keyed.join(chosen, "band"), "members")
     crowded = written(spark, members.join(texts.select("key", "node", "sketch"), "key").drop("key"), "crowded")
     small = crowded.filter(F.col("n") <= split).select("band", F.lit(0).alias("chunk"), "node", "sketch")
-    large = crowded.filter(F.col("n") > split).withColumn("chunks", F.ceil(F.col("n") / (split - hubs)).cast("int"))
-    dealt = large.select("band", F.pmod(F.xxhash64("band", "sketch"), F.col("chunks")).cast("int").alias("chunk"), "node", "sketch")
-    # Some of each bucket, the same in all its chunks, found by a partial aggregate.
-    few = large.groupBy("band", "chunks", F.pmod(F.xxhash64("sketch"), F.lit(hubs)).alias("part")).agg(F.min(F.struct("node", "sketch")).alias("hub"))
-    led = few.select("band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "hub.node", "hub.sketch")
-    gathered = small.unionByName(dealt).unionByName(led).groupBy("band", "chunk").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-    return gathered.select("members").mapInArrow(_links, "a long, b long").distinct()
+    large = crowded.filter(F.col("n") > split)
+    first = written(spark, large.groupBy("band", "sketch").agg(F.min("node").alias("node")), "first")
+    equal = large.select("band", "sketch", F.col("node").alias("b")).join(first, ["band", "sketch"]).filter("b <> node").select(F.col("node").alias("a"), "b")
+    sizes = first.groupBy("band").agg(F.count("*").alias("n"))
+    parts = F.when(F.col("n") <= split, 1).otherwise(F.ceil(2 * F.col("n") / max(1, split - hubs))).cast("int")
+    dealt = first.join(sizes.select("band", parts.alias("chunks")), "band").withColumn("chunk", F.pmod(F.xxhash64("band", "sketch"), F.col("chunks")).cast("int"))
+    # Every two chunks of a band; a chunk by itself only if the band has no other.
+    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk"))))
+    paired = dealt.withColumn("other", other).select("band", F.least("chunk", "other").alias("chunk"), F.greatest("chunk", "other").alias("other"), "node", "sketch")
+    gathered = small.withColumn("other", F.lit(0)).select("band", "chunk", "other", "node", "sketch").unionByName(paired).groupBy("band", "chunk", "other").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    return gathered.select("members").mapInArrow(_links, "a long, b long").unionByName(equal).distinct()
