@@ -73,3 +73,18 @@ def test_without_room_the_benchmark_stays(spark):
     # a cannot come to 0, nor b beyond 0.1: the least turnover leaves a at its lower bound.
     assert {r.code: round(r.weight, 9) for r in least} == {"a": 0.4, "b": 0.1, "c": 0.5} or {r.code: round(r.weight, 9) for r in least} == {"a": 0.4, "b": 0.0, "c": 0.6}
     assert optimise.turnover_weights(df.limit(0), "s", "b", 0.1, "g", 1.0, "p", 0.5).count() == 0
+
+
+def test_search_for_the_multiplier_sorts_one_point_a_date_at_once(spark, monkeypatch):
+    rows = [(DAYS[0], f"c{i}", float(i % 7), 0.1, "g", 0.2 * (i % 2)) for i in range(10)]
+    df = spark.createDataFrame(rows, "date date, code string, s double, b double, g string, p double")
+    sizes, pieces = [], optimise._pieces
+
+    def counted(part, multiplier):
+        sizes.append(part.count())
+        return pieces(part, multiplier)
+
+    monkeypatch.setattr(optimise, "_pieces", counted)
+    out = optimise.turnover_weights(df, "s", "b", 0.1, "g", 1.0, "p", 0.3).collect()
+    assert abs(sum(r.weight for r in out) - 1.0) < 1e-9 and max(r.turnover for r in out) < 0.3 + 1e-9
+    assert max(sizes) <= 2 * len(rows)

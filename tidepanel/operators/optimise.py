@@ -7,8 +7,8 @@ windows express it.
 
 A limit on turnover against previous weights is taken into the score with a multiplier t: weight up to the
 previous one gains score + t, weight beyond it score - t, so that a row becomes two pieces and the same greedy is
-exact for each t.  Turnover falls as t grows; t is bracketed for all dates at once, each round one aggregation over a grid
-of t within every date's bracket.  Between the two ends of the last bracket the mix of their weights that just meets the limit is
+exact for each t.  Turnover falls as t grows, so each round finds its place in a grid of t within a date's bracket by halving: every step is one
+aggregation at a single t a date, for all dates at once.  Between the two ends of the last bracket the mix of their weights that just meets the limit is
 taken: it is within all bounds, and its score is below the optimum by at most the width of the bracket times the limit.  Previous weights are a
 column, so dates do not depend on each other.
 """
@@ -29,23 +29,33 @@ def _pieces(df: DataFrame, multiplier: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(up, beyond)))
 
 
-def _greedy(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, date, code, _lo, _hi, _b, _p, _g, _l, _u) with the weight of the greedy optimum for each value of ``by``; _l and _u are the industry's totals."""
+def _taken(df: DataFrame, by: list[str]) -> DataFrame:
+    """The pieces with ``_take``, what the greedy optimum for each value of ``by`` places in them."""
     pieces = _pieces(df, F.col("_t") if "_t" in by else F.lit(0.0))
     inside = Window.partitionBy(*by, "_g").orderBy(F.desc("gain"), "code", "k").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("room").over(inside), F.lit(0.0))
     zero = F.lit(0.0)
     placed = pieces.withColumn("_at", before)
     # What the lower band of the industry demands, and what its upper band admits beyond that.
-    own = F.greatest(zero, F.least(F.col("_l") - F.col("_base") - F.col("_at"), F.col("room")))
-    end = F.least(F.col("_at") + F.col("room"), F.col("_u") - F.col("_base"))
-    more = F.greatest(zero, end - F.greatest(F.col("_at"), F.col("_l") - F.col("_base")))
+    own = F.greatest(zero, F.least(F.col("_need") - F.col("_at"), F.col("room")))
+    end = F.least(F.col("_at") + F.col("room"), F.col("_most"))
+    more = F.greatest(zero, end - F.greatest(F.col("_at"), F.col("_need")))
     placed = placed.withColumns({"_own": own, "_more": more})
     across = Window.partitionBy(*by).orderBy(F.desc("gain"), "code", "k").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum("_more").over(across), F.lit(0.0))
     left = F.col("_total") - F.sum("_own").over(Window.partitionBy(*by)) - F.col("_low")
-    placed = placed.withColumn("_take", F.col("_own") + F.greatest(zero, F.least(left - taken, F.col("_more"))))
-    return placed.groupBy(*by, "code").agg((F.first("_lo") + F.sum("_take")).alias("weight"), F.first("_p").alias("_p"))
+    return placed.withColumn("_take", F.col("_own") + F.greatest(zero, F.least(left - taken, F.col("_more"))))
+
+
+def _greedy(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, code, weight, _p) of the greedy optimum for each value of ``by``."""
+    return _taken(df, by).groupBy(*by, "code").agg((F.first("_lo") + F.sum("_take")).alias("weight"), F.first("_p").alias("_p"))
+
+
+def _turnover(df: DataFrame) -> DataFrame:
+    """Rows (date, _t, turnover) of the greedy optimum, summed over pieces: a row fills the piece up to the previous weight first."""
+    away = F.when(F.col("k") == 0, F.abs(F.greatest(F.col("_lo"), F.least(F.col("_p"), F.col("_hi"))) - F.col("_p")) + F.col("room") - F.col("_take")).otherwise(F.col("_take"))
+    return _taken(df, ["date", "_t"]).groupBy("date", "_t").agg(F.sum(away).alias("turnover"))
 
 
 def _prepared(df: DataFrame, value: str, benchmark: str, tilt: float, industry: str, band: float, previous: str | None) -> DataFrame:
@@ -55,7 +65,8 @@ def _prepared(df: DataFrame, value: str, benchmark: str, tilt: float, industry:
     base = df.select("date", "code", F.col(industry).alias("_g"), score.alias("_s"), b.alias("_b"), F.greatest(F.lit(0.0), b - tilt).alias("_lo"), (b + tilt).alias("_hi"), (F.coalesce(F.col(previous), F.lit(0.0)) if previous else F.lit(0.0)).alias("_p"))
     base = base.withColumns({"_base": F.sum("_lo").over(group), "_held": F.sum("_b").over(group), "_room": F.sum("_hi").over(group)})
     base = base.withColumns({"_total": F.sum("_b").over(day), "_low": F.sum("_lo").over(day)})
-    return base.withColumns({"_l": F.greatest(F.col("_base"), F.col("_held") - band), "_u": F.least(F.col("_room"), F.col("_held") + band)})
+    need, most = F.greatest(F.col("_base"), F.col("_held") - band) - F.col("_base"), F.least(F.col("_room"), F.col("_held") + band) - F.col("_base")
+    return base.select("date", "code", "_g", "_s", "_p", "_lo", "_hi", "_total", "_low", need.alias("_need"), most.alias("_most"))
 
 
 def banded_weights(df: DataFrame, value: str, benchmark: str, tilt: float, industry: str, band: float) -> DataFrame:
@@ -74,24 +85,24 @@ def turnover_weights(df: DataFrame, value: str, benchmark: str, tilt: float, ind
     base = _prepared(df, value, benchmark, tilt, industry, band, previous).persist()  # read once for all rounds, and by the result
     kind = df.schema["date"].dataType.simpleString()
     spread = base.groupBy("date").agg((F.max("_s") - F.min("_s")).alias("d")).collect()  # one row a date, as below
-    brackets = {r.date: (0.0, float(r.d) * 1.001 + 1e-12) for r in spread}
+    brackets = {r.date: (0.0, float(r.d) * 1.001 + 1e-12) for r in spread if r.date is not None}
 
     def at(points: dict) -> DataFrame:
         rows = [(d, float(t)) for d, ts in points.items() for t in dict.fromkeys(ts)]
         return base.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"date {kind}, _t double")), "date")
 
-    for _ in range(rounds):
+    for i in range(rounds):
         points = {d: [a + (b - a) * k / grid for k in range(grid + 1)] for d, (a, b) in brackets.items()}
-        found = _greedy(at(points), ["date", "_t"]).groupBy("date", "_t").agg(F.sum(F.abs(F.col("weight") - F.col("_p"))).alias("turnover")).collect()
-        of: dict = {}
-        for d, t, turnover in found:
-            of.setdefault(d, []).append((t, turnover))
-        for d, pairs in of.items():
-            pairs.sort()
-            fits = [t for t, x in pairs if x <= limit]
-            above = [t for t, x in pairs if x > limit and (not fits or t < fits[0])]
-            b = fits[0] if fits else pairs[-1][0]
-            brackets[d] = (above[-1] if above and fits else b, b)
+        # Of each date the last place known to exceed the limit and the first known to meet it; a bracket's ends are known after the first round.
+        places = {d: (-1, grid + 1) if not i else (0, grid) if a < b else (0, 0) for d, (a, b) in brackets.items()}
+        for _ in range((grid + 2).bit_length()):
+            asked = {d: (lo + hi) // 2 for d, (lo, hi) in places.items() if hi - lo > 1}
+            if not asked:
+                break
+            for d, _, turnover in _turnover(at({d: [points[d][k]] for d, k in asked.items()})).collect():
+                lo, hi = places[d]
+                places[d] = (lo, asked[d]) if turnover <= limit else (asked[d], hi)
+        brackets = {d: (points[d][min(max(lo, 0), grid)], points[d][min(hi, grid)]) for d, (lo, hi) in places.items()}
     if not brackets:
         return df.sparkSession.createDataFrame([], f"date {kind}, code {df.schema['code'].dataType.simpleString()}, weight double, turnover double")
     ends = _greedy(at(brackets), ["date", "_t"])
