@@ -213,3 +213,16 @@ def test_ranks_of_a_date_share_an_exchange(spark):
     df = spark.createDataFrame([(DAYS[i % 3], str(i), float(i % 5), float(i % 4)) for i in range(12)], "date date, code string, close double, open double")
     plan = x.with_factors(df, {"r": x.rank(x.delay(c, 1)) + x.rank(x.col("open")) + x.rank(c) + x.rank(x.ts_sum(c, 2))})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_rank_in_a_window_collects_no_frame(spark):
+    df = long_code(spark, [float(i * 37 % 11) if i % 6 else None for i in range(90)])
+    plan = x.with_factors(df, {"value": x.ts_rank(c, 19)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    known = [float(i * 37 % 11) if i % 6 else None for i in range(90)]
+    for i, got in enumerate(values(df, x.ts_rank(c, 19))):
+        window = [v for v in known[max(0, i - 18) : i + 1] if v is not None]
+        if known[i] is None or len(window) < 9:
+            assert got is None
+        else:
+            assert got == pytest.approx((sum(v < known[i] for v in window) + 0.5 * (sum(v == known[i] for v in window) - 1)) / (len(window) - 1))

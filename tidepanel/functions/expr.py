@@ -270,31 +270,38 @@ def _listed(name: str, of, x, d: int, least: int | None = None):
 
     def build(a):
         w = trailing(d)
-        every = F.transform(F.collect_list(F.struct(a.alias("v"))).over(w), lambda s: s["v"])
-        return F.when(F.count(a).over(w) >= least, of(every, a, w))
+        return F.when(F.count(a).over(w) >= least, of(a, w))
 
     return _call(name, build, x, params=(int(d), least), window=True)
 
 
 def ts_rank(x, d: int):
-    """Rank of the newest value among the window, 0 to 1, ties in the middle; one value alone is 0.5."""
+    """Rank of the newest value among the window, 0 to 1, ties in the middle; one value alone is 0.5.
+
+    On Spark the newest is compared with the rows before, each a lag, as a moving frame would collect its values anew for each row.
+    """
+    d, least = int(d), max(1, int(d) // 2)
+
+    def build(a, *before):
+        n = F.count(a).over(trailing(d))
+        # Twice the places that the newest is above, one for a tie.
+        above = F.aggregate(F.array(*before), F.lit(0), lambda t, v: t + F.when(v < a, 2).when(v == a, 1).otherwise(0)) if before else F.lit(0)
+        return F.when(a.isNotNull() & (n >= least), F.when(n == 1, 0.5).otherwise(0.5 * above / (n - 1)))
+
+    return _call("ts_rank", None, x, params=(d, least), window=True, instead=lambda a: _call("ts_rank_of", build, a, *[delay(a, k) for k in range(1, d)], params=(d, least), window=True))
 
-    def of(every, a, w):
-        less = F.size(F.filter(every, lambda v: v < a))
-        equal = F.size(F.filter(every, lambda v: v == a))
-        n = F.count(a).over(w)
-        return F.when(a.isNotNull(), F.when(n == 1, 0.5).otherwise((less + 0.5 * (equal - 1)) / (n - 1)))
 
-    return _listed("ts_rank", of, x, d)
+def _newest_first(a: Column, w) -> Column:
+    return F.reverse(F.collect_list(F.struct(a.alias("v"))).over(w).getField("v"))
 
 
 def ts_argmax(x, d: int):
     """Rows since the newest highest value, over d."""
-    return _listed("ts_argmax", lambda every, a, w: (F.array_position(F.reverse(every), F.max(a).over(w)) - 1) / float(d), x, d)
+    return _listed("ts_argmax", lambda a, w: (F.array_position(_newest_first(a, w), F.max(a).over(w)) - 1) / float(d), x, d)
 
 
 def ts_argmin(x, d: int):
-    return _listed("ts_argmin", lambda every, a, w: (F.array_position(F.reverse(every), F.min(a).over(w)) - 1) / float(d), x, d)
+    return _listed("ts_argmin", lambda a, w: (F.array_position(_newest_first(a, w), F.min(a).over(w)) - 1) / float(d), x, d)
 
 
 def forward_fill(x): return _call("ffill", lambda a: F.last(a, ignorenulls=True).over(_by_code().rowsBetween(Window.unboundedPreceding, 0)), x, window=True)
@@ -460,12 +467,16 @@ def with_factors(panel: DataFrame, factors: dict[str, Expr]) -> DataFrame:
     names = {e: f"_{i}" for i, e in enumerate(e for _, now in stages for e in now)}
 
     def column(e: Expr, inside: Expr | None = None) -> Column:
-        if e.window and e is not inside:
+        if e in names and e is not inside:
             return F.col(names[e])
-        return e.build(*[column(a) for a in e.args])
+        return e.build(*[column(a, inside) for a in e.args])
 
     df = panel
     for i, (across, now) in enumerate(stages):
+        # What the calls read is a column: written into each call it is evaluated for each, and what it reads would go through the exchange.
+        read = {a: f"_r{i}_{k}" for k, a in enumerate(dict.fromkeys(a for e in now for a in e.args if a.args and a not in names))}
+        df = df.withColumns({name: column(a) for a, name in read.items()}) if read else df
+        names |= read
         if i and across and not stages[i - 1][0]:
             # Groups of a date and whole dates share this exchange.
             run = [e for turn, es in itertools.takewhile(lambda s: s[0], stages[i:]) for e in es]
