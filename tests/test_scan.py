@@ -110,3 +110,13 @@ def test_asof_by_buckets_is_asof(spark, unit):
 
 def test_period_of_the_mean_with_two_numbers():
     assert scan.sma_period(6, 2) == 5 and scan.sma_period(3, 1) == 5 and math.isclose(2 / (scan.sma_period(12, 1) + 1), 1 / 12)
+
+
+def test_stop_is_folded_once_a_code(spark):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i), "a", 10.0 + i % 5, 9.0 + i % 5) for i in range(12)]
+    df = scan.parabolic_stop(spark.createDataFrame(rows, "date date, code string, high double, low double"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The fold lies below the generator, not above it, where it would run for each of its rows.
+    assert plan.index("Generate") < plan.index("aggregate(")
+    got = [r.stop for r in df.orderBy("date").collect()]
+    assert len(got) == 12 and got[0] is None and None not in got[1:]

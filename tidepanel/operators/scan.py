@@ -170,8 +170,7 @@ def adaptive_mean(panel: DataFrame, value: str, n: int = 6, fast: int = 2, slow:
     path, far = F.sum("_move").over(w.rowsBetween(1 - n, 0)), F.abs(p - F.lag("_p", n).over(w))
     straight = F.coalesce(F.try_divide(far, path), F.lit(0.0))
     weight = F.pow(straight * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1), F.lit(2.0))
-    df = df.withColumn("_w", weight).withColumn(BUCKET, F.date_trunc(unit, "date")).drop("_move")
-    df = linear_scan(df, {"_k": (F.lit(1.0), F.lit(1.0))})
+    df = df.withColumns({"_w": weight, "_k": F.row_number().over(w).cast("double")}).withColumn(BUCKET, F.date_trunc(unit, "date")).drop("_move")
     k = F.col("_k")
     a = F.when(k < n, 1.0).when(k == n, 0.0).otherwise(1 - F.col("_w"))
     b = F.when(k < n, 0.0).when(k == n, p).otherwise(F.col("_w") * p)
@@ -205,7 +204,10 @@ def parabolic_stop(panel: DataFrame, step: float = 0.02, most: float = 0.2) -> D
         return F.struct(up.alias("up"), held.alias("stop"), extreme.alias("extreme"), pace.alias("pace"), e["h"].alias("h"), e["l"].alias("l"), F.concat(s["out"], F.array(level)).alias("out"))
 
     levels = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), begin(F.get("_rows", F.lit(0)), F.coalesce(F.get("_rows", F.lit(1)), F.get("_rows", F.lit(0)))), follow, lambda s: s["out"])
-    return history.select("code", F.posexplode("_rows").alias("_n", "_e"), levels.alias("_out")).select("_e.date", "code", F.get("_out", F.col("_n") - 1).alias("stop"))
+    # Zipped before they are dealt out: beside a generator the fold would run again for every row of the history.
+    stops = F.concat(F.array(F.lit(None).cast("double")), levels)
+    zipped = history.select("code", F.arrays_zip(F.col("_rows.date").alias("date"), stops.alias("stop")).alias("_out"))
+    return zipped.select("code", F.inline("_out").alias("date", "stop")).select("date", "code", "stop")
 
 
 def trailing_levels(panel: DataFrame, n: int = 6) -> DataFrame:
