@@ -139,3 +139,11 @@ def test_genetic_factors_by_numpy(spark):
     assert row.genetic_slices_8 == pytest.approx(last(v["high_swapavg"], 3).max() * last(late_std, 3).max() * v["high_swapstd"][k] * norm(10))
     assert row.genetic_slices_2_mean == pytest.approx(np.mean([got[days[j]].genetic_slices_2 for j in range(k - 4, k + 1)]))
     assert got[days[3]].genetic_slices_3 is None and got[days[5]].genetic_slices_2_mean is None
+
+
+def test_reports_meet_before_they_are_dealt_to_months(spark):
+    rows = [("a", "i", dt.datetime(2024, 1, 5), 1.0), ("a", "i", dt.datetime(2024, 1, 9), 2.0), ("a", "j", dt.datetime(2024, 2, 1), 4.0), ("a", "i", dt.datetime(2024, 4, 1), 8.0)]
+    df = forecasts.consensus(spark.createDataFrame(rows, "code string, institution string, pub_date timestamp, value double"), 2)
+    got = {(r.date.month, r["mean"], r.n) for r in df.collect()}
+    assert got == {(2, 2.0, 1), (3, 3.0, 2), (4, 4.0, 1), (5, 8.0, 1), (6, 8.0, 1)}
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1

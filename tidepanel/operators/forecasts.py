@@ -10,12 +10,17 @@ def consensus(reports: DataFrame, months: int) -> DataFrame:
     """(date, code, mean, std, n): at each month's start, over the newest report of each institution of the last ``months`` months.
 
     ``reports`` has (code, institution, pub_date, value).  A report is dealt to the month starts that it
-    serves, a fixed number, so no join by range is needed.  Of reports of one time the greatest value counts.
+    serves until a newer one of its institution does, at most ``months``, after the reports of a code have met, so that reports rather than
+    their months are exchanged.  Of reports of one time the greatest value counts.
     """
     first = F.add_months(F.trunc("pub_date", "month"), 1)
-    served = reports.filter("pub_date is not null and value is not null").withColumn("date", F.explode(F.sequence(first, F.add_months(first, months - 1), F.expr("interval 1 month"))))
-    newest = served.groupBy("date", "code", "institution").agg(F.max_by("value", F.struct("pub_date", "value")).alias("value"))
-    return newest.groupBy("date", "code").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
+    known = reports.filter("pub_date is not null and value is not null").withColumn("_from", first).repartition("code")
+    newest = known.groupBy("code", "institution", "_from").agg(F.max_by("value", F.struct("pub_date", "value")).alias("value"))
+    until = F.lead("_from").over(Window.partitionBy("code", "institution").orderBy("_from"))
+    # Null after the last: least skips it.
+    last = F.least(F.add_months("_from", months - 1), F.add_months(until, -1))
+    served = newest.withColumn("_last", last).select("code", "value", F.explode(F.sequence("_from", "_last", F.expr("interval 1 month"))).alias("date"))
+    return served.groupBy("date", "code").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
 
 
 def revisions(consensus_: DataFrame, months: int) -> DataFrame:
