@@ -10,6 +10,7 @@ import pytest
 from tidepanel.functions import expr as x
 from tidepanel.operators import evaluate, joins, statements, transform
 from tidepanel.plans import cycles
+from tidepanel.sources import panels
 
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
 
@@ -226,3 +227,35 @@ def test_rank_in_a_window_collects_no_frame(spark):
             assert got is None
         else:
             assert got == pytest.approx((sum(v < known[i] for v in window) + 0.5 * (sum(v == known[i] for v in window) - 1)) / (len(window) - 1))
+
+
+def sorts(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if " Sort [code" in line]
+
+
+def test_blocks_of_a_code_are_sorted_once(spark):
+    """A running mean's blocks and what is carried over them share an order; so do a long window's first part and the lag of its second."""
+    df = long_code(spark, [float(i % 7) for i in range(9)])
+    assert len(sorts(x.with_factors(df, {"value": x.exponential(c, 3)}))) == 2
+    assert len(sorts(x.with_factors(df, {"value": x.ts_sum(c, 50)}))) == 3
+
+
+def test_bars_by_code_are_those_of_all_trades_and_in_the_order_of_windows(spark, tmp_path):
+    day = lambda k: dt.datetime(2024, 1, 1 + k, 12)
+    trades = [(None if i % 13 == 0 else i % 4, day(i % 5) if i % 17 else None, None if i % 11 == 0 else i % 6, 1, i % 3, float(i * 7919 % 101) if i % 19 else None, float(i % 9)) for i in range(200)]
+    columns = "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(trades, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    apart, dealt = panels.bars(spark, str(tmp_path), "day"), panels.bars(spark, str(tmp_path), "day", by_code=True)
+    assert apart.columns == dealt.columns and sorted(map(str, apart.collect())) == sorted(map(str, dealt.collect()))
+    want = {}
+    for code, when, *key, price, quantity in trades:
+        if when and price is not None:
+            # A null of the key comes first.
+            want.setdefault((when.date(), code), []).append((when, *[(k is not None, k or 0) for k in key], price, quantity))
+    for r in dealt.collect():
+        w = sorted(want.pop((r.date, r.code)))
+        assert (r.open, r.close, r.low, r.high, r.trades, r.volume, r.money) == (w[0][-2], w[-1][-2], min(t[-2] for t in w), max(t[-2] for t in w), len(w), sum(t[-1] for t in w), sum(t[-2] for t in w))
+    assert not want
+    out = x.with_factors(dealt, {"value": x.delay(c, 1)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and len(sorts(out)) == 1

@@ -106,6 +106,11 @@ def _by_code():
     return Window.partitionBy(CODE).orderBy(DATE)
 
 
+def _by_block(block: Column):
+    """The order of dates, by blocks that follow each other: that in which windows of a block leave the rows, so that they need no sort."""
+    return Window.partitionBy(CODE).orderBy(block, DATE)
+
+
 def trailing(d: int):
     return _by_code().rowsBetween(-(int(d) - 1), 0)
 
@@ -120,14 +125,15 @@ def _halves(name: str, states: Callable[..., list[Column]], args: tuple, d: int)
     A code is cut into blocks of d rows; both parts are running aggregates, one in the order of dates and one against it.
     """
     at = row_index()
-    block = lambda i: Window.partitionBy(CODE, F.floor((i - 1) / d))
-    upto = lambda i, *a: F.struct(*[s.over(block(i).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)).alias(f"s{k}") for k, s in enumerate(states(*a))])
-    onward = lambda i, *a: F.struct(*[s.over(block(i).orderBy(F.desc(DATE)).rowsBetween(Window.unboundedPreceding, 0)).alias(f"s{k}") for k, s in enumerate(states(*a))])
-    first = _call(f"{name}_upto", upto, at, *args, params=(d,), window=True)
-    rest = _call(f"{name}_onward", onward, at, *args, params=(d,), window=True)
+    block = _call("wide_block", lambda i: F.floor((i - 1) / d), at, params=(d,))
+    within = lambda b, order: Window.partitionBy(CODE, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = lambda w, a: F.struct(*[s.over(w).alias(f"s{k}") for k, s in enumerate(states(*a))])
+    rest = _call(f"{name}_onward", lambda b, *a: running(within(b, F.desc(DATE)), a), block, *args, params=(d,), window=True)
+    # Reads the other part only to come after it, beside its lag, which has the same order.
+    first = _call(f"{name}_upto", lambda b, _, *a: running(within(b, F.col(DATE)), a), block, rest, *args, params=(d,), window=True)
     # The window of a block's last row is the block.
-    lagged = lambda i, r: F.when(F.pmod(i, F.lit(d)) != 0, F.lag(r, d - 1).over(_by_code()))
-    return first, _call(f"{name}_before", lagged, at, rest, params=(d,), window=True)
+    lagged = lambda b, i, r: F.when(F.pmod(i, F.lit(d)) != 0, F.lag(r, d - 1).over(_by_block(b)))
+    return first, _call(f"{name}_before", lagged, block, at, rest, params=(d,), window=True)
 
 
 def _moments(a: Column, b: Column | None = None) -> list[Column]:
@@ -327,17 +333,18 @@ def exponential(x, period: int, alpha: float | None = None):
     decay, span = max(0.0, 1 - alpha), span_of(max(0.0, 1 - alpha))
 
     def instead(a, _, n):
-        def total(v, k):
-            block, _, term = decayed(v, k, period, alpha)
-            return F.sum(term).over(Window.partitionBy(CODE, block).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0))
+        def total(v, k, b):
+            _, _, term = decayed(v, k, period, alpha)
+            return F.sum(term).over(Window.partitionBy(CODE, b).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0))
 
-        def before(v, k, s):
+        def before(v, k, b, s):
             _, place, _ = decayed(v, k, period, alpha)
             ends = F.when(v.isNotNull() & (k >= period) & (place == span - 1), s * F.pow(F.lit(decay), place))
-            return F.last(ends, ignorenulls=True).over(_by_code().rowsBetween(Window.unboundedPreceding, -1))
+            return F.last(ends, ignorenulls=True).over(_by_block(b).rowsBetween(Window.unboundedPreceding, -1))
 
-        summed = _call("decayed", total, a, n, params=(period, alpha), window=True)
-        ended = _call("ended", before, a, n, summed, params=(period, alpha), window=True)
+        block = _call("decay_block", lambda k: decayed(k, k, period, alpha)[0], n, params=(period, alpha))
+        summed = _call("decayed", total, a, n, block, params=(period, alpha), window=True)
+        ended = _call("ended", before, a, n, block, summed, params=(period, alpha), window=True)
         return _call("decayed_mean", lambda v, k, s, e: F.when(v.isNotNull(), decayed_mean(v, k, period, s, e, alpha)), a, n, summed, ended, params=(period, alpha))
 
     return _call("exponential", None, x, history, known, params=(period, alpha), instead=instead)

@@ -57,7 +57,7 @@ DAILY_SQL = f"""SELECT b.*, n_name AS industry, n_regionkey AS sector, s_acctbal
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the days on which a supplier traded, with industry, sector and cap: windows count a supplier's own days."""
     cap = panels.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), (F.col("s_acctbal") + 2000).alias("cap"))
-    return panels.bars(spark, sf_dir, "day").join(panels.industries(spark, sf_dir).join(cap, "code"), "code", "left")
+    return panels.bars(spark, sf_dir, "day", by_code=True).join(panels.industries(spark, sf_dir).join(cap, "code"), "code", "left")
 
 
 def expressions(name: str, factors: dict[str, x.Expr], digits: int = 6, days: bool = False) -> None:

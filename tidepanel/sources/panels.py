@@ -20,14 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, unit: str = "month", key: str = "l_suppkey") -> DataFrame:
-    """(date, code, open, high, low, close, volume, money, vwap, trades) of line items: the price is the extended price, the instrument the supplier (or another key)."""
+def bars(spark: SparkSession, sf_dir: str, unit: str = "month", key: str = "l_suppkey", by_code: bool = False) -> DataFrame:
+    """(date, code, open, high, low, close, volume, money, vwap, trades) of line items: the price is the extended price, the instrument the supplier (or another key).
+
+    With ``by_code`` trades are dealt out by code before they are grouped, so that windows of a code need no exchange or sort of their own: for bars
+    of few trades, which a grouping before the exchange would not make fewer.
+    """
     trades = table(spark, sf_dir, "lineitem").filter("l_shipdate is not null and l_extendedprice is not null")
-    order = F.struct(*TRADE_KEY)
-    price = F.col("l_extendedprice")
-    grouped = trades.groupBy(F.trunc("l_shipdate", unit).alias("date") if unit in ("month", "year") else F.to_date(F.date_trunc(unit, "l_shipdate")).alias("date"), F.col(key).alias("code"))
-    out = grouped.agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.round(F.sum("l_quantity"), 2).alias("volume"), F.round(F.sum(price), 2).alias("money"), F.count("*").alias("trades"))
-    return out.withColumn("vwap", F.try_divide("money", "volume"))
+    trade, price = F.struct(*TRADE_KEY), F.col("l_extendedprice")
+    date = F.trunc("l_shipdate", unit) if unit in ("month", "year") else F.to_date(F.date_trunc(unit, "l_shipdate"))
+    trades = (trades.repartition(key) if by_code else trades).withColumns({"date": date, "code": F.col(key)})
+    out = trades.groupBy(*(("code", "date") if by_code else ("date", "code"))).agg(F.min(trade).getField("l_extendedprice").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max(trade).getField("l_extendedprice").alias("close"), F.round(F.sum("l_quantity"), 2).alias("volume"), F.round(F.sum(price), 2).alias("money"), F.count("*").alias("trades"))
+    return out.select("date", "code", *out.columns[2:], F.try_divide("money", "volume").alias("vwap"))
 
 
 def first_of_duplicates(panel: DataFrame, *order: str) -> DataFrame:
