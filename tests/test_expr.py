@@ -259,3 +259,12 @@ def test_bars_by_code_are_those_of_all_trades_and_in_the_order_of_windows(spark,
     out = x.with_factors(dealt, {"value": x.delay(c, 1)})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and len(sorts(out)) == 1
+
+
+def test_long_covariance_of_a_series_with_itself_is_its_variance(spark):
+    v = [None if i == 70 else (5.1 if i < 50 else float(i * 7919 % 101)) for i in range(160)]
+    out = x.with_factors(long_code(spark, v), {"value": x.covariance(c, c, 41)})
+    for i, r in enumerate(out.orderBy("date").collect()):
+        w = v[max(0, i - 40) : i + 1]
+        assert r.value == (pytest.approx(statistics.pvariance(w), rel=1e-9, abs=1e-9) if len(w) == 41 and None not in w else None)
+    assert "covar_pop" not in out._jdf.queryExecution().logical().toString()

@@ -237,6 +237,10 @@ def _paired(name: str, agg, x, y, d: int, turned: bool = False):
 
 def _wide_pair(name: str, x: Expr, y: Expr, d: int, turned: bool) -> Expr:
     """``_paired`` of a long window's two parts, which the calls on a pair share."""
+    if x == y and name == "covariance":
+        # That of a series with itself is its variance: half of what a pair's parts hold.
+        p, q = _halves("moments", _moments, (x,), d)
+        return _call("wide_self", lambda a, b: F.when(_joined(a, b, False)[0] == d, _joined(a, b, False)[2] / d), p, q, params=(d,))
     both = lambda a, b: (F.when(b.isNotNull(), a).cast("double"), F.when(a.isNotNull(), b).cast("double"))
     p, q = _halves("pair", lambda a, b: _moments(*both(a, b)), (y, x) if turned else (x, y), d)
 
